@@ -119,8 +119,7 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, parts: frozens
         [(i, c, kind_of(df, c), df.schema[c].dataType.simpleString()) for i, c in enumerate(columns)],
         "position int, column string, kind string, dtype string",
     )
-    # The listing has one row per column of the schema.
-    joined = F.broadcast(listing).join(grouped, "column", "left_outer")
+    joined = listing.join(grouped, "column", "left_outer")
     return joined.fillna(0, subset=[f.name for f in grouped.schema.fields if f.dataType.simpleString() == "bigint"])
 
 
