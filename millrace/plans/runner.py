@@ -114,6 +114,19 @@ def _needs_order(step: Step) -> bool:
     )
 
 
+def _order_after(step: Step) -> Callable[[DataFrame], list] | None:
+    """How to order the rows anew after a step that changed their order or number."""
+    c = step.config
+    if step.step_type == "sort_values":
+        return lambda d: steps.sort_order(d, c["columns"], c.get("ascending", True))
+    if step.step_type == "group_aggregate":
+        return lambda d: [quoted(k).asc() for k in c["group_by"]]
+    if step.step_type == "join":
+        keys = [c["on"]] if isinstance(c["on"], str) else list(c["on"])
+        return lambda d: [quoted(k).asc_nulls_last() for k in ([ROW_ID] if ROW_ID in d.columns else []) + keys]
+    return None
+
+
 def apply_step(df: DataFrame, step: Step, lookup: Lookup | None = None) -> DataFrame:
     """The table after one step. Config errors are raised before any job starts."""
     if step.step_type not in STEPS:
@@ -124,8 +137,8 @@ def apply_step(df: DataFrame, step: Step, lookup: Lookup | None = None) -> DataF
 def build(df: DataFrame, plan: list[Step], lookup: Lookup | None = None) -> DataFrame:
     """All enabled steps as one lazy plan without reports (the export path).
 
-    A sort only settles the order for steps that depend on order; then the rows are
-    numbered anew. Grouped results are ordered by their keys when that is needed.
+    Rows are numbered anew after a sort, a join or a grouping, but only if a later
+    step depends on the order.
     """
     active = [s for s in plan if s.enabled]
     order = None
@@ -133,10 +146,7 @@ def build(df: DataFrame, plan: list[Step], lookup: Lookup | None = None) -> Data
         if _needs_order(step) and order is not None:
             df, order = number_rows(df, order(df)), None
         df = apply_step(df, step, lookup)
-        if step.step_type == "sort_values":
-            order = lambda d, s=step: steps.sort_order(d, s.config["columns"], s.config.get("ascending", True))
-        elif step.step_type == "group_aggregate":
-            order = lambda d, s=step: [quoted(k).asc() for k in s.config["group_by"]]
+        order = _order_after(step) or order
     return df
 
 
@@ -270,10 +280,7 @@ def run_steps(
                 current = auto.df
             else:
                 current = apply_step(before, step, lookup)
-            if step.step_type == "sort_values":
-                order = lambda d, s=step: steps.sort_order(d, s.config["columns"], s.config.get("ascending", True))
-            elif step.step_type == "group_aggregate":
-                order = lambda d, s=step: [quoted(k).asc() for k in s.config["group_by"]]
+            order = _order_after(step) or order
             if checkpoint_every and index % checkpoint_every == 0:
                 current = checkpointed(current)
             current = current.persist(StorageLevel.MEMORY_AND_DISK)
