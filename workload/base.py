@@ -60,7 +60,7 @@ def fnum(x: str) -> str:
 
 
 def word(x: str) -> str:
-    return f"(CASE lower(trim({x})) WHEN 'thirty' THEN 30.0 WHEN 'twenty-eight' THEN 28.0 END)"
+    return f"(CASE lower(trim({x})) WHEN 'thirty' THEN 30::DOUBLE WHEN 'twenty-eight' THEN 28::DOUBLE END)"
 
 
 def null_like(x: str) -> str:
