@@ -14,9 +14,16 @@ _WORDS_ONLY = rf"(?i)^\s*(?:(?:{_ALL_WORDS})(?:\s+|$))+$"
 _WORDS_ONLY_HYPHEN = rf"(?i)^[\s-]*(?:(?:{_ALL_WORDS})(?:[\s-]+|$))+$"
 
 
+# A digit next to the signs that a formatted number may carry, and nothing else.
+FORMATTED_SHAPE = rf"^[\d\s.,%eE+\-{fixed.CURRENCY_SYMBOLS}]*\d[\d\s.,%eE+\-{fixed.CURRENCY_SYMBOLS}]*$"
+
+
 def parse_number(c: Column) -> Column:
     """DOUBLE for text shaped like a plain number, else NULL."""
-    t = trimmed(c)
+    return parse_trimmed(trimmed(c))
+
+
+def parse_trimmed(t: Column) -> Column:
     return F.when(t.rlike(fixed.NUMBER_SHAPE), t.try_cast("double"))
 
 

@@ -50,19 +50,30 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, parts: frozens
     long = column_cells(df, columns)
     s = F.col("s")
     # Derived once per cell, then counted.
-    derived = {"num": F.coalesce(F.col("x"), numbers.parse_number(s))}
+    t, low = F.col("t"), F.col("low")
+    long = long.withColumn("t", text.trimmed(s)).withColumn("num", F.coalesce(F.col("x"), numbers.parse_trimmed(F.col("t"))))
+    derived = {}
     if TEXT in parts:
-        derived["fnum"] = F.coalesce(F.col("x"), numbers.parse_formatted_number(s))
+        signs = t.rlike(numbers.FORMATTED_SHAPE)
+        derived["fnum"] = F.coalesce(F.col("num"), F.when(signs, numbers.parse_formatted_number(t)))
         derived["word"] = numbers.parse_number_words(s)
+        derived["low"] = F.lower(t)
+        derived["mail"] = t.contains("@")
         derived["len"] = F.length(s)
     if DATES in parts:
-        derived["day"] = dates.first_date(s, extra=True)
-        derived["fmt"] = dates.first_format(s)
-        derived["layer_hits"] = F.when(
-            s.isNotNull() & (F.length(s) <= 40),
-            F.array(*[dates.parse_date(s, f).isNotNull() for f in fixed.LAYER_DATE_FORMATS]),
-        )
-    long = long.withColumns(derived)
+        derived["hits"] = dates.format_hits(s)
+        derived["stamp"] = dates.parse_date_time(s)
+    if derived:
+        long = long.withColumns(derived)
+    at = {f: i for i, f in enumerate(dates.ALL_FORMATS)}
+    if DATES in parts:
+        hits = F.col("hits")
+        report = F.array(*[hits[at[f]] for f in fixed.REPORT_DATE_FORMATS])
+        long = long.withColumns({
+            "fmt": F.array_position(report, True),
+            "is_day": F.array_contains(hits, True) | F.col("stamp").isNotNull(),
+            "is_layer_day": F.array_contains(F.array(*[hits[at[f]] for f in fixed.LAYER_DATE_FORMATS]), True),
+        })
     num = F.col("num")
     out = [
         F.count("*").alias("row_count"),
@@ -71,20 +82,20 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, parts: frozens
     ]
     if TEXT in parts:
         out += [
-            _hits(text.is_null_like(s)).alias("null_like"),
-            _hits(text.is_null_like(s, fixed.REPORT_NULL_TOKENS)).alias("null_like_wide"),
+            _hits(low.isin(*fixed.NULL_TOKENS)).alias("null_like"),
+            _hits(low.isin(*fixed.REPORT_NULL_TOKENS)).alias("null_like_wide"),
             F.count("word").alias("word_whole"),
             _hits(text.has_currency(s)).alias("currency"),
-            _hits(text.is_padded(s)).alias("padded"),
+            _hits(s != t).alias("padded"),
             F.count("fnum").alias("fnum_count"),
             _hits(s.isNotNull() & F.col("fnum").isNull() & F.col("word").isNull()).alias("leftover_text"),
             _hits(F.col("fnum") < 0).alias("fnum_negative"),
             _hits(F.col("fnum") > fixed.AGE_RANGE[1]).alias("fnum_over_age"),
             _hits(F.col("fnum") > fixed.SCORE_RANGE[1]).alias("fnum_over_score"),
-            _hits(text.trimmed(s).rlike(fixed.INTEGER_SHAPE)).alias("int_like"),
-            _hits(F.lower(s).isin("true", "false")).alias("bool_like"),
-            _hits(text.email_shaped(s)).alias("email_loose"),
-            _hits(text.email_shaped(s, strict=True)).alias("email_strict"),
+            _hits(F.col("num").isNotNull() & t.rlike(fixed.INTEGER_SHAPE)).alias("int_like"),
+            _hits(low.isin("true", "false")).alias("bool_like"),
+            _hits(F.col("mail") & text.email_shaped(s)).alias("email_loose"),
+            _hits(F.col("mail") & text.email_shaped(s, strict=True)).alias("email_strict"),
             F.sum(F.col("len").cast("bigint")).alias("len_sum"),
             F.min("len").alias("len_min"),
             F.max("len").alias("len_max"),
@@ -92,14 +103,13 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, parts: frozens
     if WORDS in parts:
         out.append(_hits(numbers.has_number_word(s)).alias("word_any"))
     if DATES in parts:
+        layer = [F.col("hits")[at[f]] for f in fixed.LAYER_DATE_FORMATS]
         out += [
-            F.count("day").alias("date_any"),
+            _hits(F.col("is_day")).alias("date_any"),
             _hits(s.rlike(fixed.ISO_DATE_SHAPE)).alias("iso_shaped"),
-            F.array(*[_hits(F.col("fmt") == f) for f in fixed.REPORT_DATE_FORMATS]).alias("format_counts"),
-            F.array(*[_hits(F.col("layer_hits")[i]) for i in range(len(fixed.LAYER_DATE_FORMATS))]).alias(
-                "layer_format_counts"
-            ),
-            _hits(F.exists("layer_hits", lambda h: h)).alias("layer_date"),
+            F.array(*[_hits(F.col("fmt") == i + 1) for i in range(len(fixed.REPORT_DATE_FORMATS))]).alias("format_counts"),
+            F.array(*[_hits(h) for h in layer]).alias("layer_format_counts"),
+            _hits(F.col("is_layer_day")).alias("layer_date"),
         ]
     if NUMBERS in parts:
         out += [
@@ -154,14 +164,19 @@ def table_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Type, nulls, distinct values, and min/max/mean/std/median of number columns."""
+def column_stats(
+    df: DataFrame, columns: list[str] | None = None, held: dict[str, dict] | None = None, unique: dict[str, int] | None = None
+) -> DataFrame:
+    """Type, nulls, distinct values, and min/max/mean/std/median of number columns.
+
+    ``held`` and ``unique`` are facts and distinct counts that are known already.
+    """
     columns = data_columns(df) if columns is None else columns
-    facts = column_facts(df, columns, frozenset({NUMBERS, BRACKET}))
-    held = collect_facts(facts)
+    held = held or collect_facts(column_facts(df, columns, frozenset({NUMBERS, BRACKET})))
     numeric = [c for c in columns if kind_of(df, c) == "number"]
     middle = stats.medians(df, held, numeric, lambda c: as_double(df, c))
-    unique = {r["column"]: r["unique_count"] for r in stats.distinct_counts(df, columns).collect()}
+    if unique is None:
+        unique = {r["column"]: r["unique_count"] for r in stats.distinct_counts(df, columns).collect()}
     rows = [
         (
             c, held[c]["dtype"], held[c]["null_count"], unique.get(c, 0),

@@ -12,7 +12,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import null_share
-from ..rows import data_columns, is_text, dtype_of, quoted
+from ..rows import data_columns, dtype_of, hold, is_text, quoted
 
 
 @dataclass
@@ -26,7 +26,12 @@ class AutoResult:
     dropped: list[str] = field(default_factory=list)
     kept_missing: list[str] = field(default_factory=list)
     issues: list[issues.Issue] = field(default_factory=list)
-    filled_stage: DataFrame | None = None
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Free the stage kept for the jobs; call it when the result is written."""
+        if self.held is not None:
+            self.held.unpersist()
 
     def table_issues(self) -> list[issues.Issue]:
         """Issues of the cleaned table as a whole (runs over the result)."""
@@ -121,7 +126,7 @@ def auto_clean(
     types = {c: infer.auto_type(raw[c], unique_raw.get(c, 0)) for c in target}
     notes = {c: _notes(raw[c], types[c]) for c in target}
 
-    clean = _clean_formats(df, types)
+    clean = hold(_clean_formats(df, types))
     held = facts_.collect_facts(facts_.column_facts(clean, target, frozenset({facts_.TEXT, facts_.NUMBERS, facts_.BRACKET})))
     found = issues.auto_column_issues(held, types, match)
     gap = {c: held[c]["null_count"] / held[c]["row_count"] if held[c]["row_count"] else 0 for c in target}
@@ -154,7 +159,7 @@ def auto_clean(
     out = filled.filter(null_share(filled) < fixed.SPARSE_ROW_SHARE)
     as_text = {c: dates.iso_text(quoted(c)) for c, k in types.items() if k == "datetime"}
     out = out.withColumns(as_text) if as_text else out
-    return AutoResult(out, types, notes, fills, dropped, kept, found, filled)
+    return AutoResult(out, types, notes, fills, dropped, kept, found, clean)
 
 
 def _notes(f: dict, kind: str) -> list[str]:

@@ -14,7 +14,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import drop_empty_rows, duplicate_ids, empty_row, remove_duplicates
-from ..rows import ROW_ID, data_columns, dtype_of, is_text, quoted
+from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, quoted
 
 LAYERS = (
     "profiling", "schema_inference", "issue_detection", "normalization", "validation", "repair",
@@ -76,12 +76,19 @@ def _word_text(c: Column) -> Column:
 def normalise(df: DataFrame, schema: Schema, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Trim, case, currency, number words, dates; values only, no row is lost."""
     frame, trail = _trail(df, schema, exclude)
-    return frame.select(*[quoted(trail[c][-1][2]).alias(c) if c in trail else quoted(c) for c in df.columns])
+    return _trail_end(frame, trail, df.columns)
+
+
+def _trail_end(frame: DataFrame, trail: dict[str, list[tuple]], columns: list[str]) -> DataFrame:
+    return frame.select(*[quoted(trail[c][-1][2]).alias(c) if c in trail else quoted(c) for c in columns])
 
 
 def normalise_audit(df: DataFrame, schema: Schema, exclude: tuple[str, ...] = ()) -> DataFrame:
     """One entry per changed cell and step, and a flag for dates with two readings."""
-    frame, trail = _trail(df, schema, exclude)
+    return _trail_audit(*_trail(df, schema, exclude))
+
+
+def _trail_audit(frame: DataFrame, trail: dict[str, list[tuple]]) -> DataFrame:
     entries = []
     for c, stages in trail.items():
         for action, a, b, confidence in stages:
@@ -225,6 +232,12 @@ class LayersResult:
     score: DataFrame | None = None
     layers_run: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Free the stages kept for the jobs; call it when the result is written."""
+        for df in self.held:
+            df.unpersist()
 
     def issue_table(self) -> DataFrame:
         return issues.issue_table(self.df.sparkSession, self.issues)
@@ -242,6 +255,7 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
     A layer that fails is noted in ``errors`` and left out; the others still run.
     Schema, issues and repair need the profile. Every layer is a lazy plan on the
     one before; jobs run for the profile, the repair decisions and the score only.
+    The normalised and the validated rows are kept, as several jobs read them.
     """
     config = config or {}
     chosen = set(layers or LAYERS)
@@ -271,15 +285,20 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
         out.issues = issues.layer_issues(df, found, out.schema)
 
     def normalization():
-        audits.append(normalise_audit(out.df, out.schema))
-        out.df = normalise(out.df, out.schema)
+        # All later layers read the normalised text, and the audit its steps.
+        frame, trail = _trail(df, out.schema)
+        frame = hold(frame)
+        out.held.append(frame)
+        audits.append(_trail_audit(frame, trail))
+        out.df = _trail_end(frame, trail, df.columns)
 
     def early_empty_rows():
         out.df = drop_empty_rows(out.df)
 
     def validation():
         audits.append(validate_audit(out.df, out.schema, rules))
-        out.df = validate(out.df, out.schema, rules)
+        out.df = hold(validate(out.df, out.schema, rules))
+        out.held.append(out.df)
 
     def repairing():
         pct = {c: 100 * f["null_count"] / f["row_count"] if f["row_count"] else 0.0 for c, f in found.held.items()}

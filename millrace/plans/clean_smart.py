@@ -12,7 +12,7 @@ from ..operators import facts as facts_
 from ..operators import infer, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import impossible_value, null_share, remove_duplicates
-from ..rows import data_columns, dtype_of, is_text, quoted
+from ..rows import data_columns, dtype_of, hold, is_text, quoted
 
 STAGES = (
     "null_tokens", "currency", "word_numbers", "types", "impossible_rows", "sparse_rows", "fill", "drop_columns",
@@ -30,6 +30,12 @@ class SmartResult:
     before_dedup: DataFrame | None = None
     rows_in: int = 0
     rows_kept: int = 0
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Free the stage kept for the jobs; call it when the result is written."""
+        if self.held is not None:
+            self.held.unpersist()
 
     def log_table(self) -> DataFrame:
         """``(stage, column, cells)``: what each stage changed; zero entries are left out."""
@@ -87,7 +93,7 @@ def smart_clean(df: DataFrame, config: dict | None = None, match: str = "token")
     """Clean by roles: ages, scores, currency, salaries and dates.
 
     Two aggregates decide everything: facts of the raw columns, and facts of the
-    rows left after the row filters. All stages themselves are one lazy plan.
+    rows left after the row filters. The typed stage is kept for the jobs on it.
     """
     config = config or {}
     columns = data_columns(df)
@@ -120,10 +126,10 @@ def smart_clean(df: DataFrame, config: dict | None = None, match: str = "token")
             flags.append(("dates", c, day.isNotNull() & ~day.eqNullSafe(value.cast("string"))))
             value = day
         typed[c] = value
-    flagged = df.select(
+    flagged = hold(df.select(
         *[typed[c].alias(c) if c in typed else quoted(c) for c in df.columns],
         *[F.coalesce(cond, F.lit(False)).alias(f"_f{i}") for i, (_, _, cond) in enumerate(flags)],
-    )
+    ))
     stage4 = flagged.select(*map(quoted, df.columns))
 
     bad = impossible_value(stage4, roles["age_columns"], roles["score_columns"], roles["salary_columns"])
@@ -160,7 +166,7 @@ def smart_clean(df: DataFrame, config: dict | None = None, match: str = "token")
     filled = apply_fills(kept, fills).drop(*dropped)
     rows_kept = next(iter(held.values()))["row_count"] if held else 0
     log += [("fill", f.column, f.missing) for f in fills] + [("drop_columns", c, held[c]["null_count"]) for c in dropped]
-    return SmartResult(remove_duplicates(filled), roles, log, fills, dropped, filled, row["n"], rows_kept)
+    return SmartResult(remove_duplicates(filled), roles, log, fills, dropped, filled, row["n"], rows_kept, flagged)
 
 
 def preview_clean(df: DataFrame, config: dict | None = None, rows: int = 50, match: str = "token") -> dict[str, DataFrame]:

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, steps
 from ..operators.fill import fill_missing
 from ..operators.joins import join_tables
-from ..rows import ROW_ID, data_columns, number_rows, quoted
+from ..rows import ROW_ID, data_columns, hold, number_rows, quoted
 from ..session import checkpointed
 from .clean_auto import AutoResult, auto_clean
 from .clean_smart import SmartResult, smart_clean
@@ -255,15 +254,15 @@ def run_steps(
     tables are still held, e.g. to write a snapshot.
     """
     run = Run(uuid.uuid4().hex[:12], "running", [], started_at=datetime.now(timezone.utc))
-    current = df.persist(StorageLevel.MEMORY_AND_DISK)
+    current = hold(df)
     source = StepReport(0, "Source Dataset", "source", current)
     run.reports.append(source)
     held: list[DataFrame] = [current]
-    known: issues.Evidence | None = None
+    known = None
     try:
         if report == "full":
-            known = issues.gather(current)
-            source.stats = facts_.column_stats(current)
+            known = _know(current)
+            source.stats = facts_.column_stats(current, held=known[0].held, unique=known[0].unique)
         if on_step:
             on_step(run, source)
         order = None
@@ -283,7 +282,7 @@ def run_steps(
             order = _order_after(step) or order
             if checkpoint_every and index % checkpoint_every == 0:
                 current = checkpointed(current)
-            current = current.persist(StorageLevel.MEMORY_AND_DISK)
+            current = hold(current)
             held.append(current)
             made = StepReport(index, step.name or step.step_type, step.step_type, current)
             made.diff = anomalies_.compute_diff(before, current, full=report != "counts")
@@ -305,19 +304,29 @@ def run_steps(
     return run
 
 
-def _enrich(made: StepReport, step: Step, before: DataFrame, after: DataFrame, known: issues.Evidence | None):
-    """Issues before and after, cell audit, score and schema; errors are noted."""
+_Known = tuple[issues.Evidence, list[issues.Issue]]
+
+
+def _know(df: DataFrame) -> _Known:
+    found = issues.gather(df)
+    return found, issues.layer_issues(df, found)
+
+
+def _enrich(made: StepReport, step: Step, before: DataFrame, after: DataFrame, known: _Known | None) -> _Known | None:
+    """Issues before and after, cell audit, score and schema; errors are noted.
+
+    Returns what was found after the step, which is what the next step starts from.
+    """
     spark = after.sparkSession
     fresh = None
     try:
-        known = known or issues.gather(before)
-        fresh = issues.gather(after)
-        made.stats = facts_.column_stats(after)
-        old = issues.layer_issues(before, known)
-        new = issues.layer_issues(after, fresh)
+        known = known or _know(before)
+        fresh = _know(after)
+        old, new = known[1], fresh[1]
+        made.stats = facts_.column_stats(after, held=fresh[0].held, unique=fresh[0].unique)
         made.issues_before, made.issues_after = issues.issue_table(spark, old), issues.issue_table(spark, new)
         made.issues_fixed = max(0, len(old) - len(new))
-        made.schema = infer.schema_table(spark, infer.semantic_schema(known.held))
+        made.schema = infer.schema_table(spark, infer.semantic_schema(known[0].held))
         made.score = score.quality_pair(before, after, made.issues_before, made.issues_after)
     except Exception as error:
         made.errors.append(f"issues: {error}")

@@ -6,6 +6,7 @@ through every step, so first/last, fills and audits never depend on partitions.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,15 @@ def as_double(df: DataFrame, name: str) -> Column:
     return c.cast("int").cast("double") if isinstance(dt, T.BooleanType) else c.cast("double")
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a stage that several jobs read, in memory and on disk.
+
+    The costly text work then runs once, and filters on its results are not copied
+    back into it. Lost blocks are computed again from the lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def number_rows(df: DataFrame, order_by: list[Column]) -> DataFrame:
     """Sort and give rows the positions 0..n-1 as a new ``_row_id``.
 

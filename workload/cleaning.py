@@ -28,10 +28,10 @@ def most_frequent(table: str, column: str) -> str:
 # --- automatic cleaner -----------------------------------------------------------------------
 _AUTO = with_dirty(
     f", c AS (SELECT row_id, order_id, cust_id, {fnum('price')} AS price, {fnum('age')} AS age, trim(status) AS status,"
-    f" {day('order_date')} AS order_date FROM dirty), f AS (SELECT row_id AS _row_id, order_id, round(coalesce(cust_id, {filled('c', 'cust_id')}), 6) AS cust_id,"
+    f" {day('order_date')} AS order_date, mostly_null FROM dirty), f AS (SELECT row_id AS _row_id, order_id, round(coalesce(cust_id, {filled('c', 'cust_id')}), 6) AS cust_id,"
     f" round(coalesce(price, {filled('c', 'price')}), 6) AS price, round(coalesce(age, {filled('c', 'age')}), 6) AS age, status,"
     " strftime(coalesce(order_date, (SELECT order_date FROM c WHERE order_date IS NOT NULL ORDER BY order_date LIMIT 1 OFFSET"
-    " (SELECT count(order_date) // 2 FROM c))), '%Y-%m-%d') AS order_date, mostly_null FROM c)  SELECT * FROM f"
+    " (SELECT count(order_date) // 2 FROM c))), '%Y-%m-%d') AS order_date, mostly_null FROM c) SELECT * FROM f"
 )
 
 
