@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
-from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, quoted
+from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, quoted, together
 from . import stats
 
 TEXT, WORDS, DATES, NUMBERS, BRACKET = "text", "words", "dates", "numbers", "bracket"
@@ -172,11 +172,13 @@ def column_stats(
     ``held`` and ``unique`` are facts and distinct counts that are known already.
     """
     columns = data_columns(df) if columns is None else columns
-    held = held or collect_facts(column_facts(df, columns, frozenset({NUMBERS, BRACKET})))
+    if held is None or unique is None:
+        held, unique = together(
+            lambda: held or collect_facts(column_facts(df, columns, frozenset({NUMBERS, BRACKET}))),
+            lambda: {r["column"]: r["unique_count"] for r in stats.distinct_counts(df, columns).collect()},
+        )
     numeric = [c for c in columns if kind_of(df, c) == "number"]
     middle = stats.medians(df, held, numeric, lambda c: as_double(df, c))
-    if unique is None:
-        unique = {r["column"]: r["unique_count"] for r in stats.distinct_counts(df, columns).collect()}
     rows = [
         (
             c, held[c]["dtype"], held[c]["null_count"], unique.get(c, 0),
@@ -192,11 +194,22 @@ def column_stats(
     )
 
 
+_PROFILE_FACTS = {
+    "column": "string", "kind": "string", "dtype": "string", "row_count": "bigint", "null_count": "bigint",
+    "num_count": "bigint", "num_min": "double", "num_max": "double", "num_mean": "double", "num_std": "double",
+    "negative": "bigint", "padded": "bigint", "len_min": "int", "len_max": "int", "currency": "bigint", "word_any": "bigint",
+}
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None, samples: int = 5) -> DataFrame:
     """Full profile: counts, null share, numbers, text lengths, hints and samples."""
     columns = data_columns(df) if columns is None else columns
-    facts = column_facts(df, columns)
-    held = collect_facts(facts)
+    # Facts, distinct counts and samples are small; they are collected once and joined locally.
+    held, unique, samples_of = together(
+        lambda: collect_facts(column_facts(df, columns)),
+        lambda: stats.distinct_counts(df, columns).collect(),
+        lambda: first_values(df, columns, samples).collect(),
+    )
     middle = stats.medians(
         df, held, columns, lambda c: F.coalesce(
             as_double(df, c) if kind_of(df, c) == "number" else
@@ -207,10 +220,15 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, samples: int
     middles = df.sparkSession.createDataFrame(
         [(c, middle.get(c)) for c in columns], "column string, num_median double"
     )
+    spark = df.sparkSession
+    small = lambda rows, schema: F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema))
+    facts = spark.createDataFrame([tuple(held[c].get(n) for n in _PROFILE_FACTS) for c in columns], ", ".join(
+        f"{n} {_PROFILE_FACTS[n]}" for n in _PROFILE_FACTS
+    ))
     out = (
-        facts.join(stats.distinct_counts(df, columns), "column", "left_outer")
+        facts.join(small(unique, "column string, unique_count bigint, unique_folded bigint"), "column", "left_outer")
         .join(F.broadcast(middles), "column", "left_outer")
-        .join(first_values(df, columns, samples), "column", "left_outer")
+        .join(small(samples_of, "column string, values array<string>"), "column", "left_outer")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     held_n = F.col("row_count") - F.col("null_count")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
-from ..rows import as_double, data_columns, quoted
+from ..rows import as_double, data_columns, quoted, together
 from . import facts as facts_
 from . import infer, stats
 from .steps import duplicate_ids, empty_row, null_share
@@ -62,16 +62,21 @@ class Evidence:
 
 
 def gather(df: DataFrame, unique: bool = True, duplicates: bool = True, exact: bool = True) -> Evidence:
+    """Facts, distinct values and copies, counted by jobs that run side by side."""
     columns = data_columns(df)
-    held = facts_.collect_facts(facts_.column_facts(df, columns, facts_.ALL))
-    found = Evidence(rows=max((f["row_count"] for f in held.values()), default=0), held=held)
-    found.null_cells = sum(f["null_count"] for f in held.values())
-    if unique:
-        for r in stats.distinct_counts(df, columns, exact).collect():
-            found.unique[r["column"]], found.folded[r["column"]] = r["unique_count"], r["unique_folded"]
-    if duplicates:
-        found.duplicate_rows = facts_.duplicate_count(df, columns).first()["duplicate_rows"]
-    return found
+    held, counts, copies = together(
+        lambda: facts_.collect_facts(facts_.column_facts(df, columns, facts_.ALL)),
+        lambda: stats.distinct_counts(df, columns, exact).collect() if unique else [],
+        lambda: facts_.duplicate_count(df, columns).first()["duplicate_rows"] if duplicates else 0,
+    )
+    return Evidence(
+        rows=max((f["row_count"] for f in held.values()), default=0),
+        held=held,
+        unique={r["column"]: r["unique_count"] for r in counts},
+        folded={r["column"]: r["unique_folded"] for r in counts},
+        duplicate_rows=copies,
+        null_cells=sum(f["null_count"] for f in held.values()),
+    )
 
 
 def _held(f: dict) -> int:
@@ -130,14 +135,16 @@ def report_issues(df: DataFrame, match: str = "token", found: Evidence | None =
     add(None, "duplicate_rows", "critical" if share > 10 else "warning", found.duplicate_rows,
         f"{found.duplicate_rows} copies of other rows ({share:.1f}%)", "remove duplicates, keep the first")
     id_columns = [c for c in columns if infer.name_has(c, fixed.ID_WORDS, match)]
-    repeated = {r["column"]: r for r in duplicate_ids(df, id_columns).collect()} if id_columns else {}
+    categorical = [c for c in columns if types[c] == "categorical"]
+    repeated, outliers, variants = together(
+        lambda: {r["column"]: r["beyond_first"] for r in duplicate_ids(df, id_columns).collect()} if id_columns else {},
+        lambda: outlier_counts(df, found.held),
+        lambda: {r["column"]: r["variants"] for r in case_variants(df, categorical).collect()} if categorical else {},
+    )
     for c in id_columns:
-        n = repeated[c]["beyond_first"] if c in repeated else 0
+        n = repeated.get(c, 0)
         add(c, "duplicate_ids", "critical", n, f"{n} repeated values in an ID column", "deduplicate or re-key")
 
-    outliers = outlier_counts(df, found.held)
-    categorical = [c for c in columns if types[c] == "categorical"]
-    variants = {r["column"]: r["variants"] for r in case_variants(df, categorical).collect()} if categorical else {}
     for c in columns:
         f, kind = found.held[c], types[c]
         pct = 100 * f["null_count"] / f["row_count"] if f["row_count"] else 0
@@ -220,12 +227,14 @@ def layer_issues(
         if count:
             out.append(Issue("layers", column, kind, severity, count, detail, action, confidence))
 
-    n = df.filter(empty_row(df)).count()
+    id_columns = [c for c in columns if schema[c]["semantic"] == "id"]
+    n, repeated = together(
+        lambda: df.filter(empty_row(df)).count(),
+        lambda: {r["column"]: r["member_rows"] for r in duplicate_ids(df, id_columns).collect()} if id_columns else {},
+    )
     add(WHOLE_TABLE, "empty_rows", "critical", n, f"{n} rows without content", "drop empty rows")
     add(WHOLE_TABLE, "duplicate_rows", "warning", found.duplicate_rows, f"{found.duplicate_rows} copies of other rows",
         "drop duplicates, keep the first")
-    id_columns = [c for c in columns if schema[c]["semantic"] == "id"]
-    repeated = {r["column"]: r["member_rows"] for r in duplicate_ids(df, id_columns).collect()} if id_columns else {}
     for c in id_columns:
         nulls = found.held[c]["null_count"]
         n = repeated.get(c, 0) + (nulls if nulls > 1 else 0)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..rows import data_columns, dtype_of, is_text, quoted
 
@@ -37,7 +38,17 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, exact: bool
             F.approx_count_distinct("value").alias("unique_count"),
             F.approx_count_distinct(F.lower("value")).alias("unique_folded"),
         )
-    folded = value_counts(df, columns).groupBy("column", F.lower("value").alias("low")).agg(F.count("*").alias("k"))
+    # Floating-point values are compared as numbers, which spares writing them out.
+    plain = {c for c in columns if isinstance(dtype_of(df, c), (T.DoubleType, T.FloatType))}
+    nothing_s, nothing_x = F.lit(None).cast("string"), F.lit(None).cast("double")
+    long = cells(
+        df,
+        columns,
+        s=lambda c: nothing_s if c in plain else quoted(c).cast("string"),
+        x=lambda c: quoted(c).cast("double") if c in plain else nothing_x,
+    ).filter(F.col("s").isNotNull() | F.col("x").isNotNull())
+    values = long.groupBy("column", "s", "x").agg(F.lit(1).alias("one"))
+    folded = values.groupBy("column", F.lower("s").alias("low"), "x").agg(F.count("*").alias("k"))
     return folded.groupBy("column").agg(
         F.sum("k").cast("bigint").alias("unique_count"), F.count("*").alias("unique_folded")
     )

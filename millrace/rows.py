@@ -6,8 +6,12 @@ through every step, so first/last, fills and audits never depend on partitions.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +69,15 @@ def as_double(df: DataFrame, name: str) -> Column:
     return c.cast("int").cast("double") if isinstance(dt, T.BooleanType) else c.cast("double")
 
 
+def together(*works: Callable[[], Any]) -> list:
+    """Run independent jobs at the same time from driver threads; results in order."""
+    if len(works) == 1:
+        return [works[0]()]
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(max_workers=len(works)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in works]]
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a stage that several jobs read, in memory and on disk.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
+from millrace.operators.joins import estimated_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,15 +90,27 @@ def with_dirty(sql: str) -> str:
 
 
 # --- inputs on the Spark side ----------------------------------------------------------
+SMALL_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in one file would keep all cores but one idle; a large one is
+    split by its files and is left as it is."""
+    size = estimated_bytes(df)
+    if size is not None and size <= SMALL_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice"
     )
-    out = spark.sql(f"WITH {DIRTY} SELECT * FROM dirty", orders=orders)
+    out = spark.sql(f"WITH {DIRTY} SELECT * FROM dirty", orders=spread(orders))
     return out.withColumnRenamed("row_id", "_row_id")
 
 

@@ -37,7 +37,7 @@ def _has(w: str) -> str:
 
 _search("catalog_and", "the AND data", f"{_has('the')} AND {_has('data')}")
 _search("catalog_or", "license or http", f"{_has('license')} OR {_has('http')}")
-_search("catalog_simple", "Copyright", _has("copyright"))
+_search("catalog_simple", " Data ", _has("data"))
 
 
 @query(

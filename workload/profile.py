@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import diff, facts, infer, stats, steps
 from millrace.functions import numbers
 
-from .base import DIRTY_COLUMNS, bare, day, dirty, num, query, table, with_dirty, word
+from .base import DIRTY_COLUMNS, bare, day, dirty, num, query, spread, table, with_dirty, word
 
 
 def per_column(template: str, columns=DIRTY_COLUMNS) -> str:
@@ -48,14 +48,14 @@ def column_stats(spark, sf):
     "column_stats_lineitem",
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, '{t}' AS dtype, 0 AS null_count, count(DISTINCT {c}) AS unique_count, CAST(min({c}) AS DOUBLE) AS min,"
-        f" CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,"
+        f" CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 9) AS mean, round(stddev_samp({c}), 6) AS std,"
         f" CAST(median({c}) AS DOUBLE) AS median FROM lineitem"
         for c, t in (("l_partkey", "bigint"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"))
     ),
 )
 def column_stats_lineitem(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    return facts.column_stats(df).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    df = spread(table(spark, sf, "lineitem")).select("l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    return facts.column_stats(df).withColumns({"mean": F.round("mean", 9), "std": F.round("std", 6)})
 
 
 _TEXTS = ("price", "age", "status", "order_date")
