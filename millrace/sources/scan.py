@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,15 +102,14 @@ def read_parquet(spark: SparkSession, path: str, key: str | None = None) -> Data
         return clean_nan(with_row_id(df, key))
     names = df.columns
     placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    files = sorted(df.inputFiles())
-    if len(files) <= 1:
+    if len(df.inputFiles()) <= 1:
         return clean_nan(placed.withColumn(ROW_ID, F.col("_index")).select(*map(quoted, names), ROW_ID))
-    listing = placed.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _ordinal bigint")
-    if len(files) <= 100_000:
-        listing = F.broadcast(listing)
+    # Needs no column, only file names; the list of files is one row per file.
+    listing = placed.select("_file").distinct()
+    listing = listing.withColumn("_ordinal", F.row_number().over(W.orderBy("_file")) - 1)
     joined = placed.join(listing, "_file")
     return clean_nan(
-        joined.withColumn(ROW_ID, F.shiftleft("_ordinal", 40) + F.col("_index")).select(*map(quoted, names), ROW_ID)
+        joined.withColumn(ROW_ID, F.shiftleft(F.col("_ordinal").cast("bigint"), 40) + F.col("_index")).select(*map(quoted, names), ROW_ID)
     )
 
 
