@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..rows import settled, together
 from . import diff as diff_
 
 
@@ -38,18 +39,27 @@ class Diff:
     drift: DataFrame
     categories: DataFrame | None = None
     distribution: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
 
 def compute_diff(before: DataFrame, after: DataFrame, full: bool = True) -> Diff:
-    """Compare two versions; ``full`` adds value shifts and distributions."""
+    """Compare two versions; ``full`` adds value shifts and distributions.
+
+    The comparisons run side by side, once. Each result has at most a row per column.
+    """
+    work = [lambda: settled(diff_.diff_rows(before, after)), lambda: settled(diff_.column_sums(before, after))]
+    if full:
+        work += [
+            lambda: settled(diff_.diff_categories(before, after)), lambda: settled(diff_.diff_distribution(before, after))
+        ]
+    rows, sums, *more = together(*work)
+    categories, distribution = more if full else (None, None)
     return Diff(
-        rows=diff_.diff_rows(before, after),
+        rows=rows,
         columns=diff_.diff_columns(before, after),
-        nulls=diff_.diff_nulls(before, after),
-        drift=diff_.diff_drift(before, after),
-        categories=diff_.diff_categories(before, after) if full else None,
-        distribution=diff_.diff_distribution(before, after) if full else None,
+        nulls=settled(diff_.diff_nulls(before, after, sums)),
+        drift=settled(diff_.diff_drift(before, after, sums)),
+        categories=categories,
+        distribution=distribution,
     )
 
 

@@ -67,41 +67,49 @@ def _of(side: int, value: Column) -> Column:
     return F.when(F.col("side") == side, value)
 
 
-def diff_nulls(before: DataFrame, after: DataFrame) -> DataFrame:
+def column_sums(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Missing cells and number figures of both sides, one pass over each table."""
+    columns = list(dict.fromkeys(data_columns(before) + data_columns(after)))
+    nothing = F.lit(None).cast("double")
+    long = _sides(
+        before, after, columns,
+        gone=lambda d, c: quoted(c).isNull().cast("bigint"),
+        x=lambda d, c: as_double(d, c) if is_number(dtype_of(d, c)) else nothing,
+    )
+    x = F.col("x")
+    return long.groupBy("column").agg(
+        F.sum(_of(0, F.col("gone"))).alias("null_b"), F.sum(_of(1, F.col("gone"))).alias("null_a"),
+        F.count(_of(0, F.lit(1))).alias("rows_b"),
+        F.avg(_of(0, x)).alias("mean_before"), F.avg(_of(1, x)).alias("mean_after"),
+        F.min(_of(0, x)).alias("min_before"), F.min(_of(1, x)).alias("min_after"),
+        F.max(_of(0, x)).alias("max_before"), F.max(_of(1, x)).alias("max_after"),
+    )
+
+
+def diff_nulls(before: DataFrame, after: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """Missing cells per column of the new table; NULL before for new columns."""
-    columns = data_columns(after)
-    fresh = [c for c in columns if c not in data_columns(before)]
-    long = _sides(before, after, columns, gone=lambda d, c: quoted(c).isNull().cast("bigint"))
-    n = long.groupBy("column").agg(
-        F.sum(_of(0, F.col("gone"))).alias("b"), F.sum(_of(1, F.col("gone"))).alias("a"),
-        F.count(_of(0, F.lit(1))).alias("rb"),
+    sums = column_sums(before, after) if sums is None else sums
+    fresh = [c for c in data_columns(after) if c not in data_columns(before)]
+    listing = before.sparkSession.createDataFrame(
+        [(c, c in fresh) for c in data_columns(after)], "column string, fresh boolean"
     )
-    listing = before.sparkSession.createDataFrame([(c, c in fresh) for c in columns], "column string, fresh boolean")
-    n = listing.join(n, "column", "left_outer")
+    n = listing.join(sums, "column", "left_outer")
     old = ~F.col("fresh")
-    b = F.when(old, F.coalesce("b", F.lit(0)))
-    a = F.coalesce(F.col("a"), F.lit(0))
+    b = F.when(old, F.coalesce("null_b", F.lit(0)))
+    a = F.coalesce(F.col("null_a"), F.lit(0))
     return n.select(
         "column", b.alias("null_before"), a.alias("null_after"), (a - b).alias("delta"),
-        F.when(old, percent(a - b, F.col("rb"))).alias("delta_pct"),
+        F.when(old, percent(a - b, F.col("rows_b"))).alias("delta_pct"),
     )
 
 
-def diff_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+def diff_drift(before: DataFrame, after: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """Mean, minimum and maximum of both sides and the drift of the mean in percent."""
-    columns = _numeric_in_both(before, after)
-    schema = "column string, mean_before double, mean_after double, drift_pct double, min_before double, min_after double, max_before double, max_after double"
-    if not columns:
-        return before.sparkSession.createDataFrame([], schema)
-    long = _sides(before, after, columns, x=as_double)
-    x = F.col("x")
-    g = long.groupBy("column").agg(
-        F.avg(_of(0, x)).alias("mean_before"), F.avg(_of(1, x)).alias("mean_after"),
-        F.min(_of(0, x)).alias("min_before"), F.min(_of(1, x)).alias("min_after"),
-        F.max(_of(0, x)).alias("max_before"), F.max(_of(1, x)).alias("max_after"),
-    )
+    sums = column_sums(before, after) if sums is None else sums
     drift = F.round(F.try_divide(F.col("mean_after") - F.col("mean_before"), F.abs("mean_before")) * 100, 2)
-    return g.select("column", "mean_before", "mean_after", drift.alias("drift_pct"), "min_before", "min_after", "max_before", "max_after")
+    return sums.filter(F.col("column").isin(_numeric_in_both(before, after))).select(
+        "column", "mean_before", "mean_after", drift.alias("drift_pct"), "min_before", "min_after", "max_before", "max_after"
+    )
 
 
 def diff_categories(before: DataFrame, after: DataFrame, samples: int = 20) -> DataFrame:

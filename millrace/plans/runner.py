@@ -17,7 +17,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, steps
 from ..operators.fill import fill_missing
 from ..operators.joins import join_tables
-from ..rows import ROW_ID, data_columns, hold, number_rows, quoted
+from ..rows import ROW_ID, data_columns, hold, number_rows, quoted, settled
 from ..session import checkpointed
 from .clean_auto import AutoResult, auto_clean
 from .clean_smart import SmartResult, smart_clean
@@ -286,7 +286,7 @@ def run_steps(
             held.append(current)
             made = StepReport(index, step.name or step.step_type, step.step_type, current)
             made.diff = anomalies_.compute_diff(before, current, full=report != "counts")
-            made.anomalies = anomalies_.detect_anomalies(made.diff, made.name, limits)
+            made.anomalies = settled(anomalies_.detect_anomalies(made.diff, made.name, limits))
             made.explanations = (
                 auto.explanations() if auto else anomalies_.explain_anomalies(made.anomalies, step.step_type)
             )
@@ -327,7 +327,7 @@ def _enrich(made: StepReport, step: Step, before: DataFrame, after: DataFrame, k
         made.issues_before, made.issues_after = issues.issue_table(spark, old), issues.issue_table(spark, new)
         made.issues_fixed = max(0, len(old) - len(new))
         made.schema = infer.schema_table(spark, infer.semantic_schema(known[0].held))
-        made.score = score.quality_pair(before, after, made.issues_before, made.issues_after)
+        made.score = settled(score.quality_pair(before, after, made.issues_before, made.issues_after))
     except Exception as error:
         made.errors.append(f"issues: {error}")
     if ROW_ID in before.columns and ROW_ID in after.columns:

@@ -78,6 +78,14 @@ def together(*works: Callable[[], Any]) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in works]]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small report as a local table, so that reading it twice runs no job twice.
+
+    Only for reports with a few rows per column of the schema.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a stage that several jobs read, in memory and on disk.
 
