@@ -16,6 +16,7 @@ from .text import trimmed
 
 _ABBREVIATED = "|".join(m[:3] for m in fixed.MONTHS)
 _FULL = "|".join(fixed.MONTHS)
+_MONTH_LIST = "array(" + ", ".join(f"'{m[:3]}'" for m in fixed.MONTHS) + ")"
 _DIGITS = {"Y": r"\d{4}", "y": r"\d{2}", "m": r"\d{1,2}", "d": r"\d{1,2}"}
 _PIECES = {"%Y": r"(\d{4})", "%d": r"(\d{1,2})", "%b": f"({_ABBREVIATED})", "%B": f"({_FULL})"}
 
@@ -60,7 +61,7 @@ def _with_month_name(text: Column, fmt: str) -> Column:
             body += r"\s+" if token == " " else re.escape(token)
     pattern = f"(?i)^{body}$"
     name = F.lower(F.substring(F.regexp_extract(text, pattern, groups["m"]), 1, 3))
-    month = F.array_position(F.array(*[F.lit(m[:3]) for m in fixed.MONTHS]), name)
+    month = F.array_position(F.expr(_MONTH_LIST), name)
     iso = F.concat_ws("-", F.regexp_extract(text, pattern, groups["Y"]), month, F.regexp_extract(text, pattern, groups["d"]))
     return F.when(text.rlike(pattern), iso.try_cast("date"))
 
@@ -140,7 +141,7 @@ def format_hits(c: Column) -> Column:
     def test(text: Column) -> Column:
         parts = [
             F.when(guard, F.array(*[_parsed(text, f).isNotNull() for f in mine])).otherwise(
-                F.array(*[F.lit(False)] * len(mine))
+                F.expr(f"array_repeat(false, {len(mine)})")
             )
             for guard, mine in _families(text, ALL_FORMATS)
         ]

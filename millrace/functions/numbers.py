@@ -9,6 +9,7 @@ from . import fixed
 from .text import has_currency, trimmed
 
 _ALL_WORDS = "|".join(fixed.WORD_VALUES)
+_WORD_MAP = "map(" + ", ".join(f"'{w}', {v}" for w, v in fixed.WORD_VALUES.items()) + ")"
 WORD_ANYWHERE = rf"(?i)\b({_ALL_WORDS})\b"
 _WORDS_ONLY = rf"(?i)^\s*(?:(?:{_ALL_WORDS})(?:\s+|$))+$"
 _WORDS_ONLY_HYPHEN = rf"(?i)^[\s-]*(?:(?:{_ALL_WORDS})(?:[\s-]+|$))+$"
@@ -47,7 +48,7 @@ def parse_number_words(c: Column, hyphens: bool = True, allow_zero: bool = True)
 
     The shape test runs first, so the word loop only touches matching cells.
     """
-    lookup = F.create_map(*[F.lit(x) for kv in fixed.WORD_VALUES.items() for x in kv])
+    lookup = F.expr(_WORD_MAP)
     plain = F.translate(F.lower(c), "-", " ") if hyphens else F.lower(c)
     words = F.split(trimmed(plain), r"\s+")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rows import settled, together
+from ..rows import local_table, settled, together
 from . import diff as diff_
 
 
@@ -201,7 +201,7 @@ def explain_anomalies(anomalies: DataFrame, step_type: str) -> DataFrame:
     group = STEP_GROUPS.get(step_type, step_type)
     specific = {r[0] for r in RULES if r[1] == group}
     chosen = [r for r in RULES if r[1] == group or (r[1] == "any" and r[0] not in specific)]
-    rules = anomalies.sparkSession.createDataFrame(
+    rules = local_table(anomalies.sparkSession, 
         [(k, conf, cause, fix, list(checks)) for k, _, conf, cause, fix, checks in chosen],
         "type string, confidence string, likely_cause string, suggested_fix string, recommended_checks array<string>",
     )

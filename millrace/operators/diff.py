@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
-from ..rows import as_double, data_columns, dtype_of, is_number, quoted
+from ..rows import as_double, data_columns, dtype_of, is_number, local_table, quoted
 from . import facts as facts_
 from . import ordered, stats
 
@@ -32,7 +32,7 @@ def diff_columns(before: DataFrame, after: DataFrame) -> DataFrame:
     for c in [*b, *[c for c in a if c not in b]]:
         state = "added" if c not in b else "removed" if c not in a else "same" if a[c] == b[c] else "type_changed"
         rows.append((c, state, b.get(c), a.get(c)))
-    return before.sparkSession.createDataFrame(rows, "column string, state string, type_before string, type_after string")
+    return local_table(before.sparkSession, rows, "column string, state string, type_before string, type_after string")
 
 
 def diff_rows(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def diff_nulls(before: DataFrame, after: DataFrame, sums: DataFrame | None = Non
     """Missing cells per column of the new table; NULL before for new columns."""
     sums = column_sums(before, after) if sums is None else sums
     fresh = [c for c in data_columns(after) if c not in data_columns(before)]
-    listing = before.sparkSession.createDataFrame(
+    listing = local_table(before.sparkSession, 
         [(c, c in fresh) for c in data_columns(after)], "column string, fresh boolean"
     )
     n = listing.join(sums, "column", "left_outer")
@@ -117,7 +117,7 @@ def diff_categories(before: DataFrame, after: DataFrame, samples: int = 20) -> D
     columns = [c for c in _common(before, after) if not is_number(dtype_of(before, c))]
     schema = "column string, added_count bigint, removed_count bigint, added_values array<string>, removed_values array<string>"
     if not columns:
-        return before.sparkSession.createDataFrame([], schema)
+        return local_table(before.sparkSession, [], schema)
     long = _sides(before, after, columns, value=lambda d, c: quoted(c).cast("string"))
     seen = (
         long.filter(F.col("value").isNotNull()).groupBy("column", "value")
@@ -147,7 +147,7 @@ def diff_distribution(
     columns = _numeric_in_both(before, after) if columns is None else columns
     schema = "column string, n_before bigint, n_after bigint, ks_stat double, ks_pvalue double"
     if not columns:
-        return before.sparkSession.createDataFrame([], schema)
+        return local_table(before.sparkSession, [], schema)
     long = _sides(before, after, columns, x=as_double).filter(F.col("x").isNotNull())
     counts = long.groupBy("column", "x").agg(
         F.count(_of(0, F.lit(1))).alias("b"), F.count(_of(1, F.lit(1))).alias("a")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
-from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, quoted, together
+from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, local_table, quoted, together
 from . import stats
 
 TEXT, WORDS, DATES, NUMBERS, BRACKET = "text", "words", "dates", "numbers", "bracket"
@@ -125,7 +125,7 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, parts: frozens
     if BRACKET in parts:
         out.append(stats.bracket(num).alias("num_bracket"))
     grouped = long.groupBy("column").agg(*out)
-    listing = spark.createDataFrame(
+    listing = local_table(spark, 
         [(i, c, kind_of(df, c), df.schema[c].dataType.simpleString()) for i, c in enumerate(columns)],
         "position int, column string, kind string, dtype string",
     )
@@ -187,7 +187,7 @@ def column_stats(
         )
         for c in columns
     ]
-    return df.sparkSession.createDataFrame(
+    return local_table(df.sparkSession, 
         rows,
         "column string, dtype string, null_count bigint, unique_count bigint, min double, max double,"
         " mean double, std double, median double",
@@ -217,12 +217,12 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, samples: int
             F.lit(None).cast("double"),
         )
     )
-    middles = df.sparkSession.createDataFrame(
+    middles = local_table(df.sparkSession, 
         [(c, middle.get(c)) for c in columns], "column string, num_median double"
     )
     spark = df.sparkSession
-    small = lambda rows, schema: F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema))
-    facts = spark.createDataFrame([tuple(held[c].get(n) for n in _PROFILE_FACTS) for c in columns], ", ".join(
+    small = lambda rows, schema: F.broadcast(local_table(spark, [tuple(r) for r in rows], schema))
+    facts = local_table(spark, [tuple(held[c].get(n) for n in _PROFILE_FACTS) for c in columns], ", ".join(
         f"{n} {_PROFILE_FACTS[n]}" for n in _PROFILE_FACTS
     ))
     out = (

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed
-from ..rows import data_columns
+from ..rows import data_columns, local_table
 from . import facts as F_
 from . import stats
 
@@ -168,7 +168,7 @@ def semantic_schema(held: dict[str, dict]) -> dict[str, dict]:
 
 
 def schema_table(spark: SparkSession, schema: dict[str, dict]) -> DataFrame:
-    return spark.createDataFrame(
+    return local_table(spark, 
         [(c, s["semantic"], s["storage"], s["confidence"], s["bucket"]) for c, s in schema.items()],
         "column string, semantic_type string, storage_type string, confidence string, bucket string",
     )
@@ -196,13 +196,13 @@ def column_types(df: DataFrame, family: str = "report", match: str = "token") ->
         (c, report_type(c, f, unique.get(c, 0), match) if family == "report" else auto_type(f, unique.get(c, 0)))
         for c, f in held.items()
     ]
-    return df.sparkSession.createDataFrame(rows, "column string, column_type string")
+    return local_table(df.sparkSession, rows, "column string, column_type string")
 
 
 def role_table(df: DataFrame, family: str = "smart", match: str = "token") -> DataFrame:
     """``(role, column)`` rows: detected roles, or those suggested by the report."""
     held = F_.collect_facts(F_.column_facts(df, parts=frozenset({F_.TEXT, F_.DATES})))
     roles = detect_roles(held, match) if family == "smart" else suggest_roles(held, unique_counts(df), match)
-    return df.sparkSession.createDataFrame(
+    return local_table(df.sparkSession, 
         [(r, c) for r, cs in roles.items() for c in cs], "role string, column string"
     )

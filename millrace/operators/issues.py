@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
-from ..rows import as_double, data_columns, quoted, together
+from ..rows import as_double, data_columns, local_table, quoted, together
 from . import facts as facts_
 from . import infer, stats
 from .steps import duplicate_ids, empty_row, null_share
@@ -46,7 +46,7 @@ class Issue:
 
 
 def issue_table(spark: SparkSession, issues: list[Issue]) -> DataFrame:
-    return spark.createDataFrame([i.row() for i in issues], ISSUE_SCHEMA)
+    return local_table(spark, [i.row() for i in issues], ISSUE_SCHEMA)
 
 
 @dataclass
@@ -402,6 +402,6 @@ def recommend_steps(df: DataFrame, match: str = "token", found: Evidence | None
                 step, config = "fill_missing", {"column": i.column, "method": "median" if numeric else "mode"}
         if step:
             rows.append((i.column, i.issue_type, i.severity, i.count, step, json.dumps(config), i.recommended_action))
-    return df.sparkSession.createDataFrame(
+    return local_table(df.sparkSession, 
         rows, "column string, issue_type string, severity string, count bigint, step_type string, config string, reasoning string"
     )

@@ -12,7 +12,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import null_share
-from ..rows import data_columns, dtype_of, hold, is_text, quoted
+from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted
 
 
 @dataclass
@@ -66,7 +66,7 @@ class AutoResult:
             value = str(filled[c].value) if c in filled else None
             checks = [f"review: {i.detail}" for i in mine if i.issue_type != "missing_values"]
             rows.append(("auto_clean", severity, c, decision, kind, summary, value, checks + self.notes.get(c, []), "high"))
-        return self.df.sparkSession.createDataFrame(
+        return local_table(self.df.sparkSession, 
             rows,
             "anomaly_type string, severity string, column string, decision string, detected_type string,"
             " summary string, fill_value string, recommended_checks array<string>, confidence string",

@@ -14,7 +14,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import drop_empty_rows, duplicate_ids, empty_row, remove_duplicates
-from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, quoted
+from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, local_table, quoted
 
 LAYERS = (
     "profiling", "schema_inference", "issue_detection", "normalization", "validation", "repair",
@@ -104,7 +104,7 @@ def _trail_audit(frame: DataFrame, trail: dict[str, list[tuple]]) -> DataFrame:
 def _entries_or_none(frame: DataFrame, entries: list[Column]) -> DataFrame:
     if entries:
         return audit_.explode_audit(frame, entries)
-    return frame.sparkSession.createDataFrame(
+    return local_table(frame.sparkSession, 
         [], f"{ROW_ID} bigint, column string, action string, from string, to string, confidence string, layer string"
     )
 
@@ -214,7 +214,7 @@ def duplicates_audit(before_rows: DataFrame, df: DataFrame, schema: Schema, keep
     ids = [c for c, s in schema.items() if s["semantic"] == "id" and c in df.columns]
     if ids:
         rows += [(r["column"], "flag_duplicate_ids", r["member_rows"]) for r in duplicate_ids(handle_duplicates(df, keep), ids).collect()]
-    return spark.createDataFrame(
+    return local_table(spark, 
         [(c, a, k, "high", "duplicate_handling") for c, a, k in rows if k],
         "column string, action string, rows bigint, confidence string, layer string",
     )

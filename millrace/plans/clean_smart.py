@@ -12,7 +12,7 @@ from ..operators import facts as facts_
 from ..operators import infer, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import impossible_value, null_share, remove_duplicates
-from ..rows import data_columns, dtype_of, hold, is_text, quoted
+from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted
 
 STAGES = (
     "null_tokens", "currency", "word_numbers", "types", "impossible_rows", "sparse_rows", "fill", "drop_columns",
@@ -40,7 +40,7 @@ class SmartResult:
     def log_table(self) -> DataFrame:
         """``(stage, column, cells)``: what each stage changed; zero entries are left out."""
         rows = [(s, c, n) for s, c, n in self.log if n]
-        return self.df.sparkSession.createDataFrame(rows, "stage string, column string, cells bigint")
+        return local_table(self.df.sparkSession, rows, "stage string, column string, cells bigint")
 
     def summary(self) -> DataFrame:
         """One row of totals; counts the result, so it runs the cleaned plan once."""
@@ -55,7 +55,7 @@ class SmartResult:
             "rows_before", "rows_after", "rows_removed", "null_strings_replaced", "currency_stripped",
             "word_nums_converted", "dates_normalized", "sparse_rows_removed", "nulls_filled", "cols_dropped", "dupes_removed",
         )
-        return self.df.sparkSession.createDataFrame([values], ", ".join(f"{n} bigint" for n in names))
+        return local_table(self.df.sparkSession, [values], ", ".join(f"{n} bigint" for n in names))
 
     def explanations(self) -> DataFrame:
         """One line per stage and column that changed something."""
@@ -78,7 +78,7 @@ class SmartResult:
             for f in self.fills
         ]
         rows += [("smart_clean", "warning", c, f"{c}: dropped, half or more missing", "high") for c in self.dropped]
-        return self.df.sparkSession.createDataFrame(
+        return local_table(self.df.sparkSession, 
             rows, "anomaly_type string, severity string, column string, summary string, confidence string"
         )
 

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .session import checkpointed
 
@@ -78,12 +80,22 @@ def together(*works: Callable[[], Any]) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in works]]
 
 
+def local_table(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
+    """A small table held by the driver. Built from Arrow, it is part of the plan
+    itself, so projections and filters on it run without a job."""
+    struct = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(struct)
+    columns = list(zip(*data)) or [()] * len(arrow)
+    table = pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=struct)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A small report as a local table, so that reading it twice runs no job twice.
 
     Only for reports with a few rows per column of the schema.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -110,7 +122,7 @@ def number_rows(df: DataFrame, order_by: list[Column]) -> DataFrame:
     for part in range(max(counts, default=-1) + 1):
         starts.append((part, total))
         total += counts.get(part, 0)
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    offsets = local_table(df.sparkSession, starts, "_part int, _start bigint")
     return (
         place.join(F.broadcast(offsets), "_part")
         .withColumn(ROW_ID, F.col("_start") + F.col("_place"))
