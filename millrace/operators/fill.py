@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, numbers
-from ..rows import as_double, data_columns, dtype_of, is_number, is_text, quoted, require_columns
+from ..rows import as_double, data_columns, dtype_of, is_number, is_text, quoted, require_columns, together
 from . import facts as facts_
 from . import stats
 from .ordered import carry_fill
@@ -66,8 +66,9 @@ def decide_fills(df: DataFrame, columns: list[str], min_numeric_share: float = 0
         share = f["num_count"] / f["row_count"] if f["row_count"] else 0
         (numeric if f["kind"] == "number" or share >= min_numeric_share else text).append(c)
     skewed = [c for c in numeric if abs(held[c]["num_skew"] or 0.0) >= fixed.SYMMETRIC_SKEW]
-    middle = stats.medians(df, held, skewed, lambda c: number_view(df, c))
-    common = stats.modes(df, text)
+    middle, common = together(
+        lambda: stats.medians(df, held, skewed, lambda c: number_view(df, c)), lambda: stats.modes(df, text)
+    )
     fills = []
     for c in numeric + text:
         f = held[c]

@@ -12,7 +12,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import null_share
-from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted
+from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted, together
 
 
 @dataclass
@@ -120,9 +120,11 @@ def auto_clean(
     medians, most frequent values and middle dates that a fill really needs.
     """
     target = [c for c in (columns or data_columns(df)) if c in df.columns]
-    raw = facts_.collect_facts(facts_.column_facts(df, target, frozenset({facts_.TEXT, facts_.DATES})))
-    texts = [c for c in target if raw[c]["kind"] == "text"]
-    unique_raw = infer.unique_counts(df, texts) if texts else {}
+    texts = [c for c in target if is_text(dtype_of(df, c))]
+    raw, unique_raw = together(
+        lambda: facts_.collect_facts(facts_.column_facts(df, target, frozenset({facts_.TEXT, facts_.DATES}))),
+        lambda: infer.unique_counts(df, texts) if texts else {},
+    )
     types = {c: infer.auto_type(raw[c], unique_raw.get(c, 0)) for c in target}
     notes = {c: _notes(raw[c], types[c]) for c in target}
 
@@ -141,19 +143,22 @@ def auto_clean(
     dropped = [c for c in weak if c not in kept] if drop_columns_above_threshold else []
     numeric = [c for c in target if types[c] == "numeric" and c not in weak and gap[c] > 0]
     skewed = [c for c in numeric if abs(held[c]["num_skew"] or 0.0) >= fixed.SYMMETRIC_SKEW]
-    middle = stats.medians(clean, held, skewed, lambda c: number_view(clean, c))
+    words = [c for c in target if types[c] in ("categorical", "text") and gap[c] > 0]
+    by_mode = [c for c in words if gap[c] <= fixed.AUTO_DROP_SHARE and unique.get(c, 0) <= fixed.LOW_CARDINALITY]
+    middle, common, days = together(
+        lambda: stats.medians(clean, held, skewed, lambda c: number_view(clean, c)),
+        lambda: stats.modes(clean, by_mode),
+        lambda: _date_fills(clean, [c for c in target if types[c] == "datetime" and gap[c] > 0], held),
+    )
     info = lambda c: dict(missing=held[c]["null_count"], missing_pct=round(100 * gap[c], 2))
     fills = [
         Fill(c, "median", middle.get(c), skewness=held[c]["num_skew"], numeric=True, **info(c)) if c in skewed
         else Fill(c, "mean", held[c]["num_mean"], skewness=held[c]["num_skew"], numeric=True, **info(c))
         for c in numeric
     ]
-    words = [c for c in target if types[c] in ("categorical", "text") and gap[c] > 0]
-    by_mode = [c for c in words if gap[c] <= fixed.AUTO_DROP_SHARE and unique.get(c, 0) <= fixed.LOW_CARDINALITY]
-    common = stats.modes(clean, by_mode)
     for c in words:
         fills.append(Fill(c, "mode" if c in common else "constant", common.get(c, "Unknown"), **info(c)))
-    fills += _date_fills(clean, [c for c in target if types[c] == "datetime" and gap[c] > 0], held)
+    fills += days
 
     filled = apply_fills(clean, fills).drop(*dropped)
     out = filled.filter(null_share(filled) < fixed.SPARSE_ROW_SHARE)

@@ -14,7 +14,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import drop_empty_rows, duplicate_ids, empty_row, remove_duplicates
-from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, local_table, quoted
+from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, local_table, quoted, together
 
 LAYERS = (
     "profiling", "schema_inference", "issue_detection", "normalization", "validation", "repair",
@@ -156,9 +156,10 @@ def decide_repairs(df: DataFrame, schema: Schema, null_pct: dict[str, float]) ->
     by_median = [
         c for c in numeric if held[c]["num_count"] < 3 or abs(held[c]["num_skew"] or 0.0) >= fixed.SYMMETRIC_SKEW
     ]
-    middle = stats.medians(df, held, by_median, lambda c: number_view(df, c))
     words = [c for c in gaps if schema.get(c, {}).get("bucket") not in buckets]
-    common = stats.modes(df, words)
+    middle, common = together(
+        lambda: stats.medians(df, held, by_median, lambda c: number_view(df, c)), lambda: stats.modes(df, words)
+    )
     out = []
     for c in gaps:
         pct = null_pct.get(c, 0.0)

@@ -12,7 +12,7 @@ from ..operators import facts as facts_
 from ..operators import infer, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import impossible_value, null_share, remove_duplicates
-from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted
+from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted, together
 
 STAGES = (
     "null_tokens", "currency", "word_numbers", "types", "impossible_rows", "sparse_rows", "fill", "drop_columns",
@@ -153,8 +153,10 @@ def smart_clean(df: DataFrame, config: dict | None = None, match: str = "token")
     gap = {c: held[c]["null_count"] / held[c]["row_count"] if held[c]["row_count"] else 0.0 for c in columns}
     fillable = [c for c in columns if 0 < gap[c] < fixed.NULL_COLUMN_SHARE]
     numeric = [c for c in fillable if held[c]["kind"] == "number"]
-    middle = stats.medians(kept, held, numeric, lambda c: number_view(kept, c))
-    common = stats.modes(kept, [c for c in fillable if c not in numeric])
+    middle, common = together(
+        lambda: stats.medians(kept, held, numeric, lambda c: number_view(kept, c)),
+        lambda: stats.modes(kept, [c for c in fillable if c not in numeric]),
+    )
     fills = []
     for c in fillable:
         info = dict(missing=held[c]["null_count"], missing_pct=round(100 * gap[c], 1))

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Longer methods are not compiled by the JIT; Spark then splits the code instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Spares two extra calls to the JVM for every column expression that is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
