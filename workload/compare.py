@@ -229,7 +229,7 @@ def anomalies_of_step(spark, sf):
 @query(
     "duplicate_anomalies",
     with_dirty(
-        f", after AS (SELECT {_COLS} FROM dirty UNION ALL SELECT {_COLS} FROM dirty WHERE order_id % 2 = 0)"
+        f", after AS (SELECT {_COLS} FROM dirty UNION ALL SELECT {_COLS} FROM dirty WHERE upper(trim(status)) = 'O')"
         " SELECT 'duplicate_spike' AS type, round(((ra - da) - (rb - db)) / (rb - db) * 100, 6) AS value FROM"
         " (SELECT count(*) AS rb FROM dirty), (SELECT count(*) AS ra FROM after),"
         f" (SELECT count(*) AS db FROM (SELECT DISTINCT {_COLS} FROM dirty)), (SELECT count(*) AS da FROM (SELECT DISTINCT {_COLS} FROM after))"
@@ -237,10 +237,10 @@ def anomalies_of_step(spark, sf):
     ),
 )
 def duplicate_anomalies(spark, sf):
-    """Half of the rows copied: more duplicates, and just over half as many rows again."""
+    """The open orders copied: more duplicates and more rows."""
     before = dirty(spark, sf)
-    after = before.unionByName(before.filter("order_id % 2 = 0"))
-    limits = anomalies.Thresholds(row_increase_pct=45)
+    after = before.unionByName(before.filter("upper(trim(status)) = 'O'"))
+    limits = anomalies.Thresholds(row_increase_pct=20)
     found = anomalies.detect_anomalies(anomalies.compute_diff(before, after, full=False), "copy", limits)
     return found.filter(F.col("column").isNull()).select("type", F.round("value", 6).alias("value"))
 
@@ -266,7 +266,7 @@ def explanations(spark, sf):
 # --- audit ---------------------------------------------------------------------------------------
 _CLEAN = (
     f", clean AS (SELECT row_id, trim(upper(status)) AS status, {num('age')} AS age, CASE WHEN NOT {null_like('price')} THEN price END AS price,"
-    " coalesce(cust_id, -1) AS cust_id FROM dirty WHERE order_id % 5 <> 1)"
+    " coalesce(cust_id, -1) AS cust_id FROM dirty WHERE upper(trim(status)) <> 'P')"
 )
 
 
@@ -274,7 +274,7 @@ def _cleaned(spark, sf):
     before = dirty(spark, sf).select("_row_id", "status", "age", "price", "cust_id")
     from millrace.functions import text
 
-    after = steps.change_dtype(dirty(spark, sf).filter("order_id % 5 <> 1"), "age", "int")
+    after = steps.change_dtype(dirty(spark, sf).filter("upper(trim(status)) <> 'P'"), "age", "int")
     return before, after.select(
         "_row_id", F.upper(text.trimmed(F.col("status"))).alias("status"), F.col("age").cast("string").alias("age"),
         text.null_tokens_to_null(F.col("price")).alias("price"), F.coalesce("cust_id", F.lit(-1)).alias("cust_id"),
@@ -351,13 +351,13 @@ def _plan(customers):
 
 def _scenario(spark, sf):
     orders = keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    customers = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
+    customers = table(spark, sf, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
     return orders, customers
 
 
 _JOINED = (
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_name, c_acctbal, round(o_totalprice - c_acctbal, 4) AS gap"
-    " FROM orders JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0 WHERE o_orderstatus = 'F'"
+    " FROM orders JOIN customer ON c_custkey = o_custkey AND c_mktsegment IN ('BUILDING', 'MACHINERY') WHERE o_orderstatus = 'F'"
 )
 
 
