@@ -1,5 +1,5 @@
-"""A pipeline over a corpus: toxic documents go, near copies go, benchmark passages go,
-secrets are masked, the rest is packed into sequences.
+"""A pipeline over a corpus: toxic documents go, of near copies one stays, documents with
+benchmark passages go, secrets are masked, the rest is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as
 the documents of the next one.
@@ -9,25 +9,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import secrets
+from millrace.llm import decontaminate, jaccard, packing, secrets, toxicity
 from millrace.llm.common import read, stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labelled ones among them, calls toxic go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more over five words, the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows make a twentieth or more go. Rows without an id stay."""
+    judged = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    bad = judged.where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret span is replaced by a mark; all documents stay."""
     return secrets.redact(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of the documents in sequences of at most 1024."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("secrets", mask_secrets),
+    ("packing", pack),
 ]
 
-# Stages with trained scores and tokenizers have no SQL form; tests compare them with brute force.
+# Trained scores and tokenizers have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

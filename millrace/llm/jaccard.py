@@ -147,7 +147,7 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _verify(size: int, threshold: float):
     """One pair of blocks: links between its sides (or inside one block), as one row per member."""
 
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, left, right = (k.as_py() for k in key)
         members: dict = {}
         for row in table.select(["doc_id", "text", "copies", "block"]).to_pylist():
