@@ -33,7 +33,7 @@ from .common import crc_of_id, id_and_text, slices, stored
 
 PER_CLASS = 6_000
 SHORTEST, LONGEST = 4, 12
-LEAST_G = 35.0  # log-likelihood ratio; 35 is about one in a hundred million by chance
+LEAST_G = 27.0  # log-likelihood ratio; 27 is about one in five million by chance
 LEAST_ODDS = math.log(20)
 MOST_TERMS = 5_000
 EXCEPTION_DOCS = 3
