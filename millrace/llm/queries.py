@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, secrets, toxicity
+from . import decontaminate, embeddings, jaccard, packing, quality, secrets, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
