@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, packing, quality, secrets, toxicity
+from . import decontaminate, embeddings, html, jaccard, packing, quality, secrets, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
