@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, jaccard, packing, quality, secrets, toxicity
+from . import decontaminate, embeddings, html, jaccard, packing, phrases, quality, secrets, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_text")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(read(spark, sf_dir, "documents"))
