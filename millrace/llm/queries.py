@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, jaccard, packing, phrases, quality, secrets, toxicity
+from . import decontaminate, embeddings, html, jaccard, packing, phrases, quality, secrets, substrings, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
