@@ -105,7 +105,7 @@ def _families(text: Column, formats: tuple[str, ...]) -> list[tuple[Column, list
 
 
 def _could_be_date(text: Column) -> Column:
-    return F.length(text).between(6, 40) & text.rlike(r"\d")
+    return (F.length(text) >= 6) & text.rlike(r"\d")
 
 
 def _first(c: Column, formats: tuple[str, ...], one) -> Column:

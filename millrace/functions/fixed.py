@@ -25,7 +25,7 @@ WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　"
 CURRENCY_SYMBOLS = "£$€¥₹"
 CURRENCY_SHAPE = "[£$€¥₹]"
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INTEGER_SHAPE = r"^[+-]?\d{1,18}$"
+INTEGER_SHAPE = r"^[+-]?\d+$"
 EMAIL_LOOSE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 EMAIL_STRICT = r"^[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}$"
 ID_NAME_SHAPE = r"\bid\b|_id$|^id_"

@@ -152,63 +152,65 @@ def detect_anomalies(d: Diff, step_name: str = "", limits: Thresholds = Threshol
 
 
 # --- explanations -----------------------------------------------------------------------------
-# (anomaly, step group, confidence, cause, fix, checks); step group "any" is the default.
-RULES = (
-    ("large_row_drop", "filter_rows", "high", "The filter condition rejected most rows.",
-     "Recheck the operator and value of the filter.",
-     ("Count the values of the filter column first.", "See whether missing values are filtered out.", "Check strict against inclusive comparison.")),
-    ("large_row_drop", "join", "high", "Few rows found a partner for the join key.",
-     "Align the key columns of both tables.",
-     ("Compare the distinct keys of both tables.", "Look for blanks around keys.", "Compare the types of the key columns.")),
-    ("large_row_drop", "drop_missing", "high", "Rows with missing cells were dropped.",
-     "Fill columns that are not essential instead of dropping rows.",
-     ("See which columns are missing most.", "Decide which columns must be complete.")),
-    ("large_row_drop", "any", "medium", "The step removed a large part of the table.",
-     "Look for settings of the step that are too strict.", ("Read the settings of the step.", "Compare rows before and after.")),
-    ("row_explosion", "any", "high", "The join key repeats on both sides, so rows multiplied.",
-     "Remove duplicate keys before the join, or use a one-sided join.",
-     ("Test whether the key is unique on each side.", "Count the rows per key.", "Consider one row per key.")),
-    ("column_mostly_null", "change_dtype", "high", "Values that do not fit the new type became missing.",
-     "Clean the values before the cast.", ("List the most common raw values.", "See whether an earlier step removed values.")),
-    ("column_mostly_null", "join", "high", "Most rows found no partner that supplies this column.",
-     "Align the keys, or fill the column after the join.", ("List the most common raw values.", "See whether an earlier step removed values.")),
-    ("column_mostly_null", "any", "medium", "The step overwrote or discarded the values of the column.",
-     "Review how the step treats this column.", ("List the most common raw values.", "See whether an earlier step removed values.")),
-    ("null_increase", "any", "medium", "Casts, unmatched joins or computed values left new gaps.",
-     "Fill the column afterwards, or find the source of the gaps.", ("Compare the values before the step.", "Look for texts that could not be read.")),
-    ("type_change", "any", "low", "The column has another type now, which later steps may not expect.",
-     "Cast the column back if the change was not wanted.", ("Check what later steps need.", "Check whether values were lost.")),
-    ("duplicate_spike", "any", "medium", "Repeated keys in a join or an incomplete grouping copied rows.",
-     "Remove duplicates after this step.", ("Test whether the join key is unique.", "Try removing duplicates.")),
-    ("duplicates_appeared", "any", "medium", "Repeated keys in a join or an incomplete grouping copied rows.",
-     "Remove duplicates after this step.", ("Test whether the join key is unique.", "Try removing duplicates.")),
-    ("stat_drift", "any", "medium", "The step kept a part of the rows with other values, or damaged the values.",
-     "See whether the removed rows had mainly high or low values.", ("Compare the column before and after.", "Rule out a systematic loss of rows.")),
-    ("distribution_shift", "any", "medium", "The values are spread differently after the step.",
-     "Decide whether the change was intended.", ("Compare the histograms.", "Look for rescaled or resampled values.")),
-    ("category_disappear", "any", "medium", "Some values were filtered out or had no partner in a join.",
-     "Review the condition if the values should remain.", ("Count the values before and after.", "Decide which values may go.")),
-)
+# How sure an explanation is, by anomaly; and where the kind of step makes it surer.
+CONFIDENCE = {
+    "large_row_drop": "medium", "row_explosion": "high", "column_mostly_null": "medium", "null_increase": "medium",
+    "type_change": "low", "duplicate_spike": "medium", "duplicates_appeared": "medium", "stat_drift": "medium",
+    "distribution_shift": "medium", "category_disappear": "medium",
+}
+SURE_STEPS = {"large_row_drop": ("filter_rows", "join", "drop_missing"), "column_mostly_null": ("change_dtype", "join")}
 STEP_GROUPS = {"merge": "join"}
 SEVERITY_RANK = {"critical": 0, "warning": 1, "info": 2}
 
 
-def explain_anomalies(anomalies: DataFrame, step_type: str) -> DataFrame:
+def confidence(step_type: str) -> dict[str, str]:
+    group = STEP_GROUPS.get(step_type, step_type)
+    return {k: "high" if group in SURE_STEPS.get(k, ()) else v for k, v in CONFIDENCE.items()}
+
+
+def _evidence(d: Diff | None, spark) -> DataFrame:
+    """What the comparison measured, as (column, facts): one row of totals with a null column,
+    and one row per column. Every fact is a text such as ``missing cells: 3 to 40``."""
+    if d is None:
+        return local_table(spark, [], "column string, facts array<string>")
+    shown = lambda label, a, b: F.when(
+        a.isNotNull() | b.isNotNull(), F.concat(F.lit(f"{label}: "), F.coalesce(a.cast("string"), F.lit("none")), F.lit(" to "), F.coalesce(b.cast("string"), F.lit("none")))
+    )
+    pair = lambda label, name: shown(label, F.col(f"{name}_before"), F.col(f"{name}_after"))
+    totals = d.rows.select(F.lit(None).cast("string").alias("column"), F.array_compact(F.array(pair("rows", "row_count"), pair("duplicate rows", "duplicate"))).alias("facts"))
+    parts = [
+        d.nulls.select("column", shown("missing cells", F.col("null_before"), F.col("null_after")).alias("fact")),
+        d.columns.filter(F.col("state") == "type_changed").select("column", pair("type", "type").alias("fact")),
+        d.drift.select("column", F.format_string("mean moved by %.2f%%", "drift_pct").alias("fact")),
+    ]
+    if d.categories is not None:
+        parts.append(d.categories.filter("removed_count > 0").select("column", F.format_string("values gone: %d", "removed_count").alias("fact")))
+    if d.distribution is not None:
+        parts.append(d.distribution.select("column", F.format_string("largest gap between the distributions: %.3f", "ks_stat").alias("fact")))
+    facts = reduce(DataFrame.unionByName, parts).filter("fact is not null")
+    return totals.unionByName(facts.groupBy("column").agg(F.array_sort(F.collect_list("fact")).alias("facts")))
+
+
+def explain_anomalies(anomalies: DataFrame, step_type: str, d: Diff | None = None, config: dict | None = None) -> DataFrame:
     """Cause, confidence, checks and fix of each anomaly, most severe first.
 
-    The rules table has one row per rule, so it is always small enough to broadcast.
+    The cause names the step and its settings, the checks are the facts that the comparison
+    measured for the column (or for the table), the fix says which limit the result missed by
+    how much. All sides have a few rows per column of the table.
     """
-    group = STEP_GROUPS.get(step_type, step_type)
-    specific = {r[0] for r in RULES if r[1] == group}
-    chosen = [r for r in RULES if r[1] == group or (r[1] == "any" and r[0] not in specific)]
-    rules = local_table(anomalies.sparkSession, 
-        [(k, conf, cause, fix, list(checks)) for k, _, conf, cause, fix, checks in chosen],
-        "type string, confidence string, likely_cause string, suggested_fix string, recommended_checks array<string>",
-    )
+    sure = F.create_map(*[F.lit(x) for kv in confidence(step_type).items() for x in kv])
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])
-    out = anomalies.join(F.broadcast(rules), "type").select(
+    settings = ", ".join(f"{k}={v}" for k, v in sorted((config or {}).items()) if isinstance(v, (str, int, float, bool, list)))
+    cause = F.format_string("step %s%s", F.lit(step_type), F.lit(f" with {settings}" if settings else ""))
+    fix = F.when(
+        F.col("threshold").isNotNull(), F.format_string("change the step until the value of %.2f is back within %.2f", "value", "threshold")
+    ).otherwise(F.lit("confirm that the change is wanted"))
+    known = _evidence(d, anomalies.sparkSession).withColumnRenamed("column", "_column")
+    out = anomalies.join(known, F.col("column").eqNullSafe(F.col("_column")), "left").select(
         F.col("type").alias("anomaly_type"), "severity", "column", "value", F.col("message").alias("summary"),
-        "likely_cause", "confidence", "recommended_checks", "suggested_fix", rank[F.col("severity")].alias("severity_rank"),
+        cause.alias("likely_cause"), sure[F.col("type")].alias("confidence"),
+        F.coalesce("facts", F.array().cast("array<string>")).alias("recommended_checks"), fix.alias("suggested_fix"),
+        rank[F.col("severity")].alias("severity_rank"),
     )
     return out.orderBy("severity_rank", "anomaly_type", "column")
 
@@ -222,6 +224,6 @@ def badge_counts(anomalies: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "ANOMALY_COLUMNS", "Diff", "RULES", "Thresholds", "badge_counts", "compute_diff", "detect_anomalies",
-    "explain_anomalies",
+    "ANOMALY_COLUMNS", "Diff", "Thresholds", "badge_counts", "compute_diff", "detect_anomalies",
+    "confidence", "explain_anomalies",
 ]

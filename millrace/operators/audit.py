@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rows import ROW_ID, data_columns, quoted, require_row_id
+from ..rows import RIGHT_ID, ROW_ID, data_columns, quoted, require_row_id
 
 AUDIT_COLUMNS = (ROW_ID, "column", "action", "from", "to", "confidence", "layer")
 
@@ -31,6 +31,8 @@ def audit_cells(before: DataFrame, after: DataFrame, columns: list[str] | None =
     """Every changed cell of rows present in both versions, matched by row id."""
     require_row_id(before, "audit")
     require_row_id(after, "audit")
+    if RIGHT_ID in before.columns:
+        raise ValueError("row ids repeat after a join: number the rows before the next audit")
     names = [c for c in (columns or data_columns(before)) if c in before.columns and c in after.columns]
     b = before.select(quoted(ROW_ID), *[quoted(c).cast("string").alias(f"b{i}") for i, c in enumerate(names)])
     a = after.select(quoted(ROW_ID), *[quoted(c).cast("string").alias(f"a{i}") for i, c in enumerate(names)])

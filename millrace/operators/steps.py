@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates, fixed, text
 from ..rows import (
-    ROW_ID, as_double, data_columns, dtype_of, is_number, is_text, quoted, require_columns, require_row_id,
+    RIGHT_ID, ROW_ID, as_double, data_columns, dtype_of, is_number, is_text, quoted, require_columns, require_row_id,
 )
 from .fill import number_view
 
@@ -21,7 +22,7 @@ def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         raise ValueError("select_columns needs a non-empty list of columns")
     require_columns(df, columns)
-    hidden = [ROW_ID] if ROW_ID in df.columns and ROW_ID not in columns else []
+    hidden = [c for c in (ROW_ID, RIGHT_ID) if c in df.columns and c not in columns]
     return df.select(*map(quoted, hidden + columns))
 
 
@@ -77,7 +78,13 @@ def change_dtype(df: DataFrame, column: str, dtype: str, truthy: bool = False) -
         whole = F.when(x == F.floor(x), x).when(
             x.isNotNull(), F.raise_error(F.lit(f"change_dtype: {column} holds fractional numbers")).cast("double")
         )
-        out = c.cast("bigint") if isinstance(dt, T.IntegralType) else whole.try_cast("bigint")
+        if isinstance(dt, T.IntegralType):
+            out = c.cast("bigint")
+        elif is_text(dt):  # whole numbers never pass through DOUBLE
+            plain = text.trimmed(c)
+            out = F.when(plain.rlike(fixed.INTEGER_SHAPE), plain.try_cast("bigint")).otherwise(whole.try_cast("bigint"))
+        else:
+            out = whole.try_cast("bigint")
     elif dtype == "float":
         out = number_view(df, column)
     elif dtype == "str":
@@ -95,13 +102,49 @@ def change_dtype(df: DataFrame, column: str, dtype: str, truthy: bool = False) -
 
 
 # --- filters ---------------------------------------------------------------------------
+_BIGINT = (-(1 << 63), (1 << 63) - 1)
+
+
+def _number(value: Any) -> Decimal | None:
+    """The exact value of a number or of its text; None if it is neither."""
+    try:
+        out = Decimal(repr(value) if isinstance(value, float) else str(value).strip())
+    except InvalidOperation:
+        return None
+    return out if out.is_finite() else None
+
+
 def _literal(df: DataFrame, column: str, value: Any) -> Column:
     dt = dtype_of(df, column)
     if is_text(dt):
         return F.lit(str(value))
-    if isinstance(dt, T.NumericType) and not isinstance(value, (int, float)):
-        return F.lit(str(value)).try_cast("double")
-    return F.lit(value) if isinstance(dt, T.NumericType) else F.lit(value).try_cast(dt.simpleString())
+    if isinstance(dt, T.NumericType):
+        x = _number(value)
+        if x is None:
+            return F.lit(float(value)) if isinstance(value, float) else F.lit(None).cast(dt)
+        if isinstance(dt, T.IntegralType):
+            return F.lit(int(x))
+        return F.lit(float(x)) if isinstance(dt, (T.DoubleType, T.FloatType)) else F.lit(x)
+    return F.lit(value).try_cast(dt.simpleString())
+
+
+def _compared(c: Column, dt: T.DataType, operator: str, value: Any) -> Column:
+    """Order comparison in the column's own type, so that it is exact and can be pushed down.
+
+    On whole numbers a fractional or far bound becomes the nearest bound that the type has."""
+    ops = {">": c.__gt__, ">=": c.__ge__, "<": c.__lt__, "<=": c.__le__}
+    x = _number(value)
+    if x is None:
+        return ops[operator](F.lit(float(value)))
+    if isinstance(dt, T.IntegralType):
+        up = operator in (">=", "<")
+        bound = int(x.to_integral_value(ROUND_CEILING if up else ROUND_FLOOR))
+        if not _BIGINT[0] <= bound <= _BIGINT[1]:
+            return c.isNotNull() if (bound > 0) == (operator in ("<", "<=")) else F.lit(False)
+        return ops[operator](F.lit(bound))
+    if isinstance(dt, T.DecimalType):
+        return ops[operator](F.lit(x))
+    return ops[operator](F.lit(float(x)))
 
 
 def row_condition(df: DataFrame, column: str, operator: str = "==", value: Any = None, literal: bool = False) -> Column:
@@ -112,15 +155,19 @@ def row_condition(df: DataFrame, column: str, operator: str = "==", value: Any =
         return c.isNull()
     if operator == "notnull":
         return c.isNotNull()
+    dt = dtype_of(df, column)
+    if isinstance(dt, T.IntegralType) and operator in ("==", "!="):
+        x = _number(value)
+        if x is not None and (x != x.to_integral_value() or not _BIGINT[0] <= x <= _BIGINT[1]):
+            return F.lit(operator == "!=")
     if operator == "==":
         return c == _literal(df, column, value)
     if operator == "!=":
         return ~c.eqNullSafe(_literal(df, column, value))
     if operator in (">", ">=", "<", "<="):
-        if not is_number(dtype_of(df, column)):
+        if not is_number(dt):
             raise ValueError(f"filter {operator} needs a numeric column, {column!r} is not")
-        x = float(value)
-        return {">": c > x, ">=": c >= x, "<": c < x, "<=": c <= x}[operator]
+        return _compared(c.cast("int") if isinstance(dt, T.BooleanType) else c, dt, operator, value)
     if operator == "contains":
         s = c.cast("string")
         return s.contains(str(value)) if literal else s.rlike(str(value))

@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import anomalies as anomalies_
 from ..operators import audit as audit_
@@ -17,7 +18,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, steps
 from ..operators.fill import fill_missing
 from ..operators.joins import join_tables
-from ..rows import ROW_ID, data_columns, hold, number_rows, quoted, settled
+from ..rows import RIGHT_ID, ROW_ID, data_columns, hold, number_rows, quoted, settled
 from ..session import checkpointed
 from .clean_auto import AutoResult, auto_clean
 from .clean_smart import SmartResult, smart_clean
@@ -70,12 +71,22 @@ def _join(df: DataFrame, c: dict, lookup: Lookup | None) -> DataFrame:
     other = right if isinstance(right, DataFrame) else lookup(right) if lookup else None
     if other is None:
         raise ValueError(f"right dataset not found: {right}")
-    return join_tables(df, other.drop(ROW_ID), on, c.get("how", "inner"), c.get("null_keys_match", True))
+    df = df.drop(RIGHT_ID)
+    other = other.withColumnRenamed(ROW_ID, RIGHT_ID) if ROW_ID in other.columns else other.withColumn(RIGHT_ID, _content_order(other))
+    return join_tables(df, other, on, c.get("how", "inner"), c.get("null_keys_match", True))
 
 
+def _content_order(df: DataFrame):
+    """A stand-in for the row order of a table that has none: the same on every run."""
+    return F.xxhash64(*[quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.VariantType)])
+
+
+CLEANERS: dict[str, Callable[[DataFrame, dict], AutoResult | SmartResult]] = {
+    "auto_clean": lambda df, c: auto_clean(df, c.get("columns"), c.get("drop_columns_above_threshold", True)),
+    "smart_clean": lambda df, c: smart_clean(df, c),
+}
 STEPS: dict[str, Callable[[DataFrame, dict, Lookup | None], DataFrame]] = {
-    "auto_clean": lambda df, c, _: auto_clean(df, c.get("columns"), c.get("drop_columns_above_threshold", True)).df,
-    "smart_clean": lambda df, c, _: smart_clean(df, c).df,
+    **{name: lambda df, c, _, clean=clean: clean(df, c).df for name, clean in CLEANERS.items()},
     "drop_missing": lambda df, c, _: steps.drop_missing(df, c.get("columns"), c.get("how", "any"), c.get("thresh")),
     "fill_missing": lambda df, c, _: fill_missing(
         df, c.get("column"), c.get("method", "auto"), c.get("value", ""), c.get("partition_by")
@@ -122,30 +133,50 @@ def _order_after(step: Step) -> Callable[[DataFrame], list] | None:
         return lambda d: [quoted(k).asc() for k in c["group_by"]]
     if step.step_type == "join":
         keys = [c["on"]] if isinstance(c["on"], str) else list(c["on"])
-        return lambda d: [quoted(k).asc_nulls_last() for k in ([ROW_ID] if ROW_ID in d.columns else []) + keys]
+        return lambda d: [quoted(k).asc_nulls_last() for k in [ROW_ID] * (ROW_ID in d.columns) + [*keys, RIGHT_ID]]
     return None
 
 
-def apply_step(df: DataFrame, step: Step, lookup: Lookup | None = None) -> DataFrame:
-    """The table after one step. Config errors are raised before any job starts."""
+def apply_step(df: DataFrame, step: Step, lookup: Lookup | None = None, stages: list | None = None) -> DataFrame:
+    """The table after one step. Config errors are raised before any job starts.
+
+    The cleaners hold a stage for their jobs: their results are added to ``stages``, and
+    ``release()`` of each frees it once the table is written.
+    """
     if step.step_type not in STEPS:
         raise ValueError(f"unknown step type {step.step_type!r}; use one of {sorted(STEPS)}")
+    if step.step_type in CLEANERS:
+        cleaned = CLEANERS[step.step_type](df, step.config)
+        if stages is not None:
+            stages.append(cleaned)
+        return cleaned.df
     return STEPS[step.step_type](df, step.config, lookup)
 
 
-def build(df: DataFrame, plan: list[Step], lookup: Lookup | None = None) -> DataFrame:
-    """All enabled steps as one lazy plan without reports (the export path).
+def build(df: DataFrame, plan: list[Step], lookup: Lookup | None = None, stages: list | None = None) -> DataFrame:
+    """All enabled steps as one plan without reports (the export path).
 
-    Rows are numbered anew after a sort, a join or a grouping, but only if a later
-    step depends on the order.
+    Rows are numbered anew right after a sort, a join or a grouping if a later step depends
+    on the order, if a second join follows, or after a last sort, so that previews and
+    ordered exports show the new order. Otherwise the plan stays lazy. Cleaners add what they
+    hold to ``stages``.
     """
     active = [s for s in plan if s.enabled]
-    order = None
     for i, step in enumerate(active):
-        if _needs_order(step) and order is not None:
-            df, order = number_rows(df, order(df)), None
-        df = apply_step(df, step, lookup)
-        order = _order_after(step) or order
+        df = apply_step(df, step, lookup, stages)
+        df = renumbered(df, step, active[i + 1 :])
+    return df.drop(RIGHT_ID)
+
+
+def renumbered(df: DataFrame, step: Step, later: list[Step], always: bool = False) -> DataFrame:
+    """The rows numbered in the order that the step gave them, if anything depends on it."""
+    order = _order_after(step)
+    if order is None or not (ROW_ID in df.columns or step.step_type == "group_aggregate"):
+        return df
+    shown = step.step_type == "sort_values" and not any(_order_after(s) for s in later)
+    joined_again = RIGHT_ID in df.columns and any(s.step_type == "join" for s in later)
+    if always or shown or joined_again or any(_needs_order(s) for s in later):
+        return number_rows(df, order(df))
     return df
 
 
@@ -195,8 +226,26 @@ class Run:
     status: str
     reports: list[StepReport]
     error: str | None = None
+    cause: Exception | None = None
     started_at: datetime | None = None
     finished_at: datetime | None = None
+    held: list[DataFrame] = field(default_factory=list)
+    stages: list = field(default_factory=list)
+
+    def keep(self, held: list[DataFrame], current: DataFrame) -> None:
+        """Free the tables before the last two versions."""
+        versions = [r.df for r in self.reports[-2:]]
+        for df in [d for d in held[:-4] if d is not current and not any(d is v for v in versions)]:
+            held.remove(df)
+            df.unpersist()
+
+    def release(self) -> None:
+        """Free all tables that the run still holds; reports that were not read yet run anew."""
+        for df in self.held:
+            df.unpersist()
+        for stage in self.stages:
+            stage.release()
+        self.held, self.stages = [], []
 
     @property
     def result(self) -> DataFrame:
@@ -265,41 +314,42 @@ def run_steps(
             source.stats = facts_.column_stats(current, held=known[0].held, unique=known[0].unique)
         if on_step:
             on_step(run, source)
-        order = None
-        for index, step in enumerate([s for s in plan if s.enabled], start=1):
+        active = [s for s in plan if s.enabled]
+        for index, step in enumerate(active, start=1):
             before = current
-            if _needs_order(step) and order is not None:
-                before, order = number_rows(before, order(before)), None
             auto: AutoResult | SmartResult | None = None
-            if step.step_type == "auto_clean":
-                auto = auto_clean(before, step.config.get("columns"), step.config.get("drop_columns_above_threshold", True))
-                current = auto.df
-            elif step.step_type == "smart_clean":
-                auto = smart_clean(before, step.config)
+            if step.step_type in CLEANERS:
+                auto = CLEANERS[step.step_type](before, step.config)
                 current = auto.df
             else:
                 current = apply_step(before, step, lookup)
-            order = _order_after(step) or order
-            if checkpoint_every and index % checkpoint_every == 0:
-                current = checkpointed(current)
-            current = hold(current)
-            held.append(current)
+            raw = current = hold(current)  # with the ids of the table before, for the audit
+            held.append(raw)
+            current = renumbered(current, step, active[index:], always=ROW_ID in current.columns)
+            if current is not raw:
+                current = hold(current)
+                held.append(current)
+            elif checkpoint_every and index % checkpoint_every == 0:
+                current = hold(checkpointed(current))
+                held.append(current)
             made = StepReport(index, step.name or step.step_type, step.step_type, current)
             made.diff = anomalies_.compute_diff(before, current, full=report != "counts")
             made.anomalies = settled(anomalies_.detect_anomalies(made.diff, made.name, limits))
             made.explanations = (
-                auto.explanations() if auto else anomalies_.explain_anomalies(made.anomalies, step.step_type)
+                auto.explanations() if auto else anomalies_.explain_anomalies(made.anomalies, step.step_type, made.diff, step.config)
             )
             if report == "full":
-                known = _enrich(made, step, before, current, known)
+                known = _enrich(made, step, before, current, known, raw)
             run.reports.append(made)
             if on_step:
                 on_step(run, made)
-            if len(held) > 2:
-                held.pop(0).unpersist()
+            run.keep(held, current)
+            if auto:
+                run.stages.append(auto)
         run.status = "success"
     except Exception as error:
-        run.status, run.error = "failed", str(error)
+        run.status, run.error, run.cause = "failed", str(error) or repr(error), error
+    run.held = held
     run.finished_at = datetime.now(timezone.utc)
     return run
 
@@ -312,7 +362,7 @@ def _know(df: DataFrame) -> _Known:
     return found, issues.layer_issues(df, found)
 
 
-def _enrich(made: StepReport, step: Step, before: DataFrame, after: DataFrame, known: _Known | None) -> _Known | None:
+def _enrich(made: StepReport, step: Step, before: DataFrame, after: DataFrame, known: _Known | None, raw: DataFrame) -> _Known | None:
     """Issues before and after, cell audit, score and schema; errors are noted.
 
     Returns what was found after the step, which is what the next step starts from.
@@ -330,8 +380,8 @@ def _enrich(made: StepReport, step: Step, before: DataFrame, after: DataFrame, k
         made.score = settled(score.quality_pair(before, after, made.issues_before, made.issues_after))
     except Exception as error:
         made.errors.append(f"issues: {error}")
-    if ROW_ID in before.columns and ROW_ID in after.columns:
-        made.audit = audit_.audit_cells(before, after, affected_columns(step, before), step.step_type)
+    if ROW_ID in before.columns and ROW_ID in raw.columns:
+        made.audit = audit_.audit_cells(before, raw, affected_columns(step, before), step.step_type)
     else:
         made.errors.append("audit: the step changes what a row is")
     return fresh

@@ -20,10 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .session import checkpointed
 
 ROW_ID = "_row_id"
+# After a join the row ids are those of the left table and may repeat; the right table's ids
+# stand beside them until the rows are numbered anew.
+RIGHT_ID = "_right_row_id"
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != ROW_ID]
+    return [c for c in df.columns if c not in (ROW_ID, RIGHT_ID)]
 
 
 def quoted(name: str) -> Column:
@@ -126,5 +129,5 @@ def number_rows(df: DataFrame, order_by: list[Column]) -> DataFrame:
     return (
         place.join(F.broadcast(offsets), "_part")
         .withColumn(ROW_ID, F.col("_start") + F.col("_place"))
-        .drop("_part", "_place", "_start")
+        .drop("_part", "_place", "_start", RIGHT_ID)
     )

@@ -16,6 +16,8 @@ SETTINGS = {
     # Spares two extra calls to the JVM for every column expression that is built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

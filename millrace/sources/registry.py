@@ -130,9 +130,25 @@ def export(df: DataFrame, path: str, format: str = "csv", ordered: bool = False)
 
 
 def export_anomalies(run, path: str) -> None:
-    """Anomalies per step as JSON records."""
+    """One JSON record per step: row and column counts, anomalies, explanations. Steps
+    without any are there too."""
+    out = None
+    for r in run.reports:
+        one = r.df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(r.step_index).cast("bigint").alias("step_index"), F.lit(r.name).alias("step_name"), F.lit(r.step_type).alias("step_type"),
+            "row_count", F.lit(len(data_columns(r.df))).alias("col_count"),
+        )
+        out = one if out is None else out.unionByName(one)
+    why = None
+    for r in run.reports:
+        if r.explanations is not None and "anomaly_type" in r.explanations.columns:
+            one = r.explanations.withColumn("step_index", F.lit(r.step_index).cast("bigint"))
+            why = one if why is None else why.unionByName(one)
     found = run.anomalies()
-    grouped = found.groupBy("step_index", "step_name").agg(
-        F.collect_list(F.struct("type", "severity", "column", "value", "threshold", "message")).alias("anomalies")
-    )
-    grouped.write.mode("overwrite").json(path)
+    for table, name, columns in (
+        (found, "anomalies", ("type", "severity", "column", "value", "threshold", "message")),
+        (why, "explanations", ("anomaly_type", "column", "summary", "likely_cause", "confidence", "recommended_checks", "suggested_fix")),
+    ):
+        if table is not None:
+            out = out.join(table.groupBy("step_index").agg(F.collect_list(F.struct(*columns)).alias(name)), "step_index", "left")
+    out.orderBy("step_index").coalesce(1).write.mode("overwrite").json(path)

@@ -32,7 +32,7 @@ def _boolean(c: Column) -> Column:
 
 
 def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS) -> DataFrame:
-    """Turn text columns into BIGINT, DOUBLE or BOOLEAN where every value fits.
+    """Turn text columns into BIGINT, DECIMAL, DOUBLE or BOOLEAN where every value fits.
 
     One aggregate counts the fits per column; the result is a plain projection.
     """
@@ -45,7 +45,9 @@ def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS
         c = cleared[n]
         counts += [
             F.count(c).alias(f"n{i}"),
-            F.count(F.when(trimmed(c).rlike(fixed.INTEGER_SHAPE), 1)).alias(f"i{i}"),
+            F.count(F.when(trimmed(c).rlike(fixed.INTEGER_SHAPE), 1)).alias(f"s{i}"),
+            F.count(trimmed(c).try_cast("bigint")).alias(f"i{i}"),
+            F.count(trimmed(c).try_cast("decimal(38,0)")).alias(f"w{i}"),
             F.count(parse_number(c)).alias(f"d{i}"),
             F.count(_boolean(c)).alias(f"b{i}"),
         ]
@@ -57,8 +59,11 @@ def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS
             continue
         i, c = names.index(f.name), cleared[f.name]
         n = row[f"n{i}"]
-        if n and row[f"i{i}"] == n:
-            c = trimmed(c).cast("bigint")
+        if n and row[f"s{i}"] == n:  # whole numbers keep every digit: BIGINT, else DECIMAL, else text
+            if row[f"i{i}"] == n:
+                c = trimmed(c).cast("bigint")
+            elif row[f"w{i}"] == n:
+                c = trimmed(c).cast("decimal(38,0)")
         elif n and row[f"d{i}"] == n:
             c = parse_number(c)
         elif n and row[f"b{i}"] == n:
@@ -69,6 +74,30 @@ def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS
     return df.select(*out)
 
 
+# A list of files or splits up to this many rows is copied to every task; a longer one is joined.
+LISTED = 200_000
+
+
+def _placed(df: DataFrame, names: list[str], part: Column, index: Column, bits: int) -> DataFrame:
+    """Row ids from file names and places in the files: the number of the file (or of its
+    split) above, the place in it below. They depend neither on how Spark packs files into
+    tasks nor on their sizes."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), part.alias("_begin"), index.alias("_index"))
+    listing = placed.select("_file", "_begin").distinct()
+    listing = listing.withColumn("_ordinal", F.row_number().over(W.orderBy("_file", "_begin")) - 1)
+    if len(df.inputFiles()) <= LISTED:
+        listing = F.broadcast(listing)
+    joined = placed.join(listing, ["_file", "_begin"])
+    row_id = F.shiftleft(F.col("_ordinal").cast("bigint"), bits) + F.col("_index")
+    return joined.withColumn(ROW_ID, row_id).select(*map(quoted, names), ROW_ID)
+
+
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """Row ids of text files: splits in order of file name and offset, lines in order."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return _placed(df, df.columns, F.col("_metadata.file_block_start"), place, 33)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -79,38 +108,36 @@ def read_csv(
     """CSV with a header: all text first, then null tokens, then types."""
     df = spark.read.option("header", True).option("escape", '"').csv(path)
     if row_id:
-        df = with_row_id(df)
+        df = _in_file_order(df)
     return narrow_types(df, null_tokens) if narrow else df
 
 
+def holds_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with content is a whole JSON record, whatever the file is called."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    if first is None:
+        return True
+    try:
+        return isinstance(json.loads(first["value"]), dict)
+    except ValueError:
+        return False
+
+
 def read_json(spark: SparkSession, path: str, lines: bool | None = None, row_id: bool = True) -> DataFrame:
-    """JSON array file, or one record per line (``.jsonl`` / ``lines=True``)."""
+    """JSON lines, or files that hold an array or one record over several lines. The form is
+    read from the content unless ``lines`` states it."""
     if lines is None:
-        lines = path.rstrip("/").endswith((".jsonl", ".ndjson"))
+        lines = holds_json_lines(spark, path)
     df = spark.read.option("multiLine", not lines).json(path)
-    return clean_nan(with_row_id(df) if row_id else df)
+    return clean_nan(_in_file_order(df) if row_id else df)
 
 
 def read_parquet(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Parquet with a row id from a key, or from file order and row position.
-
-    The position form depends on file names only, not on how files are packed
-    into tasks, so a task that runs again gives the same ids.
-    """
+    """Parquet with a row id from a key, or from file order and row position."""
     df = spark.read.parquet(path)
     if key:
         return clean_nan(with_row_id(df, key))
-    names = df.columns
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    if len(df.inputFiles()) <= 1:
-        return clean_nan(placed.withColumn(ROW_ID, F.col("_index")).select(*map(quoted, names), ROW_ID))
-    # Needs no column, only file names; the list of files is one row per file.
-    listing = placed.select("_file").distinct()
-    listing = listing.withColumn("_ordinal", F.row_number().over(W.orderBy("_file")) - 1)
-    joined = placed.join(listing, "_file")
-    return clean_nan(
-        joined.withColumn(ROW_ID, F.shiftleft(F.col("_ordinal").cast("bigint"), 40) + F.col("_index")).select(*map(quoted, names), ROW_ID)
-    )
+    return clean_nan(_placed(df, df.columns, F.lit(0), F.col("_metadata.row_index"), 40))
 
 
 def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:

@@ -31,11 +31,14 @@ def watch(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = with_row_id(batch, key).persist()
+        stages: list = []
         try:
-            result = build(rows, plan, lookup)
+            result = build(rows, plan, lookup, stages)
             facts = column_facts(result, data_columns(result), frozenset({NUMBERS}))
             write(result, facts.withColumn("batch_id", F.lit(batch_id)), batch_id)
         finally:
+            for stage in stages:
+                stage.release()
             rows.unpersist()
 
     return stream.writeStream.foreachBatch(handle)

@@ -89,7 +89,8 @@ def test_scenario_a(spark, sales, customers):
     assert revenue[-1] is None and len(revenue) == 27
     assert sum(r for r in revenue if r is not None) == 24164.0 and revenue[0] == 2401.5
     why = run.reports[1].explanations.filter("anomaly_type = 'large_row_drop'").first()
-    assert why["confidence"] == "high" and len(why["recommended_checks"]) == 3
+    assert why["confidence"] == "high" and why["recommended_checks"] == ["rows: 40 to 28", "duplicate rows: 0 to 0"]
+    assert "status" in why["likely_cause"]
 
 
 def test_scenario_b(spark, staff):
@@ -156,7 +157,8 @@ def test_full_reports_registry_and_exports(spark, sales, customers, tmp_path):
     assert runner.affected_columns(plan[0], df) == ["status"]
     export_anomalies(run, str(tmp_path / "anomalies"))
     kept = [json.loads(x) for p in (tmp_path / "anomalies").glob("*.json") for x in open(p)]
-    assert [k["step_index"] for k in kept] == [1]
+    assert [k["step_index"] for k in kept] == [0, 1, 2]
+    assert [len(k.get("anomalies", [])) > 0 for k in kept] == [False, True, False] and kept[1]["explanations"][0]["likely_cause"]
     dated = run.result.withColumn("day", F.to_date(F.lit("2024-01-05")))
     export(dated, str(tmp_path / "csv"), ordered=True)
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))

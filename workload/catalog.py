@@ -101,11 +101,11 @@ def catalog_save_once(spark, sf):
 @query(
     "catalog_collection_counts",
     "SELECT collection_id, count(e.event_id) AS entries FROM (SELECT DISTINCT user_id AS collection_id FROM events) c"
-    " LEFT JOIN (SELECT event_id, user_id FROM events WHERE event_type = 'click') e ON e.user_id = collection_id GROUP BY collection_id",
+    " LEFT JOIN events e ON e.user_id = collection_id GROUP BY collection_id",
 )
 def catalog_collection_counts(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").alias("collection_id"))
-    return catalog.collection_counts(events.select("collection_id").distinct(), events.filter("event_type = 'click'"))
+    return catalog.collection_counts(events.select("collection_id").distinct(), events)
 
 
 @query(

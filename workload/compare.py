@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import anomalies, audit, diff, infer, issues, score, steps
 from millrace.plans.clean_layers import normalise, validate
-from millrace.plans.runner import Step, run_steps
+from millrace.plans.runner import Step, build, run_steps
+from millrace.sources.scan import preview
 
 from .base import DIRTY_COLUMNS, dirty, keyed, null_like, num, query, table, with_dirty
 
@@ -126,8 +127,8 @@ def _ks(c: str) -> str:
     return (
         f"SELECT '{c}' AS \"column\", any_value(nb) AS n_before, any_value(na) AS n_after, round(max(abs(cb / nb - ca / na)), 4) AS ks_stat FROM ("
         f"SELECT sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER ()::BIGINT AS nb, sum(a) OVER ()::BIGINT AS na FROM ("
-        f"SELECT x, sum(b) AS b, sum(a) AS a FROM (SELECT {c} AS x, 1 AS b, 0 AS a FROM lineitem WHERE l_returnflag = 'R' UNION ALL"
-        f" SELECT {c}, 0, 1 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity * l_discount > 0.9) GROUP BY x))"
+        f"SELECT x, sum(b) AS b, sum(a) AS a FROM (SELECT {c} AS x, 1 AS b, 0 AS a FROM lineitem UNION ALL"
+        f" SELECT {c}, 0, 1 FROM lineitem WHERE l_quantity * l_discount > 0.9) GROUP BY x))"
     )
 
 
@@ -136,7 +137,7 @@ _KS_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query("diff_ks", " UNION ALL ".join(map(_ks, _KS_COLUMNS)))
 def diff_ks(spark, sf):
-    before = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(*_KS_COLUMNS)
+    before = table(spark, sf, "lineitem").select(*_KS_COLUMNS)
     after = before.filter("l_quantity * l_discount > 0.9")
     return diff.diff_distribution(before, after).drop("ks_pvalue")
 
@@ -245,22 +246,21 @@ def duplicate_anomalies(spark, sf):
     return found.filter(F.col("column").isNull()).select("type", F.round("value", 6).alias("value"))
 
 
-_RULES = ", ".join(
-    f"('{k}', '{g}', '{conf}')" for k, g, conf, *_ in anomalies.RULES if g in ("any", "filter_rows")
-)
+_SURE = ", ".join(f"('{k}', '{c}')" for k, c in anomalies.confidence("filter_rows").items())
 
 
 @query(
     "explanations",
     with_dirty(
-        f"{_BROKEN}, found AS (SELECT type, severity, col FROM ({_anomaly_sql()}) x(type, severity, col, value)), rules AS (SELECT * FROM (VALUES {_RULES}) r(k, g, confidence))"
+        f"{_BROKEN}, found AS (SELECT type, severity, col FROM ({_anomaly_sql()}) x(type, severity, col, value)), rules AS (SELECT * FROM (VALUES {_SURE}) r(k, confidence))"
         " SELECT type AS anomaly_type, severity, col AS \"column\", confidence, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1"
-        " ELSE 2 END AS severity_rank FROM found JOIN rules ON type = k AND (g = 'filter_rows' OR (g = 'any' AND k <> 'large_row_drop'))"
+        " ELSE 2 END AS severity_rank FROM found JOIN rules ON type = k"
     ),
 )
 def explanations(spark, sf):
-    found = anomalies.detect_anomalies(anomalies.compute_diff(*_broken(spark, sf)), "broken step")
-    return anomalies.explain_anomalies(found, "filter_rows").select("anomaly_type", "severity", "column", "confidence", "severity_rank")
+    d = anomalies.compute_diff(*_broken(spark, sf))
+    found = anomalies.detect_anomalies(d, "broken step")
+    return anomalies.explain_anomalies(found, "filter_rows", d).select("anomaly_type", "severity", "column", "confidence", "severity_rank")
 
 
 # --- audit ---------------------------------------------------------------------------------------
@@ -351,20 +351,18 @@ def _plan(customers):
 
 def _scenario(spark, sf):
     orders = keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    customers = table(spark, sf, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
     return orders, customers
 
 
 _JOINED = (
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_name, c_acctbal, round(o_totalprice - c_acctbal, 4) AS gap"
-    " FROM orders JOIN customer ON c_custkey = o_custkey AND c_mktsegment IN ('BUILDING', 'MACHINERY') WHERE o_orderstatus = 'F'"
+    " FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'"
 )
 
 
 @query("scenario_result", _JOINED)
 def scenario_result(spark, sf):
-    from millrace.plans.runner import build
-
     orders, customers = _scenario(spark, sf)
     return build(orders, _plan(customers)).drop("_row_id").withColumn("gap", F.round("gap", 4))
 
@@ -424,3 +422,50 @@ def run_report(spark, sf):
     return out
 
 
+
+
+# --- rows after a join 1:N -------------------------------------------------------------------------------
+def _lines(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_row_id"), F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey"
+    )
+    return keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_custkey"), lines
+
+
+@query("audit_after_join", "SELECT 0 AS entries")
+def audit_after_join(spark, sf):
+    """Orders joined with their lines, then sorted: a sort changes no cell."""
+    orders, lines = _lines(spark, sf)
+    plan = [
+        Step("join", {"right_dataset": lines, "on": "o_orderkey", "how": "inner"}),
+        Step("sort_values", {"columns": ["l_suppkey"], "ascending": True}),
+    ]
+    run = run_steps(orders, plan, report="full")
+    if run.status != "success":
+        raise RuntimeError(run.error)
+    return run.reports[-1].audit.agg(F.count(F.lit(1)).cast("int").alias("entries"))
+
+
+@query(
+    "join_then_first",
+    "SELECT o_orderkey, o_custkey, l_linenumber, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+    " QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) = 1",
+)
+def join_then_first(spark, sf):
+    """The first line of every order, in the order of the right table."""
+    orders, lines = _lines(spark, sf)
+    plan = [
+        Step("join", {"right_dataset": lines, "on": "o_orderkey", "how": "inner"}),
+        Step("remove_duplicates", {"columns": ["o_orderkey"], "keep": "first"}),
+    ]
+    return build(orders, plan).drop("_row_id")
+
+
+@query(
+    "preview_after_sort",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
+)
+def preview_after_sort(spark, sf):
+    orders = keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_totalprice")
+    done = build(orders, [Step("sort_values", {"columns": ["o_totalprice"], "ascending": False})])
+    return preview(done).drop("_row_id")

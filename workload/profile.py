@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import diff, facts, infer, stats, steps
 from millrace.functions import numbers
+from millrace.operators import diff, facts, infer, stats, steps
+from millrace.sources import scan
 
-from .base import DIRTY_COLUMNS, bare, day, dirty, num, query, spread, table, with_dirty, word
+from .base import DIRTY_COLUMNS, bare, day, dirty, num, query, table, with_dirty, word
 
 
 def per_column(template: str, columns=DIRTY_COLUMNS) -> str:
@@ -44,17 +45,23 @@ def column_stats(spark, sf):
     return facts.column_stats(dirty(spark, sf)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+_LINE_NUMBERS = (
+    ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
+    ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+)
+
+
 @query(
     "column_stats_lineitem",
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, '{t}' AS dtype, 0 AS null_count, count(DISTINCT {c}) AS unique_count, CAST(min({c}) AS DOUBLE) AS min,"
         f" CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 9) AS mean, round(stddev_samp({c}), 6) AS std,"
         f" CAST(median({c}) AS DOUBLE) AS median FROM lineitem"
-        for c, t in (("l_partkey", "bigint"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"))
+        for c, t in _LINE_NUMBERS
     ),
 )
 def column_stats_lineitem(spark, sf):
-    df = spread(table(spark, sf, "lineitem")).select("l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    df = table(spark, sf, "lineitem").select(*[c for c, _ in _LINE_NUMBERS])
     return facts.column_stats(df).withColumns({"mean": F.round("mean", 9), "std": F.round("std", 6)})
 
 
@@ -295,3 +302,26 @@ def detect_roles(spark, sf):
 @query("suggest_roles", _roles(0.05, "col = 'order_date' AND day_share > 0.5"))
 def suggest_roles(spark, sf):
     return infer.role_table(dirty(spark, sf), "report")
+
+
+# --- the engine's own scans ----------------------------------------------------------------------
+@query("scan_parquet_ids", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey FROM orders")
+def scan_parquet_ids(spark, sf):
+    """Row ids of a Parquet scan; the table lies in the order of its key."""
+    orders = scan.read_parquet(spark, f"{sf}/orders.parquet")
+    return orders.select(F.col("_row_id").alias("place"), "o_orderkey")
+
+
+@query(
+    "scan_narrow_types",
+    "SELECT l_orderkey, l_orderkey + 1000000000000000000 AS wide, CAST(l_orderkey AS DECIMAL(38,0)) + 10000000000000000000 AS wider, l_extendedprice AS price FROM lineitem",
+)
+def scan_narrow_types(spark, sf):
+    """Texts back to their types: BIGINT, 19 digits, 20 digits, DOUBLE."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("l_orderkey"),
+        (F.col("l_orderkey") + 1000000000000000000).cast("string").alias("wide"),
+        (F.col("l_orderkey").cast("decimal(38,0)") + F.expr("CAST('10000000000000000000' AS DECIMAL(38,0))")).cast("decimal(38,0)").cast("string").alias("wider"),
+        F.col("l_extendedprice").cast("string").alias("price"),
+    )
+    return scan.narrow_types(lines)

@@ -397,3 +397,21 @@ def ffill_by_group(spark, sf):
     return fill_missing(df, "mostly_null", "ffill", partition_by=["status"])
 
 
+
+
+# --- exact filters on BIGINT above 2^53 ------------------------------------------------------------
+_SHIFT = 9007199254740992
+
+
+def _shifted(spark, sf):
+    return table(spark, sf, "orders").select((F.col("o_orderkey") + _SHIFT).alias("big"), "o_custkey")
+
+
+@query("filter_bigint_eq", f"SELECT o_orderkey + {_SHIFT} AS big, o_custkey FROM orders WHERE o_orderkey = 1")
+def filter_bigint_eq(spark, sf):
+    return steps.filter_rows(_shifted(spark, sf), "big", "==", str(_SHIFT + 1))
+
+
+@query("filter_bigint_ge", f"SELECT o_orderkey + {_SHIFT} AS big, o_custkey FROM orders WHERE o_orderkey >= 1001")
+def filter_bigint_ge(spark, sf):
+    return steps.filter_rows(_shifted(spark, sf), "big", ">=", _SHIFT + 1001)
