@@ -66,8 +66,8 @@ def _is_marked(attributes: str) -> tuple[bool, str]:
 
 
 def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
-    """Tokens of a page in order: (kind, path, outside, in a link, text). Kinds are ``tag`` and
-    ``text``; start and end of blocks come as ``tag``. Missing end tags are put right."""
+    """Tokens of a page in order: (kind, path, outside, in a link, text). Kinds are ``text`` and,
+    for the start and end of blocks, ``tag`` and ``end``. Missing end tags are put right."""
     out: list[tuple[str, str, bool, bool, str]] = []
     stack = [Node("", "", False, False)]
     at, size = 0, len(page)
@@ -89,7 +89,7 @@ def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
                     break
             if name in BLOCKS:
                 top = stack[-1]
-                out.append(("tag", top.path + "/" + name, top.out, top.link, ""))
+                out.append(("end", top.path + "/" + name, top.out, top.link, ""))
             continue
         if name in RAW:
             if not m.group(3).endswith("/"):
@@ -136,7 +136,9 @@ def template(pages: list[list[tuple[str, str, bool, bool, str]]]) -> list[tuple[
         first: dict[tuple[str, str], int] = {}
         n = 0
         for kind, path, outside, _, text in tokens:
-            found = [(path, "")] if kind == "tag" else [(path, w) for w in text.split()] if outside else []
+            found = [(path, w) for w in text.split()] if kind == "text" and outside else []
+            if kind != "text":
+                found = [(path, "" if kind == "tag" else "/")]
             for token in found:
                 vectors[token][k] += 1
                 first.setdefault(token, n)
