@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, fixed, numbers, text
 from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, local_table, quoted, together
@@ -122,8 +123,6 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, parts: frozens
             _hits(num > fixed.AGE_RANGE[1]).alias("over_age"),
             _hits(num > fixed.SCORE_RANGE[1]).alias("over_score"),
         ]
-    if BRACKET in parts:
-        out.append(stats.bracket(num).alias("num_bracket"))
     grouped = long.groupBy("column").agg(*out)
     listing = local_table(spark, 
         [(i, c, kind_of(df, c), df.schema[c].dataType.simpleString()) for i, c in enumerate(columns)],
@@ -279,13 +278,16 @@ def first_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
 
 def cell_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """How many cells of each column read as int, float, bool or other text."""
+    """How many cells of each column read as int, float, bool or other text.
+
+    Text cells are judged by their shape, VARIANT cells by the type they carry."""
     columns = data_columns(df) if columns is None else columns
-    f = column_facts(df, columns, frozenset({TEXT}))
+    mixed = [c for c in columns if isinstance(df.schema[c].dataType, T.VariantType)]
+    f = column_facts(df, [c for c in columns if c not in mixed], frozenset({TEXT}))
     held = F.col("row_count") - F.col("null_count")
     kind, dtype = F.col("kind"), F.col("dtype")
     text_kind = kind == "text"
-    return f.select(
+    plain = f.select(
         "column",
         F.when(text_kind, F.col("int_like")).when(dtype.isin("bigint", "int", "smallint", "tinyint"), held).otherwise(0).alias("int_cells"),
         F.when(text_kind, F.col("num_count") - F.col("int_like")).when((kind == "number") & ~dtype.isin("bigint", "int", "smallint", "tinyint", "boolean"), held).otherwise(0).alias("float_cells"),
@@ -293,3 +295,14 @@ def cell_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.when(text_kind, held - F.col("num_count") - F.col("bool_like")).otherwise(0).alias("str_cells"),
         F.when(kind.isin("time", "other"), held).otherwise(0).alias("other_cells"),
     )
+    for c in mixed:
+        tag = F.schema_of_variant(quoted(c))
+        is_int, is_float = tag.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), tag.isin("DOUBLE", "FLOAT") | tag.startswith("DECIMAL")
+        known = is_int | is_float | tag.isin("BOOLEAN", "STRING", "VOID")
+        plain = plain.unionByName(
+            df.agg(
+                F.count_if(is_int).alias("int_cells"), F.count_if(is_float).alias("float_cells"), F.count_if(tag == "BOOLEAN").alias("bool_cells"),
+                F.count_if(tag == "STRING").alias("str_cells"), F.count_if(~known).alias("other_cells"),
+            ).select(F.lit(c).alias("column"), "*")
+        )
+    return plain

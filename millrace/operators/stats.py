@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,9 @@ from pyspark.sql import types as T
 
 from ..rows import data_columns, dtype_of, is_text, quoted
 
-ACCURACY = 20_000
+# Values of one column that may be sorted, and steps of a histogram that narrows down the rest.
+KEPT_VALUES = 100_000
+BUCKETS = 1024
 
 
 def cells(df: DataFrame, columns: list[str], **parts) -> DataFrame:
@@ -94,39 +97,69 @@ def median_ranks(n: int) -> tuple[int, ...]:
     return ((n + 1) // 2, n // 2 + 1)
 
 
-def bracket(c: Column, share: float = 0.5) -> Column:
-    """Two values that enclose the given quantile, from one mergeable sketch."""
-    slack = 2.0 / ACCURACY
-    shares = [max(0.0, share - slack), min(1.0, share + slack)]
-    return F.percentile_approx(c, shares, ACCURACY)
+@dataclass
+class _Target:
+    """One rank, the values between which it must lie, and how many values are below and inside."""
 
+    wanted: Ranks
+    rank: int
+    low: float
+    high: float
+    below: int
+    inside: int
 
-def order_statistics(df: DataFrame, wanted: list[Ranks]) -> dict[str, list[float]]:
-    """Exact values at the given ranks, for many columns in one or two jobs.
 
-    A sketch gives a narrow bracket per column; only distinct values inside it are
-    sorted, the rest are just counted. A bracket that misses falls back to the
-    full range, so the answer is always exact.
+def order_statistics(df: DataFrame, wanted: list[Ranks], keep: int = KEPT_VALUES) -> dict[str, list[float]]:
+    """Exact values at the given ranks, for many columns side by side.
+
+    Every pass counts the values between the bounds in ``BUCKETS`` equal steps, with the least
+    and the greatest value of each step, and the step that holds the rank gives the next bounds.
+    A task sends at most ``BUCKETS`` short rows per rank, whatever the size or skew of the
+    table. Once at most ``keep`` values are left, these are sorted.
     """
     wanted = [w for w in wanted if w.count > 0]
     if not wanted:
         return {}
-    open_ = [w for w in wanted if w.low is None]
-    if open_:
-        row = df.agg(
-            *[bracket(w.value, (w.ranks[0] + w.ranks[-1]) / 2 / w.count).alias(f"q{i}") for i, w in enumerate(open_)]
-        ).first()
-        found = {w.name: row[f"q{i}"] for i, w in enumerate(open_)}
-        wanted = [
-            w if w.low is not None else Ranks(w.name, w.value, w.count, w.ranks, found[w.name][0], found[w.name][-1])
-            for w in wanted
-        ]
-    result = _pick(df, wanted)
-    missed = [w for w in wanted if w.name not in result]
+    # given bounds are hints: only few values are sorted by them, and a miss is made good below
+    open_ = [w for w in wanted if w.low is None or w.high is None or w.count > keep]
+    ends = df.agg(*[x for i, w in enumerate(open_) for x in (F.min(w.value).alias(f"a{i}"), F.max(w.value).alias(f"b{i}"))]).first() if open_ else None
+    bounds = {w.name: (ends[f"a{i}"], ends[f"b{i}"]) for i, w in enumerate(open_)}
+    bounds |= {w.name: (w.low, w.high) for w in wanted if w.name not in bounds}
+    targets = [_Target(w, r, *map(float, bounds[w.name]), 0, w.count) for w in wanted for r in dict.fromkeys(w.ranks)]
+    found: dict[tuple[str, int], float] = {}
+    while wide := [t for t in targets if t.inside > keep and t.low < t.high and math.isfinite(t.high - t.low)]:
+        steps: dict[int, list] = {}
+        for row in _histogram(df, wide).toLocalIterator():
+            steps.setdefault(row["i"], []).append(row)
+        for i, t in enumerate(wide):
+            for row in sorted(steps.get(i, []), key=lambda x: x["bucket"]):
+                if t.rank <= t.below + row["n"]:
+                    if t.rank == t.below + 1 or t.rank == t.below + row["n"] or row["low"] == row["high"]:
+                        found[t.wanted.name, t.rank] = row["low"] if t.rank == t.below + 1 else row["high"]
+                    t.low, t.high, t.inside = row["low"], row["high"], row["n"]
+                    break
+                t.below += row["n"]
+        targets = [t for t in targets if (t.wanted.name, t.rank) not in found]
+    rest = [Ranks(f"{k}", t.wanted.value, t.wanted.count, (t.rank,), t.low, t.high) for k, t in enumerate(targets)]
+    picked = _pick(df, rest) if rest else {}
+    found |= {(t.wanted.name, t.rank): picked[str(k)][0] for k, t in enumerate(targets) if str(k) in picked}
+    missed = [Ranks(str(k), t.wanted.value, t.wanted.count, (t.rank,), -math.inf, math.inf) for k, t in enumerate(targets) if str(k) not in picked]
     if missed:
-        wide = [Ranks(w.name, w.value, w.count, w.ranks, float("-inf"), float("inf")) for w in missed]
-        result |= _pick(df, wide)
-    return result
+        again = _pick(df, missed)
+        found |= {(targets[int(k)].wanted.name, targets[int(k)].rank): v[0] for k, v in again.items()}
+    return {w.name: [found[w.name, r] for r in w.ranks] for w in wanted if all((w.name, r) in found for r in w.ranks)}
+
+
+def _histogram(df: DataFrame, targets: list[_Target]) -> DataFrame:
+    """(i, bucket, n, low, high) of the values between each target's bounds."""
+    cells = []
+    for i, t in enumerate(targets):
+        v = t.wanted.value
+        step = F.floor((v - F.lit(t.low)) / F.lit(t.high - t.low) * BUCKETS)
+        inside = v.between(F.lit(t.low), F.lit(t.high))
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(inside, F.least(step, F.lit(BUCKETS - 1))).alias("bucket"), v.alias("v")))
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("bucket IS NOT NULL")
+    return long.groupBy("i", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def _pick(df: DataFrame, wanted: list[Ranks]) -> dict[str, list[float]]:
@@ -161,12 +194,11 @@ def _pick(df: DataFrame, wanted: list[Ranks]) -> dict[str, list[float]]:
 
 
 def medians(df: DataFrame, facts: dict[str, dict], columns: list[str], value) -> dict[str, float]:
-    """Exact medians of columns whose facts hold a count and a bracket."""
+    """Exact medians of columns whose facts hold a count and the bounds."""
     wanted = []
     for c in columns:
         f = facts[c]
         n = f["num_count"]
         if n:
-            low, high = (f["num_bracket"][0], f["num_bracket"][-1]) if f.get("num_bracket") else (None, None)
-            wanted.append(Ranks(c, value(c), n, median_ranks(n), low, high))
+            wanted.append(Ranks(c, value(c), n, median_ranks(n), f.get("num_min"), f.get("num_max")))
     return {c: sum(v) / len(v) for c, v in order_statistics(df, wanted).items()}

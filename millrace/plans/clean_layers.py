@@ -14,6 +14,7 @@ from ..operators import facts as facts_
 from ..operators import infer, issues, score, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import drop_empty_rows, duplicate_ids, empty_row, remove_duplicates
+from ..sources.scan import variant_to_text
 from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, local_table, quoted, together
 
 LAYERS = (
@@ -205,22 +206,38 @@ def handle_duplicates(df: DataFrame, keep: str = "first") -> DataFrame:
     return remove_duplicates(drop_empty_rows(df), keep=False if keep == "none" else keep)
 
 
-def duplicates_audit(before_rows: DataFrame, df: DataFrame, schema: Schema, keep: str = "first") -> DataFrame:
-    """Table-level entries: empty rows, dropped copies and repeated IDs, with counts."""
-    spark = df.sparkSession
-    empty = before_rows.filter(empty_row(before_rows)).count()
-    filled = drop_empty_rows(df)
-    n, left = filled.count(), handle_duplicates(df, keep).count()
-    rows = [("__all__", "drop_empty_rows", empty), ("__all__", "drop_duplicate_rows", n - left)]
-    ids = [c for c, s in schema.items() if s["semantic"] == "id" and c in df.columns]
-    if ids:
-        rows += [(r["column"], "flag_duplicate_ids", r["member_rows"]) for r in duplicate_ids(handle_duplicates(df, keep), ids).collect()]
-    return local_table(spark, 
-        [(c, a, k, "high", "duplicate_handling") for c, a, k in rows if k],
-        "column string, action string, rows bigint, confidence string, layer string",
+def _table_entry(counted: DataFrame, column, action: str, layer: str) -> DataFrame:
+    """Entries about a column or the table as a whole from a frame with ``rows``."""
+    name = F.lit(column) if isinstance(column, str) else column
+    return counted.filter("rows > 0").select(
+        name.alias("column"), F.lit(action).alias("action"), F.col("rows").cast("bigint").alias("rows"),
+        F.lit("high").alias("confidence"), F.lit(layer).alias("layer"),
     )
 
 
+def duplicates_audit(with_empty: DataFrame, before: DataFrame, after: DataFrame, schema: Schema) -> DataFrame:
+    """Table-level entries of layer 7: empty rows, dropped copies and rows with repeated IDs."""
+    empty = with_empty.filter(empty_row(with_empty)).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = before.agg(F.count(F.lit(1)).alias("n")).unionByName(after.agg((-F.count(F.lit(1))).alias("n")))
+    out = _table_entry(empty, "__all__", "drop_empty_rows", "duplicate_handling").unionByName(
+        _table_entry(sizes.agg(F.sum("n").alias("rows")), "__all__", "drop_duplicate_rows", "duplicate_handling")
+    )
+    ids = [c for c, s in schema.items() if s["semantic"] == "id" and c in after.columns]
+    if ids:
+        repeated = duplicate_ids(after, ids).withColumnRenamed("member_rows", "rows")
+        out = out.unionByName(_table_entry(repeated, F.col("column"), "flag_duplicate_ids", "duplicate_handling"))
+    return out
+
+
+def skipped_audit(df: DataFrame, schema: Schema, held: dict[str, dict]) -> DataFrame:
+    """An entry for every ID or date column with gaps: they are never filled."""
+    rows = [
+        (c, "skip_imputation", held[c]["null_count"], "high", "repair")
+        for c in data_columns(df) if c in held and held[c]["null_count"] and schema.get(c, {}).get("semantic") in ("id", "date")
+    ]
+    return local_table(df.sparkSession, rows, "column string, action string, rows bigint, confidence string, layer string")
+
+
 # --- all layers --------------------------------------------------------------------------------
 @dataclass
 class LayersResult:
@@ -250,18 +267,22 @@ class LayersResult:
         return audit_.audit_summary(self.audit) if self.audit is not None else None
 
 
-def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | None = None) -> LayersResult:
+def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | None = None, strict: bool = False) -> LayersResult:
     """Run the chosen layers in order.
 
-    A layer that fails is noted in ``errors`` and left out; the others still run.
+    A layer that fails is noted in ``errors`` and left out; the others still run. With
+    ``strict`` it ends the run. VARIANT columns are cleaned as text.
     Schema, issues and repair need the profile. Every layer is a lazy plan on the
     one before; jobs run for the profile, the repair decisions and the score only.
     The normalised and the validated rows are kept, as several jobs read them.
     """
     config = config or {}
+    df = variant_to_text(df)
     chosen = set(layers or LAYERS)
     out = LayersResult(df)
     audits: list[DataFrame] = []
+    about_table: list[DataFrame] = []
+    with_empty = df
     found: issues.Evidence | None = None
     keep = config.get("duplicate_keep", "first")
     rules = config.get("validation_rules") or {}
@@ -273,6 +294,8 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
             work()
             out.layers_run.append(layer)
         except Exception as error:  # one layer must not stop the others
+            if strict:
+                raise
             out.errors.append(f"{layer}: {error}")
 
     def profiling():
@@ -294,6 +317,8 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
         out.df = _trail_end(frame, trail, df.columns)
 
     def early_empty_rows():
+        nonlocal with_empty
+        with_empty = out.df
         out.df = drop_empty_rows(out.df)
 
     def validation():
@@ -306,13 +331,17 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
         out.repairs = decide_repairs(out.df, out.schema, pct)
         fills = _typed_fills(out.df, out.repairs)
         audits.append(repair_audit(out.df, out.repairs))
+        about_table.append(skipped_audit(out.df, out.schema, found.held))
         out.df = apply_fills(out.df, fills)
 
     def duplicate_handling():
-        out.df = handle_duplicates(out.df, keep)
+        before = out.df
+        out.df = handle_duplicates(before, keep)
+        about_table.append(duplicates_audit(with_empty, before, out.df, out.schema))
 
     def audit_logging():
         out.audit = reduce(DataFrame.unionByName, audits) if audits else None
+        out.table_audit = reduce(DataFrame.unionByName, about_table) if about_table else None
 
     def quality_scoring():
         spark = df.sparkSession
@@ -332,6 +361,8 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
         try:
             early_empty_rows()
         except Exception as error:
+            if strict:
+                raise
             out.errors.append(f"empty_row_removal: {error}")
     run("validation", validation)
     if found is not None:

@@ -182,6 +182,8 @@ def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 def variant_to_text(df: DataFrame) -> DataFrame:
     """VARIANT columns as text, the form the cleaning operators work on."""
+    if not any(isinstance(f.dataType, T.VariantType) for f in df.schema.fields):
+        return df
     return df.select(
         *[
             F.try_variant_get(quoted(f.name), "$", "string").alias(f.name)

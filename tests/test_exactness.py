@@ -2,10 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import steps
+from millrace.operators import facts, stats, steps
+from millrace.plans.clean_layers import run_layers
 from millrace.plans.runner import Step, build, run_steps
 from millrace.sources import scan
 
@@ -105,3 +107,24 @@ def test_runs_and_cleaners_free_what_they_hold(spark):
     for stage in stages:
         stage.release()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_mixed_records_pass_all_layers(spark):
+    records = [{"id": 1, "v": 5}, {"id": 2, "v": "five"}, {"id": 3, "v": 1.5}, {"id": 4, "v": True}, {"id": 4, "v": None}]
+    df = scan.from_records(spark, records)
+    types = {r["column"]: r for r in facts.cell_types(df).collect()}["v"]
+    assert (types.int_cells, types.float_cells, types.bool_cells, types.str_cells, types.other_cells) == (1, 1, 1, 1, 0)
+    out = run_layers(df)
+    assert out.errors == [] and "mixed_types" in {i.issue_type for i in out.issues}
+    entries = {(r["column"], r.action): r["rows"] for r in out.table_audit.collect()}
+    assert entries.get(("__all__", "drop_empty_rows")) == 1  # the row with an id and nothing else
+    out.release()
+
+
+def test_order_statistics_narrow_down_skewed_values(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([np.exp(rng.standard_normal(20_000) * 8), np.full(15_000, 3.25), [-1e300, 1e300]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    ranks = (1, 2, 17_000, 17_501, 17_502, 30_000, len(values))
+    got = stats.order_statistics(df, [stats.Ranks("v", F.col("v"), len(values), ranks)], keep=50)
+    assert got["v"] == [float(np.sort(values)[r - 1]) for r in ranks]

@@ -243,7 +243,7 @@ def repair_layer(spark, sf):
 )
 def clean_layers_full(spark, sf):
     chosen = [layer for layer in layers.LAYERS if layer != "quality_scoring"]
-    result = layers.run_layers(dirty(spark, sf), layers=chosen)
+    result = layers.run_layers(dirty(spark, sf), layers=chosen, strict=True)
     if result.errors:
         raise RuntimeError(result.errors)
     return _rounded(result.df, "price", "age", "mostly_null")
@@ -255,7 +255,7 @@ def clean_layers_full(spark, sf):
 )
 def clean_layers_keep_none(spark, sf):
     chosen = [layer for layer in layers.LAYERS if layer not in ("quality_scoring", "audit_logging")]
-    result = layers.run_layers(dirty(spark, sf), {"duplicate_keep": "none"}, chosen)
+    result = layers.run_layers(dirty(spark, sf), {"duplicate_keep": "none"}, chosen, strict=True)
     return _rounded(result.df, "price", "age", "mostly_null")
 
 
@@ -306,7 +306,7 @@ _REPAIR_AUDIT = [
 def audit_layers(spark, sf):
     """Every entry of the normalising, validating and repairing layers."""
     chosen = [layer for layer in layers.LAYERS if layer != "quality_scoring"]
-    return layers.run_layers(dirty(spark, sf), layers=chosen).audit.drop("from", "to")
+    return layers.run_layers(dirty(spark, sf), layers=chosen, strict=True).audit.drop("from", "to")
 
 
 @query(
@@ -319,10 +319,31 @@ def audit_layers(spark, sf):
 )
 def audit_layers_summary(spark, sf):
     chosen = [layer for layer in layers.LAYERS if layer != "quality_scoring"]
-    return layers.run_layers(dirty(spark, sf), layers=chosen).audit_summary()
+    return layers.run_layers(dirty(spark, sf), layers=chosen, strict=True).audit_summary()
 
 
 @query("layers_quality")
 def layers_quality(spark, sf):
     """All nine layers; the scores before and after."""
-    return layers.run_layers(dirty(spark, sf)).score
+    return layers.run_layers(dirty(spark, sf), strict=True).score
+
+
+@query(
+    "audit_layers_table",
+    with_dirty(
+        ", kept AS (SELECT DISTINCT order_id - order_id % 4 AS id, order_id % 4 AS part FROM dirty WHERE order_id % 8 <> 0)"
+        " SELECT 'order_id' AS \"column\", 'flag_duplicate_ids' AS action, CAST(sum(n) AS BIGINT) AS rows, 'high' AS confidence, 'duplicate_handling' AS layer"
+        " FROM (SELECT count(*) AS n FROM kept GROUP BY id HAVING count(*) > 1)"
+        " UNION ALL SELECT '__all__', 'drop_empty_rows', count(*) FILTER (order_id % 8 = 0), 'high', 'duplicate_handling' FROM dirty"
+    ),
+)
+def audit_layers_table(spark, sf):
+    """Entries about the table: empty rows and repeated IDs; four orders share an ID here."""
+    n = F.col("order_id")
+    held = n % 8 > 0
+    df = dirty(spark, sf).select(
+        "_row_id", F.when(held, n - n % 4).alias("order_id"), F.when(held, F.concat(F.lit("part "), (n % 4).cast("string"))).alias("label")
+    )
+    chosen = [layer for layer in layers.LAYERS if layer != "quality_scoring"]
+    entries = layers.run_layers(df, layers=chosen, strict=True).table_audit
+    return entries.filter("action IN ('flag_duplicate_ids', 'drop_empty_rows')")

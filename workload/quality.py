@@ -130,7 +130,7 @@ def _layer_parts() -> list[str]:
 
 @query("issues_layer3", union(_layer_parts()))
 def issues_layer3(spark, sf):
-    return _columns(issues.issue_table(spark, issues.layer_issues(dirty(spark, sf), tag_text=True)))
+    return _columns(issues.issue_table(spark, issues.layer_issues(dirty(spark, sf))))
 
 
 _CONVERTED = {"price": fnum("price"), "age": fnum("age"), "order_date": day("order_date")}
