@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, jaccard, packing, phrases, quality, secrets, substrings, toxicity
+from . import decontaminate, embeddings, html, jaccard, oracles, packing, phrases, quality, secrets, substrings, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
-@query("op3_decontamination")
+@query("op3_decontamination", oracles.DECONTAMINATION)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -46,7 +46,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
 
 
-@query("op10_ngram_jaccard_join")
+@query("op10_ngram_jaccard_join", oracles.JACCARD_JOIN)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -58,7 +58,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"), "score", "predicted")
 
 
-@query("op7_embedding_near_dedup")
+@query("op7_embedding_near_dedup", oracles.NEAR_VECTORS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -68,7 +68,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", oracles.WORD_REPEATS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(read(spark, sf_dir, "documents"))
 
