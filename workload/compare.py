@@ -469,3 +469,31 @@ def preview_after_sort(spark, sf):
     orders = keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_totalprice")
     done = build(orders, [Step("sort_values", {"columns": ["o_totalprice"], "ascending": False})])
     return preview(done).drop("_row_id")
+
+
+@query(
+    "anomalies_gaps_and_copies",
+    "WITH after AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS c FROM orders UNION ALL"
+    " SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END FROM orders WHERE o_orderkey % 50 = 0)"
+    " SELECT 'null_increase' AS type, 'warning' AS severity, 'o_custkey' AS \"column\","
+    " round(count(*) FILTER (c IS NULL) * 100.0::DOUBLE / (SELECT count(*) FROM orders), 6) AS value FROM after"
+    " UNION ALL SELECT 'duplicates_appeared', 'info', NULL, CAST(count(*) AS DOUBLE) FROM orders WHERE o_orderkey % 50 = 0",
+)
+def anomalies_gaps_and_copies(spark, sf):
+    """A third of a column goes missing, and copies appear where there were none."""
+    before = keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_custkey")
+    after = before.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")))
+    after = after.unionByName(after.filter("o_orderkey % 50 = 0"))
+    found = anomalies.detect_anomalies(anomalies.compute_diff(before, after), "gaps")
+    return found.select("type", "severity", "column", F.round("value", 6).alias("value"))
+
+
+@query(
+    "export_order",
+    "SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place, o_orderkey FROM orders",
+)
+def export_order(spark, sf):
+    """The row order after a sort and a dropped sort column, as an ordered export uses it."""
+    orders = keyed(spark, sf, "orders", "o_orderkey").select("_row_id", "o_orderkey", "o_totalprice")
+    plan = [Step("sort_values", {"columns": ["o_totalprice"], "ascending": False}), Step("select_columns", {"columns": ["o_orderkey"]})]
+    return build(orders, plan).select(F.col("_row_id").alias("place"), "o_orderkey")
