@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import issues, score
 from millrace.plans.clean_auto import auto_clean
 
-from .base import DIRTY_COLUMNS, bare, day, dirty, fnum, null_like, null_like_wide, num, query, with_dirty, word
+from .base import DIRTY_COLUMNS, bare, day, dirty, fnum, null_like, null_like_wide, num, query, table, with_dirty, word
 
 _TEXTS = ("price", "age", "status", "order_date")
 _COLS = ", ".join(DIRTY_COLUMNS)
@@ -252,3 +252,47 @@ _CELL_NULLS = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in DIRTY_COLUMNS
 def quality_score(spark, sf):
     df = dirty(spark, sf)
     return score.quality_score(df, issues.issue_table(spark, issues.report_issues(df)))
+
+
+# --- a second table with faults that the first one lacks ------------------------------------------
+_ROUGH = (
+    "rough AS (SELECT c_custkey AS k, c_custkey % 29 = 0 AS bare FROM customer)"
+)
+
+
+def rough(spark, sf):
+    """Numeric ages and scores out of bounds, spikes, spellings, bad addresses, empty rows."""
+    k = F.col("c_custkey")
+    value = {
+        "age": F.when(k % 11 == 0, 150).when(k % 13 == 0, -1).otherwise((20 + k % 60).cast("int")),
+        "score": (k % 101 + F.when(k % 17 == 0, 101).otherwise(0)).cast("int"),
+        "reading": F.when(k % 50 == 0, 1e6).otherwise((k % 10).cast("double")),
+        "label": F.when(k % 4 == 0, "Red").when(k % 4 == 1, "red").when(k % 4 == 2, "blue").otherwise("Green"),
+        "email": F.when(k % 7 == 0, "nobody").otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com"))),
+    }
+    held = {n: F.when(k % 29 != 0, v).alias(n) for n, v in value.items()}
+    return table(spark, sf, "customer").select(k.alias("_row_id"), k.alias("cust_id"), *held.values())
+
+
+@query(
+    "issues_rough",
+    f"WITH {_ROUGH} SELECT * FROM ("
+    " SELECT 'smart' AS family, 'age' AS \"column\", 'impossible_values' AS issue_type, count(*) FILTER (NOT bare AND (k % 11 = 0 OR k % 13 = 0)) AS \"count\" FROM rough"
+    " UNION ALL SELECT 'smart', 'score', 'impossible_values', count(*) FILTER (NOT bare AND k % 17 = 0) FROM rough"
+    " UNION ALL SELECT 'smart', NULL, 'mostly_empty_rows', count(*) FILTER (bare) FROM rough"
+    " UNION ALL SELECT 'report', 'reading', 'outliers', count(*) FILTER (NOT bare AND k % 50 = 0) FROM rough"
+    " UNION ALL SELECT 'report', 'label', 'case_inconsistency', 2"
+    " UNION ALL SELECT 'layers', 'label', 'mixed_case', 1"
+    " UNION ALL SELECT 'layers', '__all__', 'empty_rows', count(*) FILTER (bare) FROM rough"
+    " UNION ALL SELECT 'auto', 'email', 'invalid_email', count(*) FILTER (NOT bare AND k % 7 = 0) FROM rough)",
+)
+def issues_rough(spark, sf):
+    df = rough(spark, sf)
+    found = issues.gather(df)
+    every = issues.smart_issues(df, found=found) + issues.report_issues(df, found=found) + issues.layer_issues(df, found) + auto_clean(df).issues
+    wanted = {
+        ("age", "impossible_values"), ("score", "impossible_values"), (None, "mostly_empty_rows"), ("reading", "outliers"),
+        ("label", "case_inconsistency"), ("label", "mixed_case"), ("__all__", "empty_rows"), ("email", "invalid_email"),
+    }
+    chosen = [i for i in every if (i.column, i.issue_type) in wanted]
+    return issues.issue_table(spark, chosen).select("family", "column", "issue_type", F.col("count").cast("bigint").alias("count"))
