@@ -205,7 +205,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, samples: int
     columns = data_columns(df) if columns is None else columns
     # Facts, distinct counts and samples are small; they are collected once and joined locally.
     held, unique, samples_of = together(
-        lambda: collect_facts(column_facts(df, columns)),
+        lambda: collect_facts(column_facts(df, columns, frozenset({TEXT, WORDS, NUMBERS}))),
         lambda: stats.distinct_counts(df, columns).collect(),
         lambda: first_values(df, columns, samples).collect(),
     )
