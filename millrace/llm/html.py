@@ -23,7 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 GROUP_PAGES = 48
+# The list of hosts with several groups is copied to every task up to this length, else it is joined.
+LISTED_HOSTS = 500_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -220,6 +224,13 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("_host"))
-    sizes = rows.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / group_pages).alias("_groups"))
-    rows = rows.join(sizes, "_host").withColumn("_group", F.pmod(F.xxhash64("page_id", "url"), F.col("_groups")))
+    sizes = rows.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / group_pages).cast("int").alias("_groups"))
+    large = stored(sizes.where("_groups > 1"))
+    if large.count() <= LISTED_HOSTS:
+        large = F.broadcast(large)
+    group = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_groups", F.lit(1)))
+    rows = rows.join(large, "_host", "left").withColumn("_group", group).drop("_groups")
+    # dealt by host and group: a host with a third of all pages is spread over all tasks
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "_host", "_group")
     return rows.groupBy("_host", "_group").applyInArrow(_extract, f"page_id {kind}, url string, text string, n_chars bigint")
