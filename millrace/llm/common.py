@@ -71,7 +71,3 @@ def text_groups(batches: Iterator[pa.RecordBatch], limit: int, text: str = "text
                 held, size = [], 0
     if held:
         yield held
-
-
-def arrow_schema(**fields: pa.DataType) -> pa.Schema:
-    return pa.schema(list(fields.items()))
