@@ -39,6 +39,11 @@ KMER = 33
 COVER = 8
 GROUP_BYTES = 3 << 20
 BLOCK_ROWS = 4096
+# A bucket with more rows than this is split by longer prefixes; the list of such buckets is
+# copied to every task up to LISTED, else it is joined.
+LARGE_BUCKET = 20_000
+LISTED = 500_000
+SPLIT_COLUMNS = 24
 
 
 def text_bytes(text: str) -> np.ndarray:
@@ -211,7 +216,28 @@ def _sorted_buckets(length: int, kmer: int):
     return work
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
+def _finer(length: int):
+    """Rows of large buckets by ranges of columns. All strings that begin in a range share the
+    bytes from the range's last column to the end of its first string: these join the name."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, BLOCK_ROWS):
+            out = []
+            for r in batch.to_pylist():
+                for first in range(r["low"] // SPLIT_COLUMNS * SPLIT_COLUMNS, r["high"] + 1, SPLIT_COLUMNS):
+                    last = first + SPLIT_COLUMNS - 1
+                    a, b = max(r["low"], first), min(r["high"], last)
+                    shared = r["around"][last - r["low"] : first + length - r["low"]]
+                    name = hashlib.blake2b(shared, digest_size=8, key=f"{r['h']} {first}".encode()).digest()
+                    body = r["around"][a - r["low"] : b - r["low"] + length]
+                    out.append((int.from_bytes(name, "little", signed=True), body, r["doc_id"], r["pos"] + a - r["low"], a, b))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema)], schema=batch.schema)
+
+    return work
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, large: int = LARGE_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(touched, spans): the documents with candidates, stored; and (doc_id, pos, n): runs of
     starts of repeated strings."""
     known = docs.where(F.col("doc_id").isNotNull())
@@ -221,7 +247,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> t
     schema = f"h bigint, around binary, doc_id {kind.simpleString()}, pos bigint, low int, high int"
     sent = stored(touched.mapInArrow(_surroundings(to_arrow_type(kind), length, kmer), schema))
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = sent.where("h is not null").repartition(n, "h").sortWithinPartitions("h")
+    rows = sent.where("h is not null")
+    hot = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("h"))
+    if (n_hot := hot.count()) > 0:
+        named = F.broadcast(hot) if n_hot <= LISTED else hot
+        rows = rows.join(named, "h", "left_anti").unionByName(rows.join(named, "h", "left_semi").select(*rows.columns).mapInArrow(_finer(length), schema))
+    dealt = rows.repartition(n, "h").sortWithinPartitions("h")
     sorted_ = dealt.mapInArrow(_sorted_buckets(length, kmer), f"doc_id {kind.simpleString()}, pos bigint, n bigint")
     at_once = sent.where("h is null").select("doc_id", "pos", (F.col("high") + 1).cast("bigint").alias("n"))
     return touched, at_once.unionByName(sorted_)
@@ -255,11 +286,11 @@ def _kept(length: int, with_spans: bool):
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, large: int = LARGE_BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = id_and_text(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    touched, spans = repeated_spans(texts, length, kmer)
+    touched, spans = repeated_spans(texts, length, kmer, large)
     of_doc = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     changed = touched.select("doc_id", "text").join(of_doc, "doc_id").mapInArrow(_kept(length, True), schema)

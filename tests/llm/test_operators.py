@@ -134,10 +134,11 @@ def test_secrets_and_masking(spark, none):
 
 
 # --- 5, 9 ----------------------------------------------------------------------------------------------
-def test_byte_repeats(docs, texts, none):
+@pytest.mark.parametrize("large", [20_000, 2])
+def test_byte_repeats(docs, texts, none, large):
     every = [(t or "").encode() for t in texts] + [(texts[3] or "").encode()]
     seen = Counter(w[s : s + 200] for w in every for s in range(len(w) - 199))
-    got = by_id(substrings.remove_repeats(docs))
+    got = by_id(substrings.remove_repeats(docs, large=large))
     for i, w in enumerate(every[:-1]):
         gone = bytearray(len(w))
         for s in range(len(w) - 199):
