@@ -8,7 +8,8 @@ lexicon term, take their match back. A document's hits are summed by weight, nor
 its length, and turned into a score by a logistic curve.
 
 Only a bounded sample of labelled rows is learned from (``per_class`` rows of each label, by
-the order of a hash of the id); every document is scored over its whole text.
+the order of a hash of the id); the curve is moved from the shares of the sample to those of all
+rows that may be learned from. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits;
 null labels are not learned from; of repeated labels for one id the highest counts; with no
@@ -118,10 +119,21 @@ def weigh(matcher: ahocorasick.Automaton, folded: str) -> tuple[float, list[tupl
     return sum(best[s][0] for s, _ in places), places
 
 
+def learnable(labels: DataFrame, label: str, keep) -> DataFrame:
+    """doc_id, y of the labelled rows that ``keep`` says may be learned from."""
+    return labels.where(keep & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
+def class_counts(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows of class 1 and of class 0."""
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return n.get(1, 0), n.get(0, 0)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int) -> DataFrame:
     """Whole texts of at most ``per_class`` labelled rows of each class, chosen by a hash of
     the id; ``keep`` says which labelled rows may be learned from."""
-    known = labels.where(keep & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = learnable(labels, label, keep)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 1").orderBy(*order).limit(per_class).unionByName(known.where("y = 0").orderBy(*order).limit(per_class))
     return stored(id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))
@@ -179,12 +191,14 @@ def _phrases(matcher: ahocorasick.Automaton, folded: str) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn lexicon, exceptions and curve from labelled rows whose crc32 of the id is not 0 mod 5."""
-    rows = sample(docs, labels, "toxic", F.pmod(crc_of_id(), F.lit(5)) != 0, per_class)
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    keep = F.pmod(crc_of_id(), F.lit(5)) != 0
+    rows = sample(docs, labels, "toxic", keep, per_class)
+    n_toxic, n_clean = class_counts(rows)
+    all_toxic, all_clean = class_counts(docs.select("doc_id").join(learnable(labels, "toxic", keep), "doc_id"))
+    prior = all_toxic / max(1, all_toxic + all_clean)
     if not n_toxic or not n_clean:
-        return Model(prior=n_toxic / max(1, n_toxic + n_clean))
-    model = Model(weights=_lexicon(rows, n_toxic, n_clean), prior=n_toxic / (n_toxic + n_clean))
+        return Model(prior=prior)
+    model = Model(weights=_lexicon(rows, n_toxic, n_clean), prior=prior)
     if not model.weights:
         return model
     plain = model.matcher()
@@ -192,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     model.exceptions = sorted(r["term"] for r in excused.orderBy(F.desc("clean"), "term").limit(MOST_TERMS).toLocalIterator())
     points = _totals(rows, model, "y").toPandas()
     x = np.array([features(t, n) for t, n in zip(points["total"], points["n_words"])])
-    model.curve = tuple(logistic(x, points["y"].to_numpy(float)).tolist())
+    level, *slopes = logistic(x, points["y"].to_numpy(float)).tolist()
+    # The sample may be balanced; the scores are for the shares among all rows that may be learned from.
+    model.curve = (level + math.log(all_toxic / all_clean) - math.log(n_toxic / n_clean), *slopes)
     return model
 
 
