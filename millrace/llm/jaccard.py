@@ -1,9 +1,11 @@
 """Join of documents on the Jaccard similarity of their word n-grams through a MinHash LSH forest.
 
 1. Documents with the same set of n-grams are one class; only its smallest id goes on.
-2. Each class gets ``trees`` signatures of ``max_depth`` minima. The prefix by which a tree is
-   cut into nodes starts at full depth and is shortened until pairs exactly at the threshold
-   are found with the target recall.
+2. Each class gets an ordered prefix of minima in each of ``trees`` trees. The depth at which the
+   trees are cut into nodes is shortened level by level until an isolated pair exactly at the
+   threshold is missed with at most ``1 - target``. Nodes of deeper levels lie inside the nodes
+   of the last one, so only that level is grouped: for a fixed threshold the forest finds the
+   same pairs as banding with one band a tree, and no prefix is shortened by itself.
 3. Nodes with more than one class tie their members to the smallest one; the components of
    these ties are the candidate groups, so each text is sent to one group instead of every tree.
 4. Inside a group all pairs are counted exactly from the n-grams. A large group is dealt out
@@ -31,9 +33,9 @@ from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 32
 MAX_DEPTH = 10
-TARGET_RECALL = 0.99
+TARGET_RECALL = 0.99999
 BLOCK = 1024
 _CHUNK = 1 << 13
 
@@ -72,35 +74,33 @@ def shingles(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(32))) * _MIX[1, 0])
 
 
-def signature(hashes: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit key per tree: the first ``depth`` minima of its signature."""
+def signature(hashes: np.ndarray, trees: int, depth: int) -> list[bytes]:
+    """One prefix per tree: its first ``depth`` minima in order, four bytes each. Prefixes of
+    one tree sort like the paths of a trie, and a shorter prefix begins every longer one."""
     a, b = _MIX[0, : trees * depth, None], _MIX[1, : trees * depth, None]
     low = np.full(trees * depth, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[None, at : at + _CHUNK] * a + b
         low = np.minimum(low, (part >> np.uint64(32)).min(axis=1))
-    key = np.zeros(trees, dtype=np.uint64)
-    for level in low.reshape(trees, depth).T:
-        key = (key ^ (key >> np.uint64(31))) * _MIX[0, 7] + level * _MIX[1, 3]
-    return (key ^ (key >> np.uint64(32))).view(np.int64)
+    return [row.tobytes() for row in low.astype(">u4").reshape(trees, depth)]
 
 
 def _signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, same (128 bits that name the set; null without words), keys of the trees."""
+    """doc_id, same (128 bits that name the set; null without words), prefixes of the trees."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            same, keys = [], []
+            same, prefixes = [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, size)
                 same.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-                keys.append(signature(hashes, trees, depth) if len(hashes) else None)
+                prefixes.append(signature(hashes, trees, depth) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "keys"]
+                [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(prefixes, pa.list_(pa.binary()))], names=["doc_id", "same", "prefixes"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, same binary, keys array<bigint>")
+    return docs.mapInArrow(work, f"doc_id {kind}, same binary, prefixes array<binary>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -189,11 +189,11 @@ def join(
     signed = stored(_signed(known, size, trees, prefix_depth(threshold, trees, max_depth, target)))
     with_words = signed.where("same is not null")
     ids = with_words.select("same", "doc_id").distinct()
-    classes = stored(with_words.groupBy("same").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
+    classes = stored(with_words.groupBy("same").agg(F.min("doc_id").alias("class_id"), F.first("prefixes").alias("prefixes"))
                      .join(ids.groupBy("same").agg(F.count(F.lit(1)).alias("copies")), "same"))
-    nodes = classes.select("class_id", F.posexplode("keys").alias("tree", "key"))
-    shared = nodes.groupBy("tree", "key").agg(F.min("class_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ties = nodes.join(shared, ["tree", "key"]).where("class_id <> b").select(F.col("class_id").alias("a"), "b")
+    nodes = classes.select("class_id", F.posexplode("prefixes").alias("tree", "prefix"))
+    shared = nodes.groupBy("tree", "prefix").agg(F.min("class_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    ties = nodes.join(shared, ["tree", "prefix"]).where("class_id <> b").select(F.col("class_id").alias("a"), "b")
     groups = stored(components(ties))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     dealt = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
