@@ -83,7 +83,9 @@ class Laid:
         self.ok = valid_starts(self.lengths, window)
         self.owner = np.repeat(np.arange(len(parts)), self.lengths)
         self.width = window - k + 1
-        self.kmers = mixed(rolling(self.values, k))
+        # Bytes count from one: a run of NUL would hash to 0, which stands for no k-mer.
+        bytewise = self.values.dtype == np.uint8
+        self.kmers = mixed(rolling(self.values.astype(np.uint64) + np.uint64(1) if bytewise else self.values, k))
         self.minima = window_minima(self.kmers, self.width)
 
     def anchors(self) -> np.ndarray:
