@@ -10,7 +10,8 @@ Suffixes are sorted one bucket at a time, and only as deep as ``LENGTH`` bytes.
 3. A suffix is then sorted by the few bytes before the next cover place, the rank of the cover
    string there, which resolves ties of any depth at once, and the few bytes after it. Equal
    neighbours in this order share ``LENGTH`` bytes, and all of them are marked.
-4. Buckets are dealt out by Spark and worked off in blocks of bounded size. Within a task of
+4. Buckets are dealt out by Spark and worked off in blocks of bounded size; larger buckets are
+   split by ranges of columns until none is left. Within a task of
    the scan equal surroundings are combined first: they repeat each other, which needs no sort,
    and one row for all of them goes to the bucket.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,12 @@ KMER = 33
 COVER = 8
 GROUP_BYTES = 3 << 20
 BLOCK_ROWS = 4096
-# A bucket with more rows than this is split by longer prefixes; the list of such buckets is
-# copied to every task up to LISTED, else it is joined.
+# A bucket with more rows than this is split by longer prefixes, again and again, over ranges of
+# columns from SPLIT_COLUMNS down to one; the list of such buckets is copied to every task up to
+# LISTED, that of repeated rows up to LISTED_ROWS, else it is joined.
 LARGE_BUCKET = 20_000
 LISTED = 500_000
+LISTED_ROWS = 100_000
 SPLIT_COLUMNS = 24
 
 
@@ -216,7 +220,7 @@ def _sorted_buckets(length: int, kmer: int):
     return work
 
 
-def _finer(length: int):
+def _finer(length: int, columns_at_once: int):
     """Rows of large buckets by ranges of columns. All strings that begin in a range share the
     bytes from the range's last column to the end of its first string: these join the name."""
 
@@ -224,8 +228,8 @@ def _finer(length: int):
         for batch in slices(batches, BLOCK_ROWS):
             out = []
             for r in batch.to_pylist():
-                for first in range(r["low"] // SPLIT_COLUMNS * SPLIT_COLUMNS, r["high"] + 1, SPLIT_COLUMNS):
-                    last = first + SPLIT_COLUMNS - 1
+                for first in range(r["low"] // columns_at_once * columns_at_once, r["high"] + 1, columns_at_once):
+                    last = first + columns_at_once - 1
                     a, b = max(r["low"], first), min(r["high"], last)
                     shared = r["around"][last - r["low"] : first + length - r["low"]]
                     name = hashlib.blake2b(shared, digest_size=8, key=f"{r['h']} {first}".encode()).digest()
@@ -237,6 +241,34 @@ def _finer(length: int):
     return work
 
 
+def bounded(rows: DataFrame, length: int, large: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows in buckets of at most ``large`` rows, repeats found on the way as doc_id, pos, n).
+
+    Rows of a large bucket are split; equal ones then repeat each other, and one row without
+    document stands for them. What is still large is split over narrower ranges. With one column
+    the name covers the whole string, so no more than one row of a name is left."""
+    schema = "h bigint, around binary, " + ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "pos", "low", "high"))
+    key = ["h", "around", "low", "high"]
+    done, found, width = [], [], SPLIT_COLUMNS
+    while True:
+        hot = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("h"))
+        if not (n_hot := hot.count()):
+            return reduce(DataFrame.unionByName, done, rows), found
+        named = F.broadcast(hot) if n_hot <= LISTED else hot
+        done.append(rows.join(named, "h", "left_anti"))
+        split = stored(rows.join(named, "h", "left_semi").select(*rows.columns).mapInArrow(_finer(length, width), schema))
+        each = split.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos"))
+        each = stored(each.withColumn("doc_id", F.when(F.col("n") == 1, F.col("doc_id"))))
+        again = each.where("n > 1").select(*key)
+        again = F.broadcast(again) if again.count() <= LISTED_ROWS else again
+        members = split.where("doc_id is not null").join(again, key, "left_semi")
+        found.append(members.select("doc_id", "pos", (F.col("high") - F.col("low") + 1).cast("bigint").alias("n")))
+        rows = each.select(*rows.columns)
+        if width == 1:
+            return reduce(DataFrame.unionByName, done, rows), found
+        width = max(1, width // 2)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, large: int = LARGE_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(touched, spans): the documents with candidates, stored; and (doc_id, pos, n): runs of
     starts of repeated strings."""
@@ -247,15 +279,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, larg
     schema = f"h bigint, around binary, doc_id {kind.simpleString()}, pos bigint, low int, high int"
     sent = stored(touched.mapInArrow(_surroundings(to_arrow_type(kind), length, kmer), schema))
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = sent.where("h is not null")
-    hot = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("h"))
-    if (n_hot := hot.count()) > 0:
-        named = F.broadcast(hot) if n_hot <= LISTED else hot
-        rows = rows.join(named, "h", "left_anti").unionByName(rows.join(named, "h", "left_semi").select(*rows.columns).mapInArrow(_finer(length), schema))
+    rows, found = bounded(sent.where("h is not null"), length, large)
     dealt = rows.repartition(n, "h").sortWithinPartitions("h")
     sorted_ = dealt.mapInArrow(_sorted_buckets(length, kmer), f"doc_id {kind.simpleString()}, pos bigint, n bigint")
     at_once = sent.where("h is null").select("doc_id", "pos", (F.col("high") + 1).cast("bigint").alias("n"))
-    return touched, at_once.unionByName(sorted_)
+    return touched, reduce(DataFrame.unionByName, found, at_once.unionByName(sorted_))
 
 
 def _kept(length: int, with_spans: bool):
