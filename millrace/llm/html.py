@@ -1,12 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host are taken in groups of bounded size. Within a group every token (a tag or
-a word, told apart by its path of enclosing elements) has an occurrence vector: how often it
-is on each page. Tokens with the same vector form an equivalence class. A class is valid if
-its tokens keep one order on all pages and their spans nest; valid classes that occur once on
-a page are nested into the group's template. What lies between template tokens are slots. The
-slots inside the template's main element hold the article; words of the template outside it
-and slots inside menus, adverts, notices, comments and the like are left out.
+the text of a block, told apart by its path of enclosing elements) has an occurrence vector: how
+often it is on each page; equal pages count once. Tokens with the same vector form an equivalence
+class. A class is valid if its tokens keep one order on all pages and their spans nest; valid
+classes that occur once on a page are nested into the group's template. What lies between
+template tokens are slots. The slots inside the template's main element hold the article. Menus,
+adverts, notices, comments and the like are left out by fixed lists of elements and names, and
+outside article and main elements also the blocks that the template holds on nearly all pages.
+A page of which the template holds nearly all the text is a near copy and keeps its blocks.
 
 Defined results: a null or empty page gives an empty text; a page alone in its group is read
 with its own elements as template; a null url counts as one host; repeated rows are read each
@@ -128,32 +130,46 @@ def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
     return out
 
 
+def units(tokens):
+    """(path, mark, wholly in links) of block tags and the blocks of text between them, without
+    text outside. Marks are "" for a start, "/" for an end and "=" with the words for a block."""
+    held, path, linked = [], None, True
+    for kind, where, outside, link, text in [*tokens, ("close", "", False, False, "")]:
+        if kind == "text":
+            if not outside:
+                held.append(text)
+                if not text.isspace():
+                    path, linked = where if path is None else path, linked and link
+            continue
+        if words := references.unescape("".join(held)).split():
+            yield path or "", "=" + " ".join(words), linked
+        held, path, linked = [], None, True
+        if kind != "close":
+            yield where, "" if kind == "tag" else "/", False
+
+
 def template(pages: list[list[tuple[str, str, bool, bool, str]]]) -> list[tuple[str, str]]:
     """Tokens of the nested valid equivalence classes, in page order.
 
-    Only tokens that occur at most once on a page and on most pages can frame slots; they are
-    grouped by their occurrence vector, and a class is kept when its order is the same on all
-    its pages and its span nests with the classes kept before (the most frequent first)."""
+    Only tokens that occur at most once on a page and on most pages (blocks of text on four of
+    five) can frame slots; they are grouped by their occurrence vector, tags and blocks apart, and
+    a class is kept when its order is the same on all its pages and its span nests with the
+    classes kept before (the most frequent first, tags before blocks)."""
     places: list[dict[tuple[str, str], int]] = []
     vectors: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * len(pages))
     for k, tokens in enumerate(pages):
         first: dict[tuple[str, str], int] = {}
-        n = 0
-        for kind, path, outside, _, text in tokens:
-            found = [(path, w) for w in text.split()] if kind == "text" and outside else []
-            if kind != "text":
-                found = [(path, "" if kind == "tag" else "/")]
-            for token in found:
-                vectors[token][k] += 1
-                first.setdefault(token, n)
-                n += 1
+        for n, (path, mark, _) in enumerate(units(tokens)):
+            vectors[path, mark][k] += 1
+            first.setdefault((path, mark), n)
         places.append(first)
-    classes: dict[tuple[int, ...], list[tuple[str, str]]] = defaultdict(list)
+    classes: dict[tuple[tuple[int, ...], bool], list[tuple[str, str]]] = defaultdict(list)
     for token, vector in vectors.items():
-        if max(vector) == 1 and sum(vector) >= max(2, len(pages) // 2):
-            classes[tuple(vector)].append(token)
+        block = token[1].startswith("=")
+        if max(vector) == 1 and sum(vector) >= max(2, 0.8 * len(pages) if block else len(pages) // 2):
+            classes[tuple(vector), block].append(token)
     kept: list[tuple[str, str]] = []
-    for vector, tokens in sorted(classes.items(), key=lambda x: (-sum(x[0]), x[0])):
+    for (vector, _), tokens in sorted(classes.items(), key=lambda x: (-sum(x[0][0]), x[0])):
         on = [k for k, v in enumerate(vector) if v]
         order = sorted(tokens, key=lambda t: places[on[0]][t])
         if all(places[k][a] < places[k][b] for k in on for a, b in zip(order, order[1:])):
@@ -189,26 +205,21 @@ def main_text(tokens, path: str, fixed: frozenset[tuple[str, str]]) -> str:
     if not any(p == path or p.startswith(path + "/") for kind, p, *_ in tokens if kind == "text"):
         path = ""
     inside = [x for x in tokens if path == "" or x[1] == path or x[1].startswith(path + "/") or (x[0] == "tag" and path.startswith(x[1]))]
-    blocks, held = [], []
-    for kind, where, outside, _, text in [*inside, ("tag", "", False, False, "")]:
-        if kind == "text":
-            if not outside:
-                held.append(text)
-        else:
-            words = references.unescape("".join(held)).split()
-            held = []
-            if path == "" and all((where, w) in fixed for w in words):
-                continue
-            if words:
-                blocks.append(" ".join(words))
-    return "\n".join(blocks)
+    blocks = [x for x in units(inside) if x[1].startswith("=")]
+    if path.rsplit("/", 1)[-1].split(".")[0] not in MAIN:
+        own = [x for x in blocks if x[:2] not in fixed]
+        n_own, n = (sum(len(mark.split()) for _, mark, linked in found if not linked) for found in (own, blocks))
+        if own and n_own >= 0.2 * n:
+            blocks = own
+    return "\n".join(mark[1:] for _, mark, _ in blocks)
 
 
 def _extract(table: pa.Table) -> pa.Table:
     rows = table.select(["page_id", "url", "html"]).sort_by([("url", "ascending"), ("page_id", "ascending")])
     pages = [read(x or "") for x in rows.column("html").to_pylist()]
     full = [p for p in pages if p]
-    frame = template(full) if len(full) > 1 else [(path, "") for kind, path, *_ in (full or [[]])[0] if kind == "tag"]
+    distinct = [p for p in dict(zip(rows.column("html").to_pylist(), pages)).values() if p]
+    frame = template(distinct) if len(distinct) > 1 else [(path, "") for kind, path, *_ in (full or [[]])[0] if kind == "tag"]
     path = main_path(full, frame)
     texts = []
     for tokens in pages:
