@@ -47,17 +47,26 @@ MAIN = ("article", "main")
 MARKED = set(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice"
     " notices alert alerts newsletter subscribe subscription signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs"
-    " footer comment comments commentlist disqus replies reply discussion related recommended share sharing social toolbar pagination"
+    " footer comment comments commentlist disqus replies reply related recommended share sharing social toolbar pagination"
     " pager login popup modal overlay search widget complementary contentinfo skip".split()
 )
+# Words beside a marked one that leave a name's meaning as it is (``sidebar-left``, not ``has-sidebar``).
+NEUTRAL = set(
+    "top bottom left right main page site global primary secondary inner outer box block bar slot unit area zone wrap wrapper container"
+    " holder panel section list item items link links button buttons icon icons module region header head form field input js post posts"
+    " article articles entry media group row col the my".split()
+)
+# A marked element with this share of a page's text is no mark but the page's wrapper.
+WRAPPER_SHARE = 0.75
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("name", "path", "out", "link")
+    __slots__ = ("name", "path", "out", "link", "mark")
 
-    def __init__(self, name: str, path: str, out: bool, link: bool) -> None:
+    def __init__(self, name: str, path: str, out: bool, link: bool, mark: int | None = None) -> None:
         self.name, self.path, self.out, self.link = name, path, out, link
+        self.mark = mark  # place of the outermost marked element, if only its mark makes this one outside
 
 
 def _is_marked(attributes: str) -> tuple[bool, str]:
@@ -67,14 +76,30 @@ def _is_marked(attributes: str) -> tuple[bool, str]:
         value = "".join(values)
         if name.lower() == "class":
             shown = "." + ".".join(value.split()[:2])
-        marked |= any(w.lower() in MARKED for w in _WORD.findall(value))
+        for token in value.split():
+            words = {w.lower() for w in _WORD.findall(token)}
+            marked |= bool(words & MARKED) and words <= MARKED | NEUTRAL
     return marked, shown
 
 
 def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
     """Tokens of a page in order: (kind, path, outside, in a link, text). Kinds are ``text`` and,
-    for the start and end of blocks, ``tag`` and ``end``. Missing end tags are put right."""
+    for the start and end of blocks, ``tag`` and ``end``. Missing end tags are put right. Class,
+    id or role do not mark an element that holds most of the page's text outside links."""
+    spared: set[int] = set()
+    while True:
+        out, total, marks = _read(page, spared)
+        wrappers = {k for k, n in marks.items() if n >= WRAPPER_SHARE * total}
+        if not wrappers:
+            return out
+        spared |= wrappers
+
+
+def _read(page: str, spared: set[int]) -> tuple[list[tuple[str, str, bool, bool, str]], int, Counter]:
+    """Tokens; length of the text that is not in links or left out by its element; of this, the
+    length in each outermost marked element, by its place. Elements at ``spared`` are not marked."""
     out: list[tuple[str, str, bool, bool, str]] = []
+    total, marks = 0, Counter()
     stack = [Node("", "", False, False)]
     at, size = 0, len(page)
     while at < size:
@@ -86,6 +111,10 @@ def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
             if not text.startswith(("<!", "<?")):
                 top = stack[-1]
                 out.append(("text", top.path, top.out, top.link, text))
+                if not top.link and (top.mark is not None or not top.out) and not text.isspace():
+                    total += len(text)
+                    if top.mark is not None:
+                        marks[top.mark] += len(text)
             continue
         name = name.lower()
         if m.group(1):  # end tag
@@ -122,12 +151,14 @@ def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
             while len(stack) > 1 and stack[-1].out and stack[-1].name not in OUTSIDE:
                 stack.pop()
         top = stack[-1]
-        outside = top.out or name in OUTSIDE or (marked and name not in ("html", "body", "a", "b", "i", "em", "strong", *MAIN)) or (name == "header" and not inside)
-        node = Node(name, f"{top.path}/{name}{shown}", outside, top.link or name == "a")
+        marked = marked and m.start() not in spared and name not in ("html", "body", "a", "b", "i", "em", "strong", *MAIN)
+        fixed = name in OUTSIDE or (name == "header" and not inside)
+        mark = None if fixed or (top.out and top.mark is None) else top.mark if top.out else m.start() if marked else None
+        node = Node(name, f"{top.path}/{name}{shown}", top.out or fixed or marked, top.link or name == "a", mark)
         stack.append(node)
         if name in BLOCKS:
             out.append(("tag", node.path, node.out, node.link, ""))
-    return out
+    return out, total, marks
 
 
 def units(tokens):
@@ -201,12 +232,17 @@ def main_path(pages, frame: list[tuple[str, str]]) -> str:
 
 
 def main_text(tokens, path: str, fixed: frozenset[tuple[str, str]]) -> str:
-    """Blocks of the slots inside the main element, in page order, one to a line."""
+    """Blocks of the slots inside the main element, in page order, one to a line. An element that
+    is no article or main is widened by the text beside it (title, lead, further sections) that is
+    neither template nor wholly in links."""
     if not any(p == path or p.startswith(path + "/") for kind, p, *_ in tokens if kind == "text"):
         path = ""
-    inside = [x for x in tokens if path == "" or x[1] == path or x[1].startswith(path + "/") or (x[0] == "tag" and path.startswith(x[1]))]
+    named = path.rsplit("/", 1)[-1].split(".")[0] in MAIN
+    within = lambda p: path == "" or p == path or p.startswith(path + "/")
+    inside = [x for x in tokens if not named or within(x[1]) or (x[0] == "tag" and path.startswith(x[1]))]
     blocks = [x for x in units(inside) if x[1].startswith("=")]
-    if path.rsplit("/", 1)[-1].split(".")[0] not in MAIN:
+    if not named:
+        blocks = [x for x in blocks if within(x[0]) or not x[2]]
         own = [x for x in blocks if x[:2] not in fixed]
         n_own, n = (sum(len(mark.split()) for _, mark, linked in found if not linked) for found in (own, blocks))
         if own and n_own >= 0.2 * n:
