@@ -113,14 +113,18 @@ class Shard:
                 break
         return starts
 
-    def near(self, terms: tuple[int, ...], rarest: list[int], span: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most ``span`` words away."""
+    def near(self, terms: tuple[int, ...], rarest: list[int], span: int, firsts: np.ndarray | None = None) -> np.ndarray:
+        """Positions of the rarest term with every other term at most ``span`` words away; with
+        the ``firsts`` of the shard's documents, in the same document."""
         if any(t not in self.at for t in terms):
             return np.empty(0, np.int64)
         here = self.positions(terms[rarest[0]])
         for place in rarest[1:]:
-            listed = self.positions(terms[place])
-            here = here[np.searchsorted(listed, here - span) < np.searchsorted(listed, here + span, side="right")]
+            listed, low, high = self.positions(terms[place]), here - span, here + span
+            if firsts is not None:
+                doc = np.searchsorted(firsts, here, side="right") - 1
+                low, high = np.maximum(low, firsts[doc]), np.minimum(high, firsts[doc + 1] - 1)
+            here = here[np.searchsorted(listed, low) < np.searchsorted(listed, high, side="right")]
             if not len(here):
                 break
         return here
@@ -203,6 +207,43 @@ def hits(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int = W
     return index.mapInArrow(work, _HITS)
 
 
+def near_hits(index: DataFrame, items: list[tuple[str, list[bytes]]], span: int, window: int = WINDOW) -> DataFrame:
+    """Documents (shard and row in it) with all words of any window of an item near each other, in
+    any order: ``item``, and the ``places`` of the window's globally rarest word, counted from the
+    document's first word, with every other word at most ``span`` words away."""
+    vocabulary: dict[bytes, int] = {}
+    sets: dict[tuple[int, ...], set[str]] = defaultdict(set)
+    for name, found in items:
+        for w in windows(found, window):
+            sets[tuple(dict.fromkeys(vocabulary.setdefault(t, len(vocabulary)) for t in w))].add(name)
+    rarity = _rarity(index, vocabulary)
+    plan = [
+        (terms, sorted(range(len(terms)), key=lambda p: (rarity[terms[p]], p)), sorted(names))
+        for terms, names in sets.items()
+        if all(rarity[t] for t in terms)
+    ]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                shard = Shard(row["terms"], row["counts"], row["steps"], vocabulary)
+                firsts = np.asarray(row["firsts"], dtype=np.int64)
+                places: dict[tuple[int, str], set[int]] = defaultdict(set)
+                for terms, rarest, names in plan:
+                    here = shard.near(terms, rarest, span, firsts)
+                    doc = np.searchsorted(firsts, here, side="right") - 1
+                    for d, at in zip(doc.tolist(), (here - firsts[doc]).tolist()):
+                        for name in names:
+                            places[d, name].add(at)
+                out = [(row["shard"], d, name, sorted(at)) for (d, name), at in sorted(places.items())]
+                columns = list(zip(*out)) or [()] * 4
+                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["shard", "row", "item", "places"])
+
+    return index.mapInArrow(work, "shard bigint, row bigint, item string, places array<bigint>")
+
+
 @F.arrow_udf(T.LongType())
 def _union_length(starts: pa.Array, ends: pa.Array) -> pa.Array:
     out = []
