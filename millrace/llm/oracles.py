@@ -122,3 +122,33 @@ SELECT doc_id, leaf, t{_LEAF_LEVELS}.h AS subroot, u{_ROOT_LEVELS}.h AS root, sh
   node = u{_ROOT_LEVELS}.h AS verified
 FROM ufold{_ROOT_LEVELS - 1} f JOIN t{_LEAF_LEVELS} ON t{_LEAF_LEVELS}.g = f.k JOIN u{_ROOT_LEVELS} ON u{_ROOT_LEVELS}.g = f.top
 """
+
+_TERM_SCALE = "CAST(1000000000 AS HUGEINT)"
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+seen AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT grp.lang, grp.source, kept.term, coalesce(c, 0) AS c FROM grp JOIN kept ON kept.lang = grp.lang
+  LEFT JOIN seen ON seen.lang = grp.lang AND seen.source = grp.source AND seen.term = kept.term),
+n AS (SELECT lang, source, sum(c) AS n FROM cell GROUP BY lang, source),
+p AS (SELECT cell.lang, cell.source, term, c, 1 + ({_TERM_SCALE} * (c + 1)) // (n + v) AS p
+  FROM cell JOIN n ON n.lang = cell.lang AND n.source = cell.source JOIN v ON v.lang = cell.lang),
+whole AS (SELECT lang, term, sum(c) AS c FROM cell GROUP BY lang, term),
+q AS (SELECT whole.lang, term, 1 + ({_TERM_SCALE} * (c + 1)) // (n + v) AS q
+  FROM whole JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) m ON m.lang = whole.lang JOIN v ON v.lang = whole.lang),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT p.lang, source, p.term AS item, ((p - q) * (p - q)) // q AS value
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

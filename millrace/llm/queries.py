@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, jaccard, manifest, mixing, oracles, packing, phrases, quality, secrets, substrings, toxicity
+from . import decontaminate, divergence, embeddings, html, jaccard, manifest, mixing, oracles, packing, phrases, quality, secrets, substrings, toxicity
 from .common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_cube_mixing")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_source_divergence", oracles.DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
