@@ -15,6 +15,7 @@ nothing; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -41,9 +42,15 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# Runs of white space from this length on go to the other library: the pattern looks ahead
+# at the end of such a run and takes memory on the stack for every character of it.
+LONG_BLANKS = re.compile(r"\s{8000}")
+
+
 class TokenIds:
-    """Ids of a byte-level BPE file. Its merges run in ``tiktoken``, which is several times
-    as fast and gives the same ids; a text that holds a special token goes to ``tokenizers``."""
+    """Ids of a tokenizer file. The merges of a byte-level BPE file that cuts text by the pattern
+    above run in ``tiktoken``, which is several times as fast and gives the same ids. Texts with a
+    special token or long white space go to ``tokenizers``, as do all texts under any other file."""
 
     def __init__(self, path: str) -> None:
         from tiktoken import Encoding
@@ -52,13 +59,17 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        self.special = [t["content"] for t in parts["added_tokens"]]
-        byte_of = byte_alphabet()
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in parts["model"]["vocab"].items() if t not in self.special}
-        self.fast = Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.special, self.fast = [t["content"] for t in parts["added_tokens"]], None
+        cut, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        known = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not parts.get("normalizer")
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if known and plain:
+            byte_of = byte_alphabet()
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+            self.fast = Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or LONG_BLANKS.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
