@@ -78,11 +78,26 @@ def join_suffixes(spark, sf):
     " event_type END AS kind, count(*) AS total FROM events GROUP BY 1) n ON e.hot = n.kind",
 )
 def join_hot_key(spark, sf):
-    """A third of the left rows share one key; it is split over several parts."""
+    """A third of the left rows share one key; it is split over several parts by row content."""
     kind = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.col("event_type")).alias("kind")
-    events = table(spark, sf, "events").select("event_id", kind, F.col("event_id").alias("_row_id"))
+    events = table(spark, sf, "events").select("event_id", kind)
     totals = events.groupBy("kind").agg(F.count("*").alias("total"))
-    return join_tables(events, totals, "kind", "outer", hot_rows=100).drop("_row_id")
+    return join_tables(events, totals, "kind", "outer", hot_rows=100)
+
+
+@query(
+    "join_hot_copies",
+    "SELECT coalesce(l.kind, r.kind) AS kind, l.odd, r.region FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type END AS kind,"
+    " event_id % 2 AS odd FROM events) l FULL JOIN (SELECT CASE WHEN n_regionkey = 4 THEN 'none' ELSE 'hot' END AS kind,"
+    " n_regionkey AS region FROM nation) r ON l.kind = r.kind",
+)
+def join_hot_copies(spark, sf):
+    """Both sides hold many equal rows under one key and have no row ids."""
+    kind = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.col("event_type")).alias("kind")
+    left = table(spark, sf, "events").select(kind, (F.col("event_id") % 2).alias("odd"))
+    group = F.when(F.col("n_regionkey") == 4, "none").otherwise("hot").alias("kind")
+    right = table(spark, sf, "nation").select(group, F.col("n_regionkey").alias("region"))
+    return join_tables(left, right, "kind", "outer", hot_rows=10)
 
 
 @query(
