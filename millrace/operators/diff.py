@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percent
 from ..rows import as_double, data_columns, dtype_of, is_number, local_table, quoted
 from . import facts as facts_
-from . import ordered, stats
+from . import ranges, stats
 
 
 def _common(before: DataFrame, after: DataFrame) -> list[str]:
@@ -137,7 +135,7 @@ def diff_categories(before: DataFrame, after: DataFrame, samples: int = 20) -> D
 
 
 def diff_distribution(
-    before: DataFrame, after: DataFrame, columns: list[str] | None = None, rows_per_range: int = ordered.ROWS_PER_RANGE
+    before: DataFrame, after: DataFrame, columns: list[str] | None = None, rows_per_range: int = ranges.ROWS_PER_RANGE
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov D and p per number column, over all rows.
 
@@ -152,13 +150,8 @@ def diff_distribution(
     counts = long.groupBy("column", "x").agg(
         F.count(_of(0, F.lit(1))).alias("b"), F.count(_of(1, F.lit(1))).alias("a")
     )
-    cuts = _value_cuts(before, after, columns, rows_per_range)
-    if any(cuts.values()):
-        table = F.create_map(*[y for c in columns for y in (F.lit(c), F.array(*[F.lit(v) for v in cuts[c]]).cast("array<double>"))])
-        bounds = table[F.col("column")]
-        counts = counts.withColumn("_range", F.size(F.filter(bounds, lambda v: v <= F.col("x"))))
-    else:
-        counts = counts.withColumn("_range", F.lit(0))
+    cuts = ranges.cut_points(_sides(before, after, columns, x=as_double), rows_per_range)
+    counts = ranges.with_range(counts, cuts, F.col("x"), F.col("column"))
     sums = counts.groupBy("column", "_range").agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"))
     order = W.partitionBy("column").orderBy("_range")
     before_range = order.rowsBetween(W.unboundedPreceding, -1)
@@ -169,7 +162,7 @@ def diff_distribution(
         *[F.sum(s).over(whole).alias(f"{s}_all") for s in ("sb", "sa")],
     )
     run = W.partitionBy("column", "_range").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    placed = counts.join(F.broadcast(starts), ["column", "_range"])
+    placed = counts.join(starts, ["column", "_range"])
     share = lambda side, s: F.try_divide(
         (F.sum(side).over(run) + F.col(f"{s}_start")).cast("double"), F.col(f"{s}_all").cast("double")
     )
@@ -183,25 +176,43 @@ def diff_distribution(
     )
 
 
-MAX_VALUE_RANGES = 500
+# Cells of the lattice up to which the p value is counted exactly; beyond it is the asymptotic one.
+EXACT_CELLS = 4_000_000
 
 
-def _value_cuts(before: DataFrame, after: DataFrame, columns: list[str], rows_per_range: int) -> dict[str, list[float]]:
-    """Cut points per column; one sketch pass, at most MAX_VALUE_RANGES per column."""
-    both = _sides(before, after, columns, x=as_double)
-    n = both.filter(F.col("x").isNotNull()).groupBy("column").agg(F.count("*").alias("n"))
-    largest = n.agg(F.max("n").alias("n")).first()["n"] or 0
-    ranges = min(MAX_VALUE_RANGES, math.ceil(largest / rows_per_range))
-    if ranges <= 1:
-        return {c: [] for c in columns}
-    shares = [i / ranges for i in range(1, ranges)]
-    rows = both.groupBy("column").agg(F.percentile_approx("x", shares, 10 * ranges).alias("q")).collect()
-    found = {r["column"]: sorted(set(r["q"] or [])) for r in rows}
-    return {c: found.get(c, []) for c in columns}
+def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
+    """Two-sided p value of the statistic: exact for samples of up to EXACT_CELLS cells, (n + m)
+    times the smaller of them, else the asymptotic series."""
+    cells = (n + m) * (F.least(n, m) + 1)
+    return F.when(cells <= EXACT_CELLS, ks_exact(d, n, m)).otherwise(ks_asymptotic(d, n, m))
 
 
-def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
-    """Asymptotic two-sided p value of the statistic (alternating exponential series)."""
+def ks_exact(d: Column, n: Column, m: Column) -> Column:
+    """Share of the orders of n and m values whose statistic reaches d.
+
+    An order is a lattice path from (0, 0) to (n, m). Step by step the chance to be at each point
+    (i of the smaller sample, t - i of the larger) without having been off the diagonal by d moves
+    on; what reaches the distance leaves. Distances are whole numbers, i * large - j * small."""
+    small, large = F.least(n, m).cast("double"), F.greatest(n, m).cast("double")
+    total, reach = small + large, F.round(d * small * large)
+    first = F.transform(F.sequence(F.lit(0), F.least(n, m).cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+
+    def step(at: Column, t: Column) -> Column:
+        def moved(v: Column, i: Column) -> Column:
+            j = t - i
+            stay = v * (large - j + 1)
+            come = F.coalesce(F.get(at, i - 1), F.lit(0.0)) * (small - i + 1)
+            inside = (j >= 0) & (j <= large) & (F.abs(i * large - j * small) < reach - 0.5)
+            return F.when(inside, (stay + come) / (total - t + 1)).otherwise(0.0)
+
+        return F.transform(at, moved)
+
+    staying = F.aggregate(F.sequence(F.lit(1), (n + m).cast("int")), first, step, lambda at: F.element_at(at, -1))
+    return F.when(reach < 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - staying))
+
+
+def ks_asymptotic(d: Column, n: Column, m: Column) -> Column:
+    """Limit of the p value (alternating exponential series)."""
     n, m = n.cast("double"), m.cast("double")
     effective = F.sqrt(n * m / (n + m))
     x = effective * d

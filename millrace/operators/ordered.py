@@ -6,42 +6,12 @@ value or one sum per range, so the carry table is as small as the list of ranges
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..rows import ROW_ID, quoted, require_columns, require_row_id
-
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
-
-
-def range_bounds(df: DataFrame, column: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Cut points that split the column into ranges of similar row counts."""
-    c = quoted(column).cast("double")
-    n = df.agg(F.count(c).alias("n")).first()["n"]
-    ranges = min(MAX_RANGES, math.ceil(n / rows_per_range)) if n else 1
-    if ranges <= 1:
-        return []
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(c, shares, max(10_000, 10 * ranges)).alias("q")).first()["q"]
-    return sorted(set(cuts))
-
-
-def with_range(df: DataFrame, column: str, cuts: list[float], name: str = "_range") -> DataFrame:
-    """Number of the range each row falls in (binary search over the cut points)."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    key = f"{name}_key"
-    placed = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep").transform(
-        df.withColumn(key, quoted(column).cast("double"))
-    )
-    return placed.withColumn(name, F.col(name).cast("int")).drop(key)
-
+from .ranges import ROWS_PER_RANGE, cut_points, with_range
 
 def carry_fill(
     df: DataFrame,
@@ -60,7 +30,9 @@ def carry_fill(
     groups = list(partition_by or [])
     require_row_id(df, "ffill/bfill")
     require_columns(df, columns + groups)
-    placed = with_range(df, ROW_ID, range_bounds(df, ROW_ID, rows_per_range))
+    place = quoted(ROW_ID).cast("double")
+    cuts = cut_points(df.select(F.lit("").alias("column"), place.alias("x")), rows_per_range)
+    placed = with_range(df, cuts, place)
     edge = F.max_by if forward else F.min_by
     values = []
     for i, c in enumerate(columns):
@@ -78,8 +50,7 @@ def carry_fill(
     cond = placed["_range"] == carry["_r"]
     for i, g in enumerate(groups):
         cond = cond & placed[g].eqNullSafe(carry[f"_g{i}"])
-    # Without groups the carry has at most MAX_RANGES rows.
-    joined = placed.join(carry if groups else F.broadcast(carry), cond, "left_outer")
+    joined = placed.join(carry, cond, "left_outer")  # dealt by range, as the window below needs it anyway
     inside = W.partitionBy(*map(quoted, groups), "_range").orderBy(
         quoted(ROW_ID).asc() if forward else quoted(ROW_ID).desc()
     ).rowsBetween(W.unboundedPreceding, 0)

@@ -123,23 +123,59 @@ def category_shift(spark, sf):
     return out.withColumns({c: F.array_join(c, "|") for c in ("added_values", "removed_values")})
 
 
-def _ks(c: str) -> str:
+def _ks(c: str, of: str = "lineitem", kept: str = "l_quantity * l_discount > 0.9") -> str:
+    """Statistic of a column before and after a filter; d is not rounded."""
     return (
-        f"SELECT '{c}' AS \"column\", any_value(nb) AS n_before, any_value(na) AS n_after, round(max(abs(cb / nb - ca / na)), 4) AS ks_stat FROM ("
+        f"SELECT '{c}' AS \"column\", any_value(nb) AS n_before, any_value(na) AS n_after, max(abs(cb / nb - ca / na)) AS d FROM ("
         f"SELECT sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER ()::BIGINT AS nb, sum(a) OVER ()::BIGINT AS na FROM ("
-        f"SELECT x, sum(b) AS b, sum(a) AS a FROM (SELECT {c} AS x, 1 AS b, 0 AS a FROM lineitem UNION ALL"
-        f" SELECT {c}, 0, 1 FROM lineitem WHERE l_quantity * l_discount > 0.9) GROUP BY x))"
+        f"SELECT x, sum(b) AS b, sum(a) AS a FROM (SELECT {c} AS x, 1 AS b, 0 AS a FROM {of} UNION ALL"
+        f" SELECT {c}, 0, 1 FROM {of} WHERE {kept}) GROUP BY x))"
     )
 
 
 _KS_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_KS_SERIES = (
+    "least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k:"
+    " CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp(-2.0 * k * k * d * d * n_before * n_after / (n_before + n_after))))))"
+)
+_KS_LIMIT = f"CASE WHEN d * sqrt(n_before * n_after / (n_before + n_after)) < 0.2 THEN 1.0 ELSE {_KS_SERIES} END"
 
 
-@query("diff_ks", " UNION ALL ".join(map(_ks, _KS_COLUMNS)))
+@query(
+    "diff_ks",
+    f"SELECT \"column\", n_before, n_after, round(d, 4) AS ks_stat, round({_KS_LIMIT}, 4) AS ks_pvalue FROM ("
+    + " UNION ALL ".join(map(_ks, _KS_COLUMNS)) + ")",
+)
 def diff_ks(spark, sf):
     before = table(spark, sf, "lineitem").select(*_KS_COLUMNS)
     after = before.filter("l_quantity * l_discount > 0.9")
-    return diff.diff_distribution(before, after).drop("ks_pvalue")
+    return diff.diff_distribution(before, after)
+
+
+# Points (i of the smaller sample, j of the larger) of lattice paths, a step at a time.
+_KS_PATHS = f"""
+WITH RECURSIVE stat AS (
+  SELECT *, least(n_before, n_after)::DOUBLE AS s, greatest(n_before, n_after)::DOUBLE AS l, round(d * n_before * n_after) AS h,
+    (n_before + n_after) * (least(n_before, n_after) + 1) <= {diff.EXACT_CELLS} AS exact FROM ({{stats}})),
+path AS (
+  SELECT "column", s, l, h, exact, 0 AS t, list_transform(range(0, CAST(s AS BIGINT) + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS q FROM stat
+  UNION ALL
+  SELECT "column", s, l, h, exact, t + 1, list_transform(q, lambda v, k: CASE WHEN t + 2 - k BETWEEN 0 AND l AND abs((k - 1) * l - (t + 2 - k) * s) < h - 0.5
+    THEN (v * (l - (t + 2 - k) + 1) + coalesce(q[k - 1], 0.0::DOUBLE) * (s - (k - 1) + 1)) / (s + l - t) ELSE 0.0::DOUBLE END)
+  FROM path WHERE exact AND t < s + l)
+SELECT stat."column", n_before, n_after, round(d, 4) AS ks_stat,
+  round(CASE WHEN NOT stat.exact THEN {_KS_LIMIT} WHEN stat.h < 1 THEN 1.0 ELSE greatest(0.0, 1 - q[CAST(stat.s AS BIGINT) + 1]) END, 4) AS ks_pvalue
+FROM stat JOIN path ON path."column" = stat."column" AND t = CASE WHEN stat.exact THEN stat.s + stat.l ELSE 0 END
+"""
+
+
+@query(
+    "diff_ks_exact",
+    _KS_PATHS.replace("{stats}", _ks("s_acctbal", "supplier", "s_nationkey > 11") + " UNION ALL " + _ks("s_nationkey", "supplier", "s_nationkey > 11")),
+)
+def diff_ks_exact(spark, sf):
+    before = table(spark, sf, "supplier").select("s_acctbal", "s_nationkey")
+    return diff.diff_distribution(before, before.filter("s_nationkey > 11"))
 
 
 @query(
