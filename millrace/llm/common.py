@@ -37,7 +37,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_root(spark)}/millrace-llm/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored stage once all that is read from it has itself been stored."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_and_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

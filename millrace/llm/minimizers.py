@@ -18,7 +18,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import stored, text_groups
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,8 +96,8 @@ class Laid:
         return np.flatnonzero((around == self.kmers) & (self.kmers > 0)) if len(self.minima) else np.empty(0, np.int64)
 
 
-def repeated_minimizers(docs: DataFrame, parts_of, k: int, window: int, group_bytes: int) -> DataFrame:
-    """(doc_id, hashes): for each document the minimizers that also occur at another place.
+def minimizer_rows(docs: DataFrame, parts_of, k: int, window: int, group_bytes: int) -> DataFrame:
+    """(h, doc_id, known), stored: the distinct minimizers of each group of texts.
 
     A task sends one row per distinct minimizer of its group of texts: with the document if
     only one holds it, else as a witness without document, since all its documents are then
@@ -127,7 +126,16 @@ def repeated_minimizers(docs: DataFrame, parts_of, k: int, window: int, group_by
                 doc = ids.take(pa.array(who[mask])) if named else pa.nulls(int(mask.sum()), ids.type)
                 yield pa.RecordBatch.from_arrays([hashes, doc, pa.array(np.full(int(mask.sum()), known), pa.bool_())], names=["h", "doc_id", "known"])
 
-    sent = stored(docs.mapInArrow(work, f"h bigint, doc_id {kind}, known boolean"))
+    return stored(docs.mapInArrow(work, f"h bigint, doc_id {kind}, known boolean"))
+
+
+def repeated_minimizers(docs: DataFrame, parts_of, k: int, window: int, group_bytes: int) -> DataFrame:
+    """(doc_id, hashes): for each document the minimizers that also occur at another place."""
+    return of_documents(minimizer_rows(docs, parts_of, k, window, group_bytes))
+
+
+def of_documents(sent: DataFrame) -> DataFrame:
+    """(doc_id, hashes) from the rows of all groups."""
     counted = sent.where(~F.col("known")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h")))
     shared = counted.where("n > 1 and doc_id is not null").select("doc_id", "h").unionByName(sent.where("known").select("doc_id", "h"))
     return shared.groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))

@@ -2,12 +2,14 @@
 
 1. Minimizers leave only the windows whose rarest sampled k-mer occurs elsewhere.
 2. Those windows of ``WINDOW`` words are the edges of a De Bruijn graph whose nodes are the
-   overlaps of ``WINDOW - 1`` words. An edge keeps its first source coordinate (document and
-   word) and its number of occurrences. Within a task equal edges are combined first.
-3. Edges that are equal at consecutive places in a document and in its source make a
-   nonbranching path. Unique repeated edges are joined with the edge that follows them at
-   their first coordinate; where both occur equally often the path goes on, elsewhere a new
-   one begins. An occurrence of a path is then one row with a length instead of one per word.
+   overlaps of ``WINDOW - 1`` words. Within a task equal edges are combined first, and edges that
+   follow each other under one minimizer are one row. Equal edges share their minimizer, so one
+   shuffle by it gives each edge its first source coordinate (document and word) and its number
+   of occurrences, and the rows are runs again.
+3. Runs that are equal at consecutive places in a document and in its source make a nonbranching
+   path. Repeated runs are joined with the one that follows them at their first coordinate; where
+   both occur equally often the path goes on, elsewhere a new one begins. An occurrence of a path
+   is then one row with a length.
 4. The spans are verified against the source coordinate: an occurrence is removed if its
    coordinate is later than the path's first one. Coordinates, never texts, are shuffled here.
 
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import id_and_text, slices, stored, text_groups
-from .minimizers import _SECOND, Laid, candidates, mixed, repeated_minimizers, rolling, runs
+from .common import forget, id_and_text, slices, stored, text_groups
+from .minimizers import Laid, candidates, minimizer_rows, mixed, of_documents, rolling, runs
 
 WINDOW = 20
 KMER = 11
@@ -57,19 +59,18 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def _edges(kind: pa.DataType, window: int, kmer: int):
-    """One row per distinct candidate edge of a group of texts, at its first coordinate there
-    (``e`` and ``c`` name it); and one row per run of edges that came earlier in the group."""
+    """Distinct candidate edges of a group of texts at their first coordinates there, one row per run
+    of them that shares a minimizer ``h``; and one row per run of edges that came earlier in the group."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_groups(batches, GROUP_BYTES):
             rows.sort(key=lambda r: r["doc_id"])
             laid = Laid([word_hashes(r["text"]) for r in rows], kmer, window)
             at = candidates(laid, [np.array(r["hashes"], dtype=np.int64).view(np.uint64) for r in rows])
-            e = mixed(rolling(laid.values, window))[at]
-            c = mixed(rolling(laid.values, window, _SECOND))[at] >> np.uint64(32)
-            order = np.lexsort((c, e))  # stable: the first of equal edges is the earliest
+            e, h = mixed(rolling(laid.values, window))[at], laid.minima[at]
+            order = np.lexsort((h, e))  # stable: the first of equal edges is the earliest
             first = np.ones(len(order), dtype=bool)
-            first[1:] = (e[order][1:] != e[order][:-1]) | (c[order][1:] != c[order][:-1])
+            first[1:] = (e[order][1:] != e[order][:-1]) | (h[order][1:] != h[order][:-1])
             ids = pa.array([r["doc_id"] for r in rows], kind)
             head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
             source = at[order[head]]
@@ -83,59 +84,85 @@ def _edges(kind: pa.DataType, window: int, kmer: int):
                 owner = laid.owner[start]
                 over = start + length > laid.starts[owner] + laid.lengths[owner]
                 assert not over.any()
-            sent = at[order[first]]
-            n, m = len(sent), len(start)
-            place = np.concatenate([sent, start])
+            sent = np.sort(order[first])  # places in ``at``
+            cut = np.ones(len(sent), dtype=bool)
+            cut[1:] = (np.diff(at[sent]) != 1) | (h[sent][1:] != h[sent][:-1])
+            begin = np.flatnonzero(cut)
+            n, m = len(begin), len(start)
+            place = np.concatenate([at[sent][begin], start])
             owner = laid.owner[place] if len(place) else np.empty(0, np.int64)
-            blank = pa.nulls(m, pa.int64())
+            held = pa.ListArray.from_arrays(pa.array(np.append(begin, len(sent)), pa.int32()), pa.array(e[sent].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(e[order[first]].view(np.int64)), blank]),
-                    pa.concat_arrays([pa.array(c[order[first]].astype(np.int64)), blank]),
+                    pa.concat_arrays([pa.array(h[sent][begin].view(np.int64)), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([held, pa.nulls(m, held.type)]),
                     ids.take(pa.array(owner)),
                     pa.array(place - laid.starts[owner], pa.int64()),
-                    pa.array(np.concatenate([np.ones(n, np.int64), length]), pa.int64()),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(length, pa.int64())]),
                 ],
-                names=["e", "c", "doc_id", "pos", "length"],
+                names=["h", "edges", "doc_id", "pos", "length"],
             )
 
     return work
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """(touched, spans): the documents with candidate windows, stored; and (doc_id, pos, length):
-    runs of windows that start earlier elsewhere."""
+    """(touched, spans), both stored: the documents with candidate windows; and (doc_id, spans of pos,
+    length): runs of windows that start earlier elsewhere."""
     known = docs.where(F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType
-    hashes = repeated_minimizers(known, word_hashes, kmer, window, GROUP_BYTES)
-    touched = stored(known.join(hashes, "doc_id"))
-    schema = f"e bigint, c bigint, doc_id {kind.simpleString()}, pos bigint, length bigint"
+    minimizers = minimizer_rows(known, word_hashes, kmer, window, GROUP_BYTES)
+    touched = stored(known.join(of_documents(minimizers), "doc_id"))
+    forget(minimizers)
+    schema = f"h bigint, edges array<bigint>, doc_id {kind.simpleString()}, pos bigint, length bigint"
     sent = stored(touched.mapInArrow(_edges(to_arrow_type(kind), window, kmer), schema))
-    place = F.struct("doc_id", "pos")
-    by_edge = Window.partitionBy("e", "c")
-    edges = sent.where("e is not null").withColumns({"src": F.min(place).over(by_edge), "n": F.count(F.lit(1)).over(by_edge)})
-    edges = stored(edges.where("n > 1").select("doc_id", "pos", F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"), "n"))
-    return touched, sent.where("e is null").select("doc_id", "pos", "length").unionByName(compacted(edges))
+    edges = sourced(sent)
+    spans = sent.where("h is null").select("doc_id", "pos", "length").unionByName(compacted(edges))
+    of_doc = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "length")).alias("spans")))
+    forget(sent)
+    forget(edges)
+    return touched, of_doc
+
+
+def sourced(sent: DataFrame) -> DataFrame:
+    """(doc_id, pos, length, src_doc, src_pos, n), stored: runs of edges that occur n > 1 times, with
+    the place of the earliest occurrence.
+
+    Equal edges have one minimizer: dealt by it, the runs are opened, compared and closed again
+    without another shuffle."""
+    dealt = sent.where("h is not null").repartition("h")
+    each = dealt.select("h", "doc_id", F.col("pos").alias("run"), F.posexplode("edges").alias("i", "e"))
+    each = each.select("h", "e", "doc_id", "run", (F.col("run") + F.col("i")).alias("pos"))
+    by_edge = Window.partitionBy("h", "e")
+    found = each.withColumns({"src": F.min(F.struct("doc_id", "pos")).over(by_edge), "n": F.count(F.lit(1)).over(by_edge)}).where("n > 1")
+    closed = found.groupBy("h", "doc_id", "run", F.col("src.doc_id").alias("src_doc"), (F.col("pos") - F.col("src.pos")).alias("shift"), "n").agg(
+        F.array_sort(F.collect_set("pos")).alias("at")
+    )
+    whole = F.size("at") == F.element_at("at", -1) - F.element_at("at", 1) + 1
+    one = lambda pos, n: F.struct(pos.alias("pos"), n.cast("bigint").alias("length"))
+    rows = F.when(whole, F.array(one(F.element_at("at", 1), F.size("at")))).otherwise(F.transform("at", lambda x: one(x, F.lit(1))))
+    out = closed.select("doc_id", F.explode(rows).alias("r"), "src_doc", "shift", "n")
+    return stored(out.select("doc_id", "r.pos", "r.length", "src_doc", (F.col("r.pos") - F.col("shift")).alias("src_pos"), "n"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
     """(doc_id, pos, length): occurrences of paths later than their source."""
     own = (F.col("doc_id") == F.col("src_doc")) & (F.col("pos") == F.col("src_pos"))
-    first = edges.where(own).select("src_doc", "src_pos", "n").distinct()
-    before = first.select("src_doc", (F.col("src_pos") + 1).alias("src_pos"), "n")
+    first = edges.where(own).select("src_doc", "src_pos", "length", "n").distinct()
+    before = first.select("src_doc", (F.col("src_pos") + F.col("length")).alias("src_pos"), "n").distinct()
     heads = first.join(before.withColumn("inner", F.lit(True)), ["src_doc", "src_pos", "n"], "left")
     along = Window.partitionBy("src_doc").orderBy("src_pos")
-    paths = heads.select("src_doc", "src_pos", F.last(F.when(F.col("inner").isNull(), F.col("src_pos")), True).over(along).alias("path"))
-    later = edges.where(~own).select("doc_id", "pos", "src_doc", "src_pos").join(paths, ["src_doc", "src_pos"])
-    # a copy of a path lies on one diagonal; if it has gaps (a copy that leaves and returns) its places stay single
-    spans = later.groupBy("doc_id", "src_doc", "path", (F.col("pos") - F.col("src_pos")).alias("shift")).agg(
-        F.min("pos").alias("low"), F.max("pos").alias("high"), F.array_sort(F.collect_set("pos")).alias("at")
+    paths = heads.select("src_doc", "src_pos", F.last(F.when(F.col("inner").isNull(), F.col("src_pos")), True).over(along).alias("path")).distinct()
+    # an occurrence may begin inside a run of its source: it is a path by itself then
+    later = edges.where(~own).select("doc_id", "pos", "length", "src_doc", "src_pos").join(paths, ["src_doc", "src_pos"], "left")
+    # a copy of a path lies on one diagonal; if it has gaps (a copy that leaves and returns) its runs stay single
+    shift = (F.col("pos") - F.col("src_pos")).alias("shift")
+    spans = later.groupBy("doc_id", "src_doc", F.coalesce("path", "src_pos").alias("path"), shift).agg(
+        F.min("pos").alias("low"), F.max(F.col("pos") + F.col("length")).alias("high"), F.collect_set(F.struct("pos", "length")).alias("at")
     )
-    whole = F.size("at") == F.col("high") - F.col("low") + 1
-    rows = F.when(whole, F.array(F.struct(F.col("low").alias("pos"), F.size("at").cast("bigint").alias("length")))).otherwise(
-        F.transform("at", lambda x: F.struct(x.alias("pos"), F.lit(1).cast("bigint").alias("length")))
-    )
-    return spans.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.pos", "r.length")
+    covered = F.aggregate("at", F.lit(0).cast("bigint"), lambda n, x: n + x["length"])
+    rows = F.when(covered == F.col("high") - F.col("low"), F.array(F.struct(F.col("low").alias("pos"), (F.col("high") - F.col("low")).alias("length"))))
+    return spans.select("doc_id", F.explode(rows.otherwise(F.col("at"))).alias("r")).select("doc_id", "r.pos", "r.length")
 
 
 def _kept(window: int, with_spans: bool, kind: pa.DataType):
@@ -167,8 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     """doc_id, n_words, n_removed, kept_sha256."""
     texts = id_and_text(docs)
     kind = docs.schema["doc_id"].dataType
-    touched, spans = repeated_spans(texts, window, kmer)
-    of_doc = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "length")).alias("spans")))
+    touched, of_doc = repeated_spans(texts, window, kmer)
     schema = f"doc_id {kind.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string"
     arrow = to_arrow_type(kind)
     changed = touched.select("doc_id", "text").join(of_doc, "doc_id").mapInArrow(_kept(window, True, arrow), schema)
