@@ -214,6 +214,7 @@ class StepReport:
     issues_before: DataFrame | None = None
     issues_after: DataFrame | None = None
     issues_fixed: int = 0
+    table_issues: DataFrame | None = None
     audit: DataFrame | None = None
     score: DataFrame | None = None
     schema: DataFrame | None = None
@@ -338,6 +339,8 @@ def run_steps(
             made.explanations = (
                 auto.explanations() if auto else anomalies_.explain_anomalies(made.anomalies, step.step_type, made.diff, step.config)
             )
+            if isinstance(auto, AutoResult):
+                made.table_issues = issues.issue_table(current.sparkSession, auto.table_issues())
             if report == "full":
                 known = _enrich(made, step, before, current, known, raw)
             run.reports.append(made)

@@ -1,12 +1,19 @@
-"""Dataset registry and run history, kept as Parquet tables under one folder."""
+"""Dataset registry and run history under one folder.
+
+The tables of a snapshot are written under an attempt of their own and become visible by one
+manifest record, a small file that is renamed into place. Readers take the last committed attempt
+of a step, so a save that fails halfway shows nothing and a repeated save replaces itself.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_text
@@ -16,6 +23,7 @@ from . import scan
 
 DATASETS = "name string, path string, format string, row_count bigint, col_count int, schema string, nulls string, registered_at timestamp"
 RUNS = "run_id string, plan string, status string, error string, started_at timestamp, finished_at timestamp"
+COMMITS = "run_id string, step_index int, step_name string, attempt string, tables array<string>, committed_at timestamp"
 
 
 def read_any(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
@@ -62,13 +70,39 @@ class Registry:
             raise ValueError(f"right dataset not found: {name}")
         return read_any(self.spark, row["path"], row["format"])
 
+    def _commit(self, kind: str, record: dict) -> None:
+        """Make one record visible: written beside its place under a name that readers skip, then renamed."""
+        context = self.spark.sparkContext
+        path = lambda name: context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/{name}")
+        name = f"{record['run_id']}-{uuid.uuid4().hex}.json"
+        files = path(name).getFileSystem(context._jsc.hadoopConfiguration())
+        out = files.create(path("_" + name))
+        try:
+            out.write(bytearray(json.dumps(record, default=str).encode()))
+        finally:
+            out.close()
+        if not files.rename(path("_" + name), path(name)):
+            raise OSError(f"could not commit {kind} of run {record['run_id']}")
+
+    def _records(self, kind: str, schema: str, *key: str) -> DataFrame:
+        """The last committed record of each key."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, saved_at timestamp, attempt_id string").json(f"{self.folder}/{kind}")
+        last = W.partitionBy(*key).orderBy(F.desc("saved_at"), F.desc("attempt_id"))
+        return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k", "saved_at", "attempt_id")
+
     def save_run(self, run, plan: list) -> None:
-        row = (run.run_id, "\n".join(s.to_json() for s in plan), run.status, run.error, run.started_at, run.finished_at)
-        self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
+        """Add a run to the history; saved again, its record takes the place of the last one."""
+        self._commit("runs", {
+            "run_id": run.run_id, "plan": "\n".join(s.to_json() for s in plan), "status": run.status, "error": run.error,
+            "started_at": _moment(run.started_at), "finished_at": _moment(run.finished_at), "saved_at": _now(), "attempt_id": uuid.uuid4().hex,
+        })
 
     def runs(self) -> DataFrame:
         """Run history, newest first."""
-        return self._table("runs", RUNS).orderBy(F.desc("started_at"))
+        return self._records("runs", RUNS, "run_id").orderBy(F.desc("started_at"))
 
     def save_snapshot(self, run, report) -> None:
         """Store the reports of one step; pass as ``on_step`` to ``run_steps``."""
@@ -85,24 +119,47 @@ class Registry:
             "diff_nulls": report.diff.nulls if report.diff else None,
             "diff_drift": report.diff.drift if report.diff else None,
             "issues": report.issues_after,
+            "table_issues": report.table_issues,
             "audit": report.audit,
             "scores": report.score,
         }
+        attempt, written = uuid.uuid4().hex, []
         for name, table in tables.items():
             if table is None:
                 continue
             kind = report.step_type if name == "explanations" and report.step_type.endswith("_clean") else None
-            target = f"{self.folder}/{name}" + (f"_{kind}" if kind else "")
+            name += f"_{kind}" if kind else ""
             (
                 table.withColumn("run_id", F.lit(run.run_id))
                 .withColumn("step_index", F.lit(report.step_index))
                 .withColumn("step_name", F.lit(report.name))
-                .write.mode("append").partitionBy("run_id").parquet(target)
+                .write.parquet(f"{self.folder}/attempts/{attempt}/{name}")
             )
+            written.append(name)
+        self._commit("commits", {
+            "run_id": run.run_id, "step_index": report.step_index, "step_name": report.name, "attempt": attempt,
+            "tables": written, "committed_at": _now(), "saved_at": _now(), "attempt_id": attempt,
+        })
+
+    def commits(self, run_id: str | None = None) -> DataFrame:
+        """The snapshot that counts for each step of a run, or of all runs."""
+        every = self._records("commits", COMMITS, "run_id", "step_index")
+        return every if run_id is None else every.filter(F.col("run_id") == run_id)
 
     def snapshots(self, run_id: str, table: str = "snapshots") -> DataFrame:
-        """One stored report of a run in step order; only that run's folder is read."""
-        return self.spark.read.parquet(f"{self.folder}/{table}").filter(F.col("run_id") == run_id).orderBy("step_index")
+        """One stored report of a run in step order; only its committed attempts are read."""
+        found = self.commits(run_id).filter(F.array_contains("tables", table)).select("attempt").collect()
+        if not found:
+            raise ValueError(f"run {run_id!r} has no stored {table}")
+        return self.spark.read.parquet(*[f"{self.folder}/attempts/{r['attempt']}/{table}" for r in found]).orderBy("step_index")
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="microseconds")
+
+
+def _moment(at: datetime | None) -> str | None:
+    return None if at is None else at.astimezone(timezone.utc).isoformat(timespec="microseconds")
 
 
 # --- sinks ---------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from millrace.plans.clean_auto import auto_clean
 from millrace.plans.clean_smart import preview_clean, smart_clean
 
 from .base import DIRTY_COLUMNS, day, day_text, dirty, fnum, null_like, num, query, with_dirty, word
+from .quality import layer_parts, pair_of, score_of
 
 _TEXTS = ("price", "age", "status", "order_date")
 
@@ -322,7 +323,13 @@ def audit_layers_summary(spark, sf):
     return layers.run_layers(dirty(spark, sf), layers=chosen, strict=True).audit_summary()
 
 
-@query("layers_quality")
+@query(
+    "layers_quality",
+    with_dirty(
+        f"{_NORMAL}{_VALID}{_REPAIRED}, cleaned AS (SELECT {_DIRTY_COLS} FROM l6 GROUP BY ALL) "
+        + pair_of(score_of("dirty", layer_parts()), score_of("cleaned", layer_parts("cleaned", typed=True)))
+    ),
+)
 def layers_quality(spark, sf):
     """All nine layers; the scores before and after."""
     return layers.run_layers(dirty(spark, sf), strict=True).score

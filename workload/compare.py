@@ -10,6 +10,8 @@ from millrace.plans.runner import Step, build, run_steps
 from millrace.sources.scan import preview
 
 from .base import DIRTY_COLUMNS, dirty, keyed, null_like, num, query, table, with_dirty
+from .cleaning import _NORMAL, _VALID
+from .quality import layer_parts, pair_of, score_of
 
 _COLS = ", ".join(DIRTY_COLUMNS)
 _TEXTS = ("price", "age", "status", "order_date")
@@ -364,7 +366,10 @@ def audit_filter(spark, sf):
 
 
 # --- scores ------------------------------------------------------------------------------------------
-@query("quality_pair")
+@query(
+    "quality_pair",
+    with_dirty(f"{_NORMAL}{_VALID} " + pair_of(score_of("dirty", layer_parts()), score_of("l5", layer_parts("l5", typed=True)))),
+)
 def quality_pair(spark, sf):
     """Before and after normalising and validating; the issue counts come from the data."""
     before = dirty(spark, sf)

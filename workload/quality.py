@@ -100,7 +100,33 @@ def issues_report_summary(spark, sf):
     return issues.report_summary(spark, found, issues.report_issues(df, found=found))
 
 
-def _layer_parts() -> list[str]:
+def layer_parts(t: str = "dirty", typed: bool = False) -> list[str]:
+    """Issues of the layered cleaner over a table ``t``; ``typed`` if price and age are numbers there."""
+    texts, age = (("status", "order_date"), "age") if typed else (_TEXTS, num("age"))
+    return [p.replace("FROM dirty", f"FROM {t}") for p in _layer_parts(texts, age)]
+
+
+def score_of(t: str, parts: list[str]) -> str:
+    """Score, rows and number of issues of a table, one row."""
+    nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in DIRTY_COLUMNS)
+    points = "CASE severity WHEN 'critical' THEN 5.0 WHEN 'warning' THEN 2.0 ELSE 0.5 END"
+    return (
+        "SELECT round(greatest(0, least(100, 100 - least(30, pct * 0.6) - points)), 1)::DOUBLE AS score, n, issues FROM"
+        f" (SELECT count(*) AS n, 100.0 * ({nulls}) / (count(*) * {len(DIRTY_COLUMNS)}) AS pct FROM {t}),"
+        f" (SELECT coalesce(sum({points}), 0) AS points, count(*) AS issues FROM ({' UNION ALL '.join(parts)}))"
+    )
+
+
+def pair_of(before: str, after: str) -> str:
+    """Scores of both versions and the improvement, from two texts of ``score_of``."""
+    confidence = "CASE WHEN b.n >= 50 THEN 'high' WHEN b.n >= 10 THEN 'medium' ELSE 'low' END"
+    return (
+        f"SELECT b.score AS before_cleaning, a.score AS after_cleaning, round(a.score - b.score, 1) AS improvement, {confidence} AS confidence"
+        f" FROM ({before}) b, ({after}) a"
+    )
+
+
+def _layer_parts(texts=_TEXTS, age=num("age")) -> list[str]:
     int_like = "regexp_full_match(trim({c}), '[+-]?\\d{1,18}')"
     parts = [
         issue("__all__", "duplicate_rows", "'warning'", f"any_value({_DUPES})"),
@@ -109,7 +135,7 @@ def _layer_parts() -> list[str]:
     ]
     for c in DIRTY_COLUMNS:
         parts.append(issue(c, "missing_values", f"CASE WHEN round(100.0 * n / {_N}, 2) > 30 THEN 'critical' ELSE 'warning' END", hits(f"{c} IS NULL")))
-    for c in _TEXTS:
+    for c in texts:
         ints = hits(int_like.replace("{c}", c))
         floats = hits(f"{num(c)} IS NOT NULL AND NOT {int_like.replace('{c}', c)}")
         rest = hits(f"{c} IS NOT NULL AND {num(c)} IS NULL")
@@ -118,8 +144,8 @@ def _layer_parts() -> list[str]:
         parts.append(issue(c, "word_numbers", "'warning'", hits(f"{word(c)} IS NOT NULL")))
         parts.append(issue(c, "currency_string", "'warning'", hits(f"regexp_matches({c}, '[£$€¥₹]')")))
     parts.append(issue("status", "mixed_case", "'info'", "count(DISTINCT status) - count(DISTINCT lower(status))"))
-    parts.append(issue("age", "negative_age", "'critical'", hits(f"{num('age')} < 0")))
-    parts.append(issue("age", "impossible_age", "'critical'", hits(f"{num('age')} > 120")))
+    parts.append(issue("age", "negative_age", "'critical'", hits(f"{age} < 0")))
+    parts.append(issue("age", "impossible_age", "'critical'", hits(f"{age} > 120")))
     parts.append(issue("order_date", "invalid_date", "'critical'", _BAD_DATES))
     kinds = " + ".join(
         f"CAST(count(try_strptime(order_date, '{f}')) > 0 AS INT)" for f in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%Y/%m/%d", "%d.%m.%Y")
