@@ -41,12 +41,16 @@ class Diff:
     distribution: DataFrame | None = None
 
 
-def compute_diff(before: DataFrame, after: DataFrame, full: bool = True) -> Diff:
+def compute_diff(
+    before: DataFrame, after: DataFrame, full: bool = True, totals: DataFrame | None = None, unchanged: bool = False
+) -> Diff:
     """Compare two versions; ``full`` adds value shifts and distributions.
 
-    The comparisons run side by side, once. Each result has at most a row per column.
+    The comparisons run side by side, once. Each result has at most a row per column. ``totals``
+    are those of ``before`` if they are known; they hold for ``after`` too if it is ``unchanged``,
+    that is, has the same rows in any order.
     """
-    work = [lambda: settled(diff_.diff_rows(before, after)), lambda: settled(diff_.column_sums(before, after))]
+    work = [lambda: settled(diff_.diff_rows(before, after, totals, totals if unchanged else None)), lambda: settled(diff_.column_sums(before, after))]
     if full:
         work += [
             lambda: settled(diff_.diff_categories(before, after)), lambda: settled(diff_.diff_distribution(before, after))
@@ -63,6 +67,13 @@ def compute_diff(before: DataFrame, after: DataFrame, full: bool = True) -> Diff
     )
 
 
+def totals_after(d: Diff) -> DataFrame:
+    """The totals of the new version, which are those of the old one in the next comparison."""
+    return settled(d.rows.select(
+        F.col("row_count_after").alias("rows"), F.col("col_count_after").alias("cols"), F.col("duplicate_after").alias("duplicate_rows")
+    ))
+
+
 ANOMALY_COLUMNS = ("type", "severity", "column", "value", "threshold", "message")
 
 

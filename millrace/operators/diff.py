@@ -33,10 +33,13 @@ def diff_columns(before: DataFrame, after: DataFrame) -> DataFrame:
     return local_table(before.sparkSession, rows, "column string, state string, type_before string, type_after string")
 
 
-def diff_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Row, column and duplicate counts of both sides with their changes, one row."""
-    b = facts_.table_totals(before).select([F.col(c).alias(f"{c}_b") for c in ("rows", "cols", "total_nulls", "duplicate_rows")])
-    a = facts_.table_totals(after).select([F.col(c).alias(f"{c}_a") for c in ("rows", "cols", "total_nulls", "duplicate_rows")])
+def diff_rows(before: DataFrame, after: DataFrame, before_totals: DataFrame | None = None, after_totals: DataFrame | None = None) -> DataFrame:
+    """Row, column and duplicate counts of both sides with their changes, one row. Totals that
+    are known already are not counted again."""
+    b = before_totals if before_totals is not None else facts_.table_totals(before)
+    a = after_totals if after_totals is not None else facts_.table_totals(after)
+    b = b.select([F.col(c).alias(f"{c}_b") for c in ("rows", "cols", "duplicate_rows")])
+    a = a.select([F.col(c).alias(f"{c}_a") for c in ("rows", "cols", "duplicate_rows")])
     both = b.withColumn("one", F.lit(1)).join(a.withColumn("one", F.lit(1)), "one")
     return both.select(
         F.col("rows_b").alias("row_count_before"), F.col("rows_a").alias("row_count_after"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates, fixed, numbers, text
 from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, local_table, quoted, together
-from . import stats
+from . import digests, stats
 
 TEXT, WORDS, DATES, NUMBERS, BRACKET = "text", "words", "dates", "numbers", "bracket"
 ALL = frozenset({TEXT, WORDS, DATES, NUMBERS, BRACKET})
@@ -140,7 +140,7 @@ def collect_facts(facts: DataFrame) -> dict[str, dict]:
 def duplicate_count(df: DataFrame, columns: list[str] | None = None):
     """One row ``duplicate_rows``: rows beyond the first of each group of copies."""
     columns = data_columns(df) if columns is None else columns
-    groups = df.groupBy(*map(quoted, columns)).agg(F.count("*").alias("_n"))
+    groups = df.groupBy(*digests.row_key(df, columns)).agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
@@ -153,12 +153,12 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def table_totals(df: DataFrame) -> DataFrame:
     """Rows, columns, null cells and duplicate rows of a table, as one row."""
     columns = data_columns(df)
-    groups = df.groupBy(*map(quoted, columns)).agg(F.count("*").alias("_n"))
     per_row = sum((quoted(c).isNull().cast("bigint") for c in columns), F.lit(0).cast("bigint"))
+    groups = df.groupBy(*digests.row_key(df, columns)).agg(F.count("*").alias("_n"), F.sum(per_row).alias("_gone"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"),
         F.lit(len(columns)).cast("bigint").alias("cols"),
-        F.coalesce(F.sum(per_row * F.col("_n")), F.lit(0)).cast("bigint").alias("total_nulls"),
+        F.coalesce(F.sum("_gone"), F.lit(0)).cast("bigint").alias("total_nulls"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
     )
 

@@ -13,9 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..rows import ROW_ID, quoted, require_columns
+from ..rows import ROW_ID, estimated_bytes, quoted, require_columns
+from .digests import hashable
 
 HOW = {"inner": "inner", "left": "left_outer", "right": "right_outer", "outer": "full_outer"}
 
@@ -27,38 +27,22 @@ HOT_SHARE = 0.001
 COPIES = 1000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size estimate of the optimised plan, None where it is not available."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. Spark Connect
-        return None
-
-
 def _fits_broadcast(df: DataFrame) -> bool:
     size = estimated_bytes(df)
     limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) if size else -1
     return size is not None and 0 <= size <= limit
 
 
-def _hashable(dt: T.DataType) -> bool:
-    if isinstance(dt, T.ArrayType):
-        return _hashable(dt.elementType)
-    if isinstance(dt, T.StructType):
-        return all(_hashable(f.dataType) for f in dt.fields)
-    return not isinstance(dt, (T.MapType, T.VariantType, T.UserDefinedType))
-
-
 def _content(df: DataFrame) -> list[Column]:
     """A row's values in a form that can be hashed."""
-    return [quoted(f.name) if _hashable(f.dataType) else F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields]
+    return [quoted(f.name) if hashable(f.dataType) else F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields]
 
 
 def _bag(df: DataFrame) -> DataFrame:
     """The table dealt by row content, with the number of copies of each row as ``_n``.
 
     All columns take part, so that no reader of this exchange prunes it to one of its own."""
-    if ROW_ID not in df.columns and all(_hashable(f.dataType) for f in df.schema.fields):
+    if ROW_ID not in df.columns and all(hashable(f.dataType) for f in df.schema.fields):
         return df.groupBy(*map(quoted, df.columns)).agg(F.count("*").alias("_n"))
     return df.repartition(F.xxhash64(*_content(df))).withColumn("_n", F.lit(1).cast("bigint"))
 

@@ -10,11 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..rows import data_columns, dtype_of, is_text, quoted
+from ..rows import data_columns, dtype_of, estimated_bytes, is_text, local_table, quoted
+from ..session import checkpointed
+from . import digests
 
 # Values of one column that may be sorted, and steps of a histogram that narrows down the rest.
 KEPT_VALUES = 100_000
 BUCKETS = 1024
+# Bins of the summary of frequent values, and the size up to which every value is counted outright.
+BINS = 4096
+PLAIN_BYTES = 256 << 20
 
 
 def cells(df: DataFrame, columns: list[str], **parts) -> DataFrame:
@@ -50,37 +55,124 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, exact: bool
         s=lambda c: nothing_s if c in plain else quoted(c).cast("string"),
         x=lambda c: quoted(c).cast("double") if c in plain else nothing_x,
     ).filter(F.col("s").isNotNull() | F.col("x").isNotNull())
-    values = long.groupBy("column", "s", "x").agg(F.lit(1).alias("one"))
-    folded = values.groupBy("column", F.lower("s").alias("low"), "x").agg(F.count("*").alias("k"))
+    # long texts travel as digests, of the text and of its form without case
+    low = F.lower("s")
+    long_ = (F.octet_length("s") > digests.LONG) | (F.octet_length(low) > digests.LONG)
+    keys = [digests.short_key(F.col("s")).alias("key"), digests.check(F.col("s")).alias("check")]
+    keys += [F.when(long_, digests.short_key(low)).alias("low"), F.when(long_, digests.check(low)).alias("low_check")]
+    values = long.select("column", "x", *keys).groupBy("column", "key", "check", "low", "low_check", "x").agg(F.lit(1).alias("one"))
+    form = F.coalesce("low", F.lower("key")).alias("form")
+    folded = values.groupBy("column", form, F.coalesce("low_check", F.lit(0)).alias("form_check"), "x").agg(F.count("*").alias("k"))
     return folded.groupBy("column").agg(
         F.sum("k").cast("bigint").alias("unique_count"), F.count("*").alias("unique_folded")
     )
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5, plain_bytes: int | None = None) -> DataFrame:
     """The k most frequent values per column; ties go to the smaller text."""
     columns = [c for c in data_columns(df) if is_text(dtype_of(df, c))] if columns is None else columns
     order = W.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(order))
+    ranked = frequent_values(df, columns, k, plain_bytes).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n")
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+def modes(df: DataFrame, columns: list[str], plain_bytes: int | None = None) -> dict[str, str]:
     """Most frequent text per column, ties to the smallest; missing if all NULL."""
     if not columns:
         return {}
-    best = value_counts(df, columns).groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"))
+    counted = frequent_values(df, columns, 1, plain_bytes)
+    best = counted.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"))
     return {r["column"]: r["b"]["value"] for r in best.collect()}
 
 
 def mode_of(df: DataFrame, column: str):
     """Most frequent value in the column's own type."""
+    if is_text(dtype_of(df, column)):
+        return modes(df, [column]).get(column)
     c = quoted(column)
     counts = df.select(c.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
     row = counts.orderBy(F.desc("n"), F.asc("v")).first()
     return None if row is None else row["v"]
 
 
+def frequent_values(df: DataFrame, columns: list[str], k: int, plain_bytes: int | None = None) -> DataFrame:
+    """(column, value, n) with exact counts: the ``k`` most frequent values per column are among them.
+
+    A table up to ``plain_bytes`` is counted value by value. In a larger one the values are first
+    counted in ``BINS`` bins by hash. A bin's count bounds that of each value in it from above, and a
+    bin with one hash gives a value's count: bins below the k-th such count hold no candidate. Full
+    bins with several values are split into as many again. Only the values of the bins that remain
+    are counted one by one. A column for which the bins rule out little has many values of like
+    frequency: its values are counted by digest, and only the texts of the winners are read.
+    """
+    limit = PLAIN_BYTES if plain_bytes is None else plain_bytes
+    size = estimated_bytes(df)
+    if size is not None and size <= limit:
+        return value_counts(df, columns)
+    long = cells(df, columns, value=lambda c: quoted(c).cast("string")).filter(F.col("value").isNotNull())
+    h = F.xxhash64("value")
+    long = long.withColumns({"bin": F.pmod(h, F.lit(BINS)).cast("int"), "sub": F.pmod(F.shiftright(h, 24), F.lit(BINS)).cast("int")})
+    summary = [F.count("*").alias("n"), F.min(h).alias("a"), F.max(h).alias("b")]
+    bins: dict[str, list] = {}
+    for row in long.groupBy("column", "bin").agg(*summary).toLocalIterator():
+        bins.setdefault(row["column"], []).append(row)
+    kept, split, open_columns, least = [], [], [], {}
+    for c, rows in bins.items():
+        least[c] = _kth([r["n"] for r in rows if r["a"] == r["b"]], k)
+        full = [r for r in rows if r["n"] >= least[c]]
+        mixed = [r for r in full if r["a"] != r["b"]]
+        if len(mixed) > BINS // 2:
+            open_columns.append(c)
+            continue
+        kept += [(c, r["bin"], -1) for r in full if r["a"] == r["b"]]
+        split += [(c, r["bin"], least[c]) for r in mixed]
+    spark = df.sparkSession
+    if split:
+        within = long.join(F.broadcast(local_table(spark, split, "column string, bin int, least bigint")), ["column", "bin"])
+        again: dict[str, list] = {}
+        for row in within.groupBy("column", "bin", "sub", "least").agg(*summary).filter("n >= least").toLocalIterator():
+            again.setdefault(row["column"], []).append(row)
+        for c, rows in again.items():
+            known = [r["n"] for r in bins[c] if r["a"] == r["b"]] + [r["n"] for r in rows if r["a"] == r["b"]]
+            bound = _kth(known, k)
+            kept += [(c, r["bin"], r["sub"]) for r in rows if r["n"] >= bound]
+    out = None
+    if kept:
+        chosen = local_table(spark, kept, "column string, bin int, only int")
+        mine = long.join(F.broadcast(chosen), ["column", "bin"]).filter("only IN (-1, sub)")
+        out = mine.groupBy("column", "value").agg(F.count("*").alias("n"))
+    if open_columns:
+        many = _by_digest(long.filter(F.col("column").isin(open_columns)), k)
+        out = many if out is None else out.unionByName(many)
+    return value_counts(df, columns) if out is None else out
+
+
+def _kth(counts: list[int], k: int) -> int:
+    return sorted(counts, reverse=True)[k - 1] if len(counts) >= k else 1
+
+
+def _by_digest(long: DataFrame, k: int) -> DataFrame:
+    """Candidates of columns with many values: counted by digest, texts read for the winners alone.
+
+    Of values that all occur once the smallest texts win: each task offers its own ``k`` smallest."""
+    keyed = long.select("column", "value", digests.short_key(F.col("value")).alias("key"), digests.check(F.col("value")).alias("check"))
+    counts = keyed.groupBy("column", "key", "check").agg(F.count("*").alias("n"))
+    order = W.partitionBy("column").orderBy(F.desc("n"), "key", "check")
+    best = checkpointed(counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k))
+    bound = {r["column"]: r["n"] for r in best.groupBy("column").agg(F.min("n").alias("n")).collect()}
+    several = best.filter("n > 1").select("column", "key", "check")  # k rows a column at most
+    if any(n > 1 for n in bound.values()):
+        limits = F.broadcast(local_table(long.sparkSession, list(bound.items()), "column string, bound bigint"))
+        several = counts.join(limits, "column").filter("n >= bound AND bound > 1").select("column", "key", "check").unionByName(several).distinct()
+    winners = keyed.join(several, ["column", "key", "check"], "left_semi").groupBy("column", "value").agg(F.count("*").alias("n"))
+    once = [c for c, n in bound.items() if n == 1]
+    if not once:
+        return winners
+    single = keyed.filter(F.col("column").isin(once)).join(F.broadcast(best.filter("n > 1").select("column", "key", "check")), ["column", "key", "check"], "left_anti")
+    smallest = single.withColumn("r", F.row_number().over(W.partitionBy("column").orderBy("value"))).filter(F.col("r") <= k)
+    return winners.unionByName(smallest.select("column", "value", F.lit(1).cast("bigint").alias("n")))
+
+
 @dataclass(frozen=True)
 class Ranks:
     """Order statistics wanted of one numeric expression (1-based ranks)."""

@@ -17,6 +17,7 @@ from ..operators import audit as audit_
 from ..operators import facts as facts_
 from ..operators import infer, issues, score, steps
 from ..operators.fill import fill_missing
+from ..operators.digests import table_digest
 from ..operators.joins import join_tables
 from ..rows import RIGHT_ID, ROW_ID, data_columns, hold, number_rows, quoted, settled
 from ..session import checkpointed
@@ -308,7 +309,7 @@ def run_steps(
     source = StepReport(0, "Source Dataset", "source", current)
     run.reports.append(source)
     held: list[DataFrame] = [current]
-    known = None
+    known = totals = mark = None
     try:
         if report == "full":
             known = _know(current)
@@ -334,7 +335,10 @@ def run_steps(
                 current = hold(checkpointed(current))
                 held.append(current)
             made = StepReport(index, step.name or step.step_type, step.step_type, current)
-            made.diff = anomalies_.compute_diff(before, current, full=report != "counts")
+            fresh_mark = _mark(current)
+            same = fresh_mark is not None and fresh_mark == mark
+            made.diff = anomalies_.compute_diff(before, current, report != "counts", totals, same and totals is not None)
+            totals, mark = anomalies_.totals_after(made.diff), fresh_mark
             made.anomalies = settled(anomalies_.detect_anomalies(made.diff, made.name, limits))
             made.explanations = (
                 auto.explanations() if auto else anomalies_.explain_anomalies(made.anomalies, step.step_type, made.diff, step.config)
@@ -357,6 +361,14 @@ def run_steps(
     return run
 
 
+def _mark(df: DataFrame) -> tuple | None:
+    """Digest of a version's rows; none for columns that cannot be hashed."""
+    try:
+        return table_digest(df)
+    except ValueError:
+        return None
+
+
 _Known = tuple[issues.Evidence, list[issues.Issue]]
 
 

@@ -101,6 +101,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Size estimate of the optimised plan, None where it is not available."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # e.g. Spark Connect
+        return None
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a stage that several jobs read, in memory and on disk.
 

@@ -11,7 +11,7 @@ from millrace.sources.scan import preview
 
 from .base import DIRTY_COLUMNS, dirty, keyed, null_like, num, query, table, with_dirty
 from .cleaning import _NORMAL, _VALID
-from .quality import layer_parts, pair_of, score_of
+from .quality import layer_parts, pair_of, plain_parts, score_of
 
 _COLS = ", ".join(DIRTY_COLUMNS)
 _TEXTS = ("price", "age", "status", "order_date")
@@ -449,7 +449,29 @@ def badge_counts(spark, sf):
     return anomalies.badge_counts(run.anomalies())
 
 
-@query("run_report")
+_RUN_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+_RUN_VERSIONS = {
+    "r0": _RUN_COLUMNS, "r1": _RUN_COLUMNS, "r2": (*_RUN_COLUMNS, "c_name", "c_acctbal"),
+    "r3": (*_RUN_COLUMNS, "c_name", "c_acctbal", "gap"), "r4": (*_RUN_COLUMNS, "c_name", "c_acctbal", "gap"),
+}
+
+
+def _run_score(k: int) -> str:
+    before, after = (
+        score_of(t, plain_parts(t, _RUN_VERSIONS[t], tuple(c for c in _RUN_VERSIONS[t] if c in ("o_orderstatus", "c_name"))), _RUN_VERSIONS[t])
+        for t in (f"r{k - 1}", f"r{k}")
+    )
+    fixed = f"SELECT greatest(0, b.issues - a.issues) AS issues_fixed FROM ({before}) b, ({after}) a"
+    return f"SELECT {k} AS step_index, CAST(issues_fixed AS INTEGER) AS issues_fixed, p.* FROM ({pair_of(before, after)}) p, ({fixed})"
+
+
+@query(
+    "run_report",
+    f"WITH r0 AS (SELECT {', '.join(_RUN_COLUMNS)} FROM orders), r1 AS (SELECT * FROM r0 WHERE o_orderstatus = 'F'),"
+    " r2 AS (SELECT r1.*, c_name, c_acctbal FROM r1 JOIN customer ON c_custkey = o_custkey),"
+    " r3 AS (SELECT *, o_totalprice - c_acctbal AS gap FROM r2), r4 AS (SELECT * FROM r3) "
+    + " UNION ALL ".join(map(_run_score, (1, 2, 3, 4))),
+)
 def run_report(spark, sf):
     """A run with all reports: issues fixed and score per step."""
     orders, customers = _scenario(spark, sf)

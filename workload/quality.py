@@ -106,13 +106,25 @@ def layer_parts(t: str = "dirty", typed: bool = False) -> list[str]:
     return [p.replace("FROM dirty", f"FROM {t}") for p in _layer_parts(texts, age)]
 
 
-def score_of(t: str, parts: list[str]) -> str:
+def plain_parts(t: str, columns: tuple[str, ...], texts: tuple[str, ...]) -> list[str]:
+    """The issues that any table can have: copies, gaps, and in texts white space, currency and case."""
+    rows = f"(SELECT count(*) FROM {t})"
+    parts = [issue("__all__", "duplicate_rows", "'warning'", f"any_value({rows} - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM {t})))")]
+    parts += [issue(c, "missing_values", f"CASE WHEN round(100.0 * n / {rows}, 2) > 30 THEN 'critical' ELSE 'warning' END", hits(f"{c} IS NULL")) for c in columns]
+    for c in texts:
+        parts.append(issue(c, "whitespace", "'info'", hits(f"{c} <> trim({c})")))
+        parts.append(issue(c, "currency_string", "'warning'", hits(f"regexp_matches({c}, '[£$€¥₹]')")))
+        parts.append(issue(c, "mixed_case", "'info'", f"count(DISTINCT {c}) - count(DISTINCT lower({c}))"))
+    return [p.replace("FROM dirty", f"FROM {t}") for p in parts]
+
+
+def score_of(t: str, parts: list[str], columns: tuple[str, ...] = DIRTY_COLUMNS) -> str:
     """Score, rows and number of issues of a table, one row."""
-    nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in DIRTY_COLUMNS)
+    nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
     points = "CASE severity WHEN 'critical' THEN 5.0 WHEN 'warning' THEN 2.0 ELSE 0.5 END"
     return (
         "SELECT round(greatest(0, least(100, 100 - least(30, pct * 0.6) - points)), 1)::DOUBLE AS score, n, issues FROM"
-        f" (SELECT count(*) AS n, 100.0 * ({nulls}) / (count(*) * {len(DIRTY_COLUMNS)}) AS pct FROM {t}),"
+        f" (SELECT count(*) AS n, 100.0 * ({nulls}) / (count(*) * {len(columns)}) AS pct FROM {t}),"
         f" (SELECT coalesce(sum({points}), 0) AS points, count(*) AS issues FROM ({' UNION ALL '.join(parts)}))"
     )
 
