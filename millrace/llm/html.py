@@ -10,7 +10,8 @@ adverts, notices, comments and the like are left out by fixed lists of elements
 outside article and main elements also the blocks that the template holds on nearly all pages.
 A page of which the template holds nearly all the text is a near copy and keeps its blocks.
 
-Defined results: a null or empty page gives an empty text; a page alone in its group is read
+Defined results: a null or empty page gives an empty text; elements nested deeper than ``DEEPEST``
+count as part of the one at that depth; a page alone in its group is read
 with its own elements as template; a null url counts as one host; repeated rows are read each
 by itself; text repeated inside the article stays; extra columns are ignored.
 """
@@ -31,7 +32,9 @@ GROUP_PAGES = 48
 # The list of hosts with several groups is copied to every task up to this length, else it is joined.
 LISTED_HOSTS = 500_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*)"
+_TAG = re.compile(_NAME + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(_NAME + r"([^>]*+)>")  # once a quote is left open, quotes mean nothing any more
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Elements of HTML by their kind.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
@@ -56,17 +59,25 @@ NEUTRAL = set(
     " holder panel section list item items link links button buttons icon icons module region header head form field input js post posts"
     " article articles entry media group row col the my".split()
 )
+# Elements nested deeper count as part of the one at this depth; long class names are cut in a path.
+DEEPEST, LONGEST_CLASS = 200, 100
+# Rounds in which elements are found to be wrappers; all that lie in each other are found in one.
+ROUNDS = 4
 # A marked element with this share of a page's text is no mark but the page's wrapper.
 WRAPPER_SHARE = 0.75
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("name", "path", "out", "link", "mark")
+    __slots__ = ("name", "path", "out", "link", "mark", "place", "inside", "block", "size")
 
     def __init__(self, name: str, path: str, out: bool, link: bool, mark: int | None = None) -> None:
         self.name, self.path, self.out, self.link = name, path, out, link
         self.mark = mark  # place of the outermost marked element, if only its mark makes this one outside
+        self.place = None  # own place, if marked
+        self.inside = False  # in an article or main element, itself included
+        self.block = 0  # depth of the nearest block, itself included
+        self.size = 0  # length of the counted text
 
 
 def _is_marked(attributes: str) -> tuple[bool, str]:
@@ -75,7 +86,7 @@ def _is_marked(attributes: str) -> tuple[bool, str]:
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if name.lower() == "class":
-            shown = "." + ".".join(value.split()[:2])
+            shown = "." + ".".join(value.split()[:2])[:LONGEST_CLASS]
         for token in value.split():
             words = {w.lower() for w in _WORD.findall(token)}
             marked |= bool(words & MARKED) and words <= MARKED | NEUTRAL
@@ -87,41 +98,68 @@ def read(page: str) -> list[tuple[str, str, bool, bool, str]]:
     for the start and end of blocks, ``tag`` and ``end``. Missing end tags are put right. Class,
     id or role do not mark an element that holds most of the page's text outside links."""
     spared: set[int] = set()
-    while True:
+    for _ in range(ROUNDS):
         out, total, marks = _read(page, spared)
         wrappers = {k for k, n in marks.items() if n >= WRAPPER_SHARE * total}
         if not wrappers:
             return out
         spared |= wrappers
+    return _read(page, spared)[0]
 
 
-def _read(page: str, spared: set[int]) -> tuple[list[tuple[str, str, bool, bool, str]], int, Counter]:
+def _read(page: str, spared: set[int]) -> tuple[list[tuple[str, str, bool, bool, str]], int, dict[int, int]]:
     """Tokens; length of the text that is not in links or left out by its element; of this, the
-    length in each outermost marked element, by its place. Elements at ``spared`` are not marked."""
+    length in each marked element, by its place. Elements at ``spared`` are not marked.
+
+    Runs once over the page, whatever is left open in it: a ``<`` behind the last ``>`` is text,
+    comments and raw elements without an end go to the end of the page, after a quote without an
+    end the next ``>`` ends a tag, and an end tag without a start is passed over."""
     out: list[tuple[str, str, bool, bool, str]] = []
-    total, marks = 0, Counter()
-    stack = [Node("", "", False, False)]
-    at, size = 0, len(page)
+    total, marks = 0, {}
+    stack, open_ = [Node("", "", False, False)], Counter()
+    at, size, last, loose = 0, len(page), page.rfind(">"), False
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            node = stack.pop()
+            open_[node.name] -= 1
+            stack[-1].size += node.size
+            if node.place is not None:
+                marks[node.place] = node.size
+
     while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            text = m.group()
-            if not text.startswith(("<!", "<?")):
-                top = stack[-1]
-                out.append(("text", top.path, top.out, top.link, text))
-                if not top.link and (top.mark is not None or not top.out) and not text.isspace():
-                    total += len(text)
-                    if top.mark is not None:
-                        marks[top.mark] += len(text)
+        m = None
+        if page[at] == "<":
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if at < last:
+                if page[at + 1] in "!?":
+                    at = page.find(">", at) + 1
+                    continue
+                m = (_LOOSE_TAG if loose else _TAG).match(page, at)
+                if m is None and (page[at + 1].isascii() and page[at + 1].isalpha() or page[at + 1] == "/"):
+                    m = _LOOSE_TAG.match(page, at)
+                    loose = loose or m is not None
+        if m is None:
+            end = at + 1 if page[at] == "<" else page.find("<", at)
+            text = page[at : size if end < 0 else end]
+            at += len(text)
+            top = stack[-1]
+            out.append(("text", top.path, top.out, top.link, text))
+            if not top.link and (top.mark is not None or not top.out) and not text.isspace():
+                total += len(text)
+                top.size += len(text)
             continue
-        name = name.lower()
+        at = m.end()
+        name = m.group(2).lower()
         if m.group(1):  # end tag
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if open_[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                close(k)
             if name in BLOCKS:
                 top = stack[-1]
                 out.append(("end", top.path + "/" + name, top.out, top.link, ""))
@@ -139,25 +177,27 @@ def _read(page: str, spared: set[int]) -> tuple[list[tuple[str, str, bool, bool,
                 out.append(("tag", stack[-1].path + "/hr", stack[-1].out, stack[-1].link, ""))
             continue
         if name in BLOCKS:  # an open paragraph ends where another block starts
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p" or (name == "li" and stack[k].name == "li") or (name in ("td", "th", "tr") and stack[k].name in ("td", "th")):
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCKS:
-                    break
+            k = stack[-1].block
+            if k and (stack[k].name == "p" or (name == "li" and stack[k].name == "li") or (name in ("td", "th", "tr") and stack[k].name in ("td", "th"))):
+                close(k)
         marked, shown = _is_marked(m.group(3))
-        inside = any(n.name in MAIN for n in stack)
+        inside = stack[-1].inside
         if name in MAIN and not inside:  # an advert that was left open ends here
             while len(stack) > 1 and stack[-1].out and stack[-1].name not in OUTSIDE:
-                stack.pop()
+                close(len(stack) - 1)
         top = stack[-1]
         marked = marked and m.start() not in spared and name not in ("html", "body", "a", "b", "i", "em", "strong", *MAIN)
         fixed = name in OUTSIDE or (name == "header" and not inside)
         mark = None if fixed or (top.out and top.mark is None) else top.mark if top.out else m.start() if marked else None
-        node = Node(name, f"{top.path}/{name}{shown}", top.out or fixed or marked, top.link or name == "a", mark)
+        path = f"{top.path}/{name}{shown}" if len(stack) <= DEEPEST else top.path
+        node = Node(name, path, top.out or fixed or marked, top.link or name == "a", mark)
+        node.place = m.start() if marked and not fixed else None
+        node.inside, node.block = top.inside or name in MAIN, len(stack) if name in BLOCKS else top.block
         stack.append(node)
+        open_[name] += 1
         if name in BLOCKS:
             out.append(("tag", node.path, node.out, node.link, ""))
+    close(1)
     return out, total, marks
 
 
@@ -168,11 +208,11 @@ def units(tokens):
     for kind, where, outside, link, text in [*tokens, ("close", "", False, False, "")]:
         if kind == "text":
             if not outside:
-                held.append(text)
+                held.append(references.unescape(text))  # a reference ends with its token
                 if not text.isspace():
                     path, linked = where if path is None else path, linked and link
             continue
-        if words := references.unescape("".join(held)).split():
+        if words := "".join(held).split():
             yield path or "", "=" + " ".join(words), linked
         held, path, linked = [], None, True
         if kind != "close":
@@ -215,13 +255,16 @@ def template(pages: list[list[tuple[str, str, bool, bool, str]]]) -> list[tuple[
 def main_path(pages, frame: list[tuple[str, str]]) -> str:
     """The template element whose slots hold the article: an article or main element if the
     template has one, else the deepest element with most of the text that is not in links."""
-    weight: Counter = Counter()
+    own: Counter = Counter()
     for tokens in pages:
         for kind, path, outside, link, text in tokens:
             if kind == "text" and not outside and not link:
-                n, parts = len(text.split()), path.split("/")
-                for k in range(1, len(parts) + 1):
-                    weight["/".join(parts[:k])] += n
+                own[path] += len(text.split())
+    weight: Counter = Counter()
+    for path, n in own.items():
+        parts = path.split("/")
+        for k in range(1, len(parts) + 1):
+            weight["/".join(parts[:k])] += n
     known = {p for p, w in frame if not w} | {""}
     for name in MAIN:
         named = [p for p in known if p.rsplit("/", 1)[-1].split(".")[0] == name and weight[p]]
