@@ -6,8 +6,8 @@ gated attention weighs the passages, and the weighted sum is scored. Only docume
 are known; the attention learns which passages decide.
 
 Learned from a bounded sample: at most ``PER_CLASS`` labelled rows of each class by the
-order of a hash of the id, and of a longer text ``BAG`` passages spread evenly over all of
-it. Every document is scored over all its passages.
+order of a hash of the id, and of these as many as have ``MOST_PASSAGES`` passages together (at
+least one). Bags are whole: every passage of a row is encoded, in training as in scoring.
 
 Defined results: null and empty texts are one empty passage; null labels are not learned
 from; of repeated labels of an id the highest counts; without rows of both classes every
@@ -22,15 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, id_and_text, slices
-from .toxicity import sample
+from .common import crc_of_id, id_and_text, slices, stored
+from .toxicity import class_counts, learnable, sample
 
 PASSAGE = 64
 PER_CLASS = 2_500
-BAG = 48
+MOST_PASSAGES = 60_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 14, 64, 0.01, 1e-4
 _PAIRS = 32
 _MARKS = b"#&$*%!|.,;:?\"'()-/@<>=_+~^[]{}\\`"
@@ -80,13 +80,10 @@ def encode(words: list[str]) -> np.ndarray:
     return out
 
 
-def passages(text: str, most: int | None = None) -> np.ndarray:
-    """Encoded passages of the whole text; with ``most``, that many spread evenly over it."""
+def passages(text: str) -> np.ndarray:
+    """Encoded passages of the whole text."""
     words = text.split()
-    starts = range(0, max(1, len(words)), PASSAGE)
-    if most and len(starts) > most:
-        starts = [starts[round(k)] for k in np.linspace(0, len(starts) - 1, most)]
-    return np.stack([encode(words[at : at + PASSAGE]) for at in starts])
+    return np.stack([encode(words[at : at + PASSAGE]) for at in range(0, max(1, len(words)), PASSAGE)])
 
 
 @dataclass
@@ -162,25 +159,29 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_passages: int = MOST_PASSAGES) -> Model:
     """Learn from labelled rows whose crc32 of the id is not 1 mod 3."""
     keep = F.pmod(crc_of_id(), F.lit(3)) != 1
     rows = sample(docs, labels, "quality", keep, per_class)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            bags = [passages(t, BAG).astype("<f4").tobytes() for t in batch.column("text").to_pylist()]
+            bags = [passages(t).astype("<f4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    kept = sorted(rows.mapInArrow(work, f"doc_id {kind}, y int, bag binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["bag"]))
+    encoded = stored(rows.mapInArrow(work, f"doc_id {kind}, y int, bag binary"))
+    size = F.octet_length("bag") / (4 * WIDTH)
+    before = F.sum(size).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").rowsBetween(Window.unboundedPreceding, 0)) - size
+    within = encoded.withColumn("before", before).where(F.col("before") < most_passages).drop("before")  # PER_CLASS rows a class at most
+    kept = sorted(within.toLocalIterator(), key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["y"] for r in kept], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.5)
     model = train([np.frombuffer(r["bag"], "<f4").reshape(-1, WIDTH).astype(np.float64) for r in kept], y)
     # The sample is balanced; the scores are for the shares among all rows that may be learned from.
-    n = {r["quality"]: r["n"] for r in labels.where(keep).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model.shift = math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    n_good, n_bad = class_counts(learnable(labels, "quality", keep))
+    model.shift = math.log(n_good / n_bad) - math.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
