@@ -19,7 +19,7 @@ from ..operators import infer, issues, score, steps
 from ..operators.fill import fill_missing
 from ..operators.digests import table_digest
 from ..operators.joins import join_tables
-from ..rows import RIGHT_ID, ROW_ID, data_columns, hold, number_rows, quoted, settled
+from ..rows import RIGHT_ID, ROW_ID, data_columns, estimated_bytes, hold, number_rows, quoted, settled
 from ..session import checkpointed
 from .clean_auto import AutoResult, auto_clean
 from .clean_smart import SmartResult, smart_clean
@@ -336,7 +336,7 @@ def run_steps(
                 held.append(current)
             made = StepReport(index, step.name or step.step_type, step.step_type, current)
             fresh_mark = _mark(current)
-            same = fresh_mark is not None and fresh_mark == mark
+            same = step.step_type == "sort_values" or fresh_mark is not None and fresh_mark == mark
             made.diff = anomalies_.compute_diff(before, current, report != "counts", totals, same and totals is not None)
             totals, mark = anomalies_.totals_after(made.diff), fresh_mark
             made.anomalies = settled(anomalies_.detect_anomalies(made.diff, made.name, limits))
@@ -362,13 +362,18 @@ def run_steps(
 
 
 def _mark(df: DataFrame) -> tuple | None:
-    """Digest of a version's rows; none for columns that cannot be hashed."""
+    """Digest of a large version's rows, which spares a pass over copies where nothing changed;
+    none for columns that cannot be hashed."""
+    size = estimated_bytes(df)
+    if size is not None and size <= MARKED_BYTES:
+        return None
     try:
         return table_digest(df)
     except ValueError:
         return None
 
 
+MARKED_BYTES = 1 << 30
 _Known = tuple[issues.Evidence, list[issues.Issue]]
 
 
