@@ -37,7 +37,7 @@ SCALE = 1_000_000_000
 TOP = 200
 SLICE_BYTES = 4 << 20
 FLUSH_ROWS = 1 << 19
-CELLS = 1 << 21
+CELLS = 1 << 18
 BLOCK = 256  # sources whose sums with all others are one group's work
 _KEY = ["lang", "source", "term"]
 
