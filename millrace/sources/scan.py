@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -74,28 +75,55 @@ def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS
     return df.select(*out)
 
 
-# A list of files or splits up to this many rows is copied to every task; a longer one is joined.
+# A list of files up to this many rows is copied to every task, by name; a longer one by a digest of the name.
 LISTED = 200_000
-
-
-def _placed(df: DataFrame, names: list[str], part: Column, index: Column, bits: int) -> DataFrame:
-    """Row ids from file names and places in the files: the number of the file (or of its
-    split) above, the place in it below. They depend neither on how Spark packs files into
-    tasks nor on their sizes."""
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), part.alias("_begin"), index.alias("_index"))
-    listing = placed.select("_file", "_begin").distinct()
-    listing = listing.withColumn("_ordinal", F.row_number().over(W.orderBy("_file", "_begin")) - 1)
-    if len(df.inputFiles()) <= LISTED:
-        listing = F.broadcast(listing)
-    joined = placed.join(listing, ["_file", "_begin"])
-    row_id = F.shiftleft(F.col("_ordinal").cast("bigint"), bits) + F.col("_index")
-    return joined.withColumn(ROW_ID, row_id).select(*map(quoted, names), ROW_ID)
-
-
-def _in_file_order(df: DataFrame) -> DataFrame:
+# Places of splits are counted in steps of this many bytes, or of the least split size if that is smaller.
+STEP_BYTES = 1 << 20
+
+
+def file_places(spark: SparkSession, path: str, step: int | None) -> DataFrame:
+    """_file, _first: where each file begins in the order of names, counted in steps of ``step``
+    bytes, or in files if ``step`` is None. Reads names and sizes, no content; the window holds
+    one short row per file."""
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")).distinct()
+    steps = F.lit(1).cast("bigint") if step is None else F.floor(F.col("_size") / step) + 1
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    return files.select("_file", F.coalesce(F.sum(steps).over(before), F.lit(0)).alias("_first"))
+
+
+def _placed(df: DataFrame, path: str, step: int | None, index: Column, bits: int) -> DataFrame:
+    """Row ids from file names and places in the files: the place of the file or its split
+    above, the row's place in it below. The order depends neither on how Spark packs files
+    into tasks nor on where it splits them. The table itself is read once and not shuffled."""
+    listing = file_places(df.sparkSession, path, step)
+    name = F.col("_metadata.file_path")
+    if len(df.inputFiles()) > LISTED:
+        listing, name = listing.withColumn("_file", F.unhex(F.md5("_file"))), F.unhex(F.md5(name))
+    begin = F.lit(0).cast("bigint") if step is None else F.floor(F.col("_metadata.file_block_start") / step)
+    placed = df.select("*", name.alias("_file"), begin.alias("_begin"), index.alias("_index"))
+    joined = placed.join(F.broadcast(listing), "_file")
+    row_id = F.shiftleft((F.col("_first") + F.col("_begin")).cast("bigint"), bits) + F.col("_index")
+    return joined.withColumn(ROW_ID, row_id).select(*map(quoted, df.columns), ROW_ID)
+
+
+def _bytes_of(spark: SparkSession, key: str) -> int:
+    """A size setting in bytes, which may carry a unit."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", spark.conf.get(key).lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit.rstrip("b").rstrip("i")]
+
+
+def split_step(spark: SparkSession) -> int:
+    """At most the size of the smallest split that is not the last one of its file, so that two
+    splits of a file never begin in the same step."""
+    least = min(_bytes_of(spark, f"spark.sql.files.{key}") for key in ("maxPartitionBytes", "openCostInBytes"))
+    return max(1, min(STEP_BYTES, least))
+
+
+def _in_file_order(df: DataFrame, path: str) -> DataFrame:
     """Row ids of text files: splits in order of file name and offset, lines in order."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return _placed(df, df.columns, F.col("_metadata.file_block_start"), place, 33)
+    return _placed(df, path, split_step(df.sparkSession), place, 33)
 
 
 def read_csv(
@@ -108,7 +136,7 @@ def read_csv(
     """CSV with a header: all text first, then null tokens, then types."""
     df = spark.read.option("header", True).option("escape", '"').csv(path)
     if row_id:
-        df = _in_file_order(df)
+        df = _in_file_order(df, path)
     return narrow_types(df, null_tokens) if narrow else df
 
 
@@ -129,7 +157,7 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None, row_id:
     if lines is None:
         lines = holds_json_lines(spark, path)
     df = spark.read.option("multiLine", not lines).json(path)
-    return clean_nan(_in_file_order(df) if row_id else df)
+    return clean_nan(_in_file_order(df, path) if row_id else df)
 
 
 def read_parquet(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
@@ -137,7 +165,7 @@ def read_parquet(spark: SparkSession, path: str, key: str | None = None) -> Data
     df = spark.read.parquet(path)
     if key:
         return clean_nan(with_row_id(df, key))
-    return clean_nan(_placed(df, df.columns, F.lit(0), F.col("_metadata.row_index"), 40))
+    return clean_nan(_placed(df, path, None, F.col("_metadata.row_index"), 40))
 
 
 def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
