@@ -19,15 +19,21 @@ FACTORS = (
 SEARCHES_PER_DAY = 5
 
 
-def keyword_match(columns: list[str], query: str) -> Column:
-    """``a AND b`` needs every term in the text, ``a OR b`` any; AND is looked for first."""
+def search_terms(query: str) -> tuple[str, list[str]]:
+    """"and" or "or", and the terms in lower case; AND is looked for first."""
     joiner, parts = "and", [query]
     for word in ("AND", "OR"):
         if f" {word} " in query.upper():
             joiner, parts = word.lower(), re.split(rf" {word} ", query, flags=re.IGNORECASE)
             break
+    return joiner, [p.strip().lower() for p in parts]
+
+
+def keyword_match(columns: list[str], query: str) -> Column:
+    """``a AND b`` needs every term in the text, ``a OR b`` any."""
+    joiner, terms = search_terms(query)
     text = F.lower(F.concat_ws(" ", *map(quoted, columns)))
-    hits = [text.contains(p.strip().lower()) for p in parts]
+    hits = [text.contains(t) for t in terms]
     return reduce((lambda a, b: a & b) if joiner == "and" else (lambda a, b: a | b), hits)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from millrace.operators import catalog
+from millrace.operators import catalog, substring
+from millrace.session import shared_folder
 
 from .base import query, table
 
@@ -40,6 +43,21 @@ _search("catalog_or", "license or http", f"{_has('license')} OR {_has('http')}")
 _search("catalog_simple", " Data ", _has("data"))
 
 
+def _indexed(name: str, words: str, where: str):
+    @query(name, f"SELECT name, source FROM {_DUCK} WHERE {where}")
+    def run(spark, sf):
+        entries = _catalog(spark, sf)
+        folder = f"{shared_folder(spark)}/millrace-index/{uuid.uuid4().hex}"
+        index = substring.build_index(entries, "doc_id", ["description"], folder)
+        return index.search(entries, words).select("name", "source")
+
+
+_indexed("catalog_index_and", "license AND apache", f"{_has('license')} AND {_has('apache')}")
+_indexed("catalog_index_or", "apache or data", f"{_has('apache')} OR {_has('data')}")
+_indexed("catalog_index_phrase", "MIT license", _has("mit license"))
+_indexed("catalog_index_short", "@ AND data", f"{_has('@')} AND {_has('data')}")
+
+
 @query(
     "catalog_filter_sort",
     f"SELECT name, license, year, CAST({_SCORE} AS DOUBLE) AS score FROM {_DUCK} WHERE contains(lower(license), 'c') AND {_SCORE} >= 5",
