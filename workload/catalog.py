@@ -55,7 +55,7 @@ def _indexed(name: str, words: str, where: str):
 _indexed("catalog_index_and", "license AND apache", f"{_has('license')} AND {_has('apache')}")
 _indexed("catalog_index_or", "apache or data", f"{_has('apache')} OR {_has('data')}")
 _indexed("catalog_index_phrase", "MIT license", _has("mit license"))
-_indexed("catalog_index_short", "@ AND data", f"{_has('@')} AND {_has('data')}")
+_indexed("catalog_index_short", "@ OR apache", f"{_has('@')} OR {_has('apache')}")
 
 
 @query(
