@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -28,8 +29,9 @@ from .common import id_and_text, stored, text_groups
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
-# Benchmark text that one pass over the index holds in memory; a larger benchmark takes more passes.
-PASS_BYTES = 32 << 20
+# Benchmark text that one pass over the index holds in memory, as some 20 bytes for each of
+# these; a larger benchmark takes more passes. An item is never cut.
+PASS_BYTES = 4 << 20
 
 # Words are runs of digits, letters and bytes above 0x7F; A-Z become a-z; all else separates.
 _FOLD = bytes(
@@ -163,36 +165,80 @@ def _rarity(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
 _HITS = "shard bigint, row bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
+@dataclass
+class Phrases:
+    """Distinct windows of a pass as matrices of term numbers, one for each length.
+
+    ``groups`` holds (terms, begins, owners): window i has the terms ``terms[i]`` and belongs
+    to the items ``names[owners[begins[i]]]`` up to ``begins[i + 1]``."""
+
+    names: list[str]
+    vocabulary: dict[bytes, int]
+    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    rarity: np.ndarray
+
+    def known(self) -> Phrases:
+        """Only windows all of whose terms occur in the corpus, and their terms."""
+        groups, used = [], np.zeros(len(self.vocabulary), dtype=bool)
+        for terms, begins, owners in self.groups:
+            kept = (self.rarity[terms] > 0).all(axis=1)
+            if kept.any():
+                counts = np.diff(begins)
+                groups.append((terms[kept], np.concatenate([[0], np.cumsum(counts[kept])]), owners[np.repeat(kept, counts)]))
+                used[groups[-1][0].ravel()] = True
+        return Phrases(self.names, {t: n for t, n in self.vocabulary.items() if used[n]}, groups, self.rarity)
+
+    def found(self, shard: Shard) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+        """(length, starts, names of items) of the windows that occur in a shard."""
+        present = np.zeros(len(self.rarity), dtype=bool)
+        present[list(shard.at)] = True
+        for terms, begins, owners in self.groups:
+            for i in np.flatnonzero(present[terms].all(axis=1)).tolist():
+                starts = shard.phrase(tuple(terms[i].tolist()), np.argsort(self.rarity[terms[i]], kind="stable").tolist())
+                if len(starts):
+                    yield terms.shape[1], starts, [self.names[o] for o in owners[begins[i] : begins[i + 1]].tolist()]
+
+
+def phrases(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Phrases:
+    """The windows of the items, without the frequencies of their terms."""
+    vocabulary: dict[bytes, int] = {}
+    names = sorted({name for name, _ in items})
+    number = {name: k for k, name in enumerate(names)}
+    by_length: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+    for name, found in items:
+        if found:
+            ids = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int32, len(found))
+            by_length[min(window, len(ids))].append((ids, number[name]))
+    groups = []
+    for length, texts in sorted(by_length.items()):
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, length) for ids, _ in texts])
+        owner = np.repeat([k for _, k in texts], [len(ids) - length + 1 for ids, _ in texts])
+        terms, which = np.unique(rows, axis=0, return_inverse=True)
+        pairs = np.unique(which.ravel().astype(np.int64) * len(names) + owner)
+        begins = np.searchsorted(pairs, np.arange(len(terms) + 1, dtype=np.int64) * len(names))
+        groups.append((terms, begins, (pairs % len(names)).astype(np.int32)))
+    return Phrases(names, vocabulary, groups, np.zeros(len(vocabulary), dtype=np.int64))
+
+
 def hits(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> DataFrame:
     """Documents (shard and row in it) with any window of the items: the covered runs of
     words, counted from the document's first word, and the items."""
-    vocabulary: dict[bytes, int] = {}
-    phrases: dict[tuple[int, ...], set[str]] = defaultdict(set)
-    for name, found in items:
-        for w in windows(found, window):
-            phrases[tuple(vocabulary.setdefault(t, len(vocabulary)) for t in w)].add(name)
-    rarity = _rarity(index, vocabulary)
-    plan = [
-        (terms, sorted(range(len(terms)), key=lambda p: (rarity[terms[p]], p)), sorted(names))
-        for terms, names in phrases.items()
-        if all(rarity[t] for t in terms)
-    ]
+    plan = phrases(items, window)
+    plan.rarity = _rarity(index, plan.vocabulary)
+    plan = plan.known()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                shard = Shard(row["terms"], row["counts"], row["steps"], vocabulary)
+                shard = Shard(row["terms"], row["counts"], row["steps"], plan.vocabulary)
                 firsts = np.asarray(row["firsts"], dtype=np.int64)
                 cover, named = np.zeros(int(firsts[-1]) + 1, dtype=np.int64), defaultdict(set)
-                for terms, rarest, names in plan:
-                    starts = shard.phrase(terms, rarest)
-                    if not len(starts):
-                        continue
+                for length, starts, names in plan.found(shard):
                     doc = np.searchsorted(firsts, starts, side="right") - 1
-                    inside = starts + len(terms) <= firsts[doc + 1]
+                    inside = starts + length <= firsts[doc + 1]
                     np.add.at(cover, starts[inside], 1)
-                    np.add.at(cover, starts[inside] + len(terms), -1)
+                    np.add.at(cover, starts[inside] + length, -1)
                     for d in np.unique(doc[inside]).tolist():
                         named[d].update(names)
                 covered = np.cumsum(cover) > 0
