@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,12 @@ def text_spans(machine: Combined, text: str) -> list[tuple[int, int, int]]:
     spans = machine.spans(data)
     if len(data) == len(text) or not spans:
         return spans
-    place = lambda at: len(data[:at].decode("utf-8", "surrogatepass"))
-    return [(place(a), r, place(b)) for a, r, b in spans]
+    leads = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # the first byte of each code point
+    place, seen, last = {}, 0, 0
+    for at in sorted({at for a, _, b in spans for at in (a, b)}):  # one walk over the text for all spans
+        seen += int(np.count_nonzero(leads[last:at]))
+        place[at], last = seen, at
+    return [(place[a], r, place[b]) for a, r, b in spans]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
