@@ -20,9 +20,11 @@ toxic rows (0 without any); extra columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -115,7 +117,14 @@ def weigh(matcher: ahocorasick.Automaton, folded: str) -> tuple[float, list[tupl
             excused.append((start, end))
         elif weight > best.get(start, (0.0, 0))[0]:
             best[start] = (weight, end)
-    places = [(s, e) for s, (_, e) in best.items() if not any(a <= s and e <= b for a, b in excused)]
+    excused.sort()
+    begins, reach = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
+
+    def inside(start: int, end: int) -> bool:  # of the phrases that begin in time, does the longest reach go far enough?
+        before = bisect_right(begins, start)
+        return before > 0 and reach[before - 1] >= end
+
+    places = [(s, e) for s, (_, e) in best.items() if not inside(s, e)]
     return sum(best[s][0] for s, _ in places), places
 
 
