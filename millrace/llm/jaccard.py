@@ -8,13 +8,17 @@
    same pairs as banding with one band a tree, and no prefix is shortened by itself.
 3. Nodes with more than one class tie their members to the smallest one; the components of
    these ties are the candidate groups, so each text is sent to one group instead of every tree.
-4. Inside a group all pairs are counted exactly from the n-grams. A large group is dealt out
-   as pairs of blocks, so that no task holds more than two blocks. Tasks return one row per
-   member (its number of links and a spanning forest of the links), never the pairs.
+4. Inside a group all pairs are counted exactly from the n-grams. A large group, such as a
+   chain of texts of which only neighbours are alike, is compared node by node instead if that
+   takes fewer copies of texts; a pair then counts in the first tree in which it shares a node.
+   Groups and nodes over ``block`` members are dealt out as pairs of blocks, so that no task
+   holds more than two blocks. Tasks return one row per member (its number of links and a
+   spanning forest of the links), never the pairs.
 
 Words are split at white space and lower-cased; a text of fewer words than an n-gram is one
 n-gram. Defined results: null texts and texts without words link with nothing; ids name
-documents, so repeated rows of an id are one document; rows without an id are returned
+documents, so rows of one id are one document, whose text is the smallest one of these rows
+if they differ in n-grams (a null text is empty); rows without an id are returned
 without class and links; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -27,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..rows import quoted
 from .common import id_and_text, slices, stored
 from .components import components
 
@@ -148,18 +154,18 @@ def _verify(size: int, threshold: float):
     """One pair of blocks: links between its sides (or inside one block), as one row per member."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, left, right = (k.as_py() for k in key)
+        _, tree, _, left, right = (k.as_py() for k in key)
         members: dict = {}
-        for row in table.select(["doc_id", "text", "copies", "block"]).to_pylist():
+        for row in table.select(["doc_id", "text", "copies", "block", "prefixes"]).to_pylist():
             members.setdefault(row["doc_id"], row)
         rows = [members[i] for i in sorted(members)]
         link = linked([shingles(r["text"], size) for r in rows], threshold)
         copies = np.array([r["copies"] for r in rows])
         side = np.array([r["block"] for r in rows])
-        if left != right:
-            counted = link & (side[:, None] != side[None, :])
-        else:
-            counted = link
+        counted = link & (side[:, None] != side[None, :]) if left != right else link.copy()
+        for earlier in range(max(tree, 0)):  # pairs that share a node of an earlier tree count there
+            _, code = np.unique([r["prefixes"][earlier] for r in rows], return_inverse=True)
+            counted &= code[:, None] != code[None, :]
         root = list(range(len(rows)))
         for i in range(len(rows)):  # the smallest member reached: rows are in order of id
             if root[i] == i:
@@ -170,13 +176,46 @@ def _verify(size: int, threshold: float):
                             root[j] = i
                             todo.append(j)
         ids = [r["doc_id"] for r in rows]
-        return pa.table(
-            {"doc_id": pa.array(ids, table.schema.field("doc_id").type), "links": pa.array(counted @ copies, pa.int64()), "root": pa.array([ids[r] for r in root], table.schema.field("doc_id").type)}
-        )
+        kind = table.schema.field("doc_id").type
+        return pa.table({"doc_id": pa.array(ids, kind), "links": pa.array(counted @ copies, pa.int64()), "root": pa.array([ids[r] for r in root], kind)})
 
     return work
 
 
+def deal(nodes: DataFrame, shared: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """node, component, tree, prefix, block, left, right: where each class is compared. ``tree``
+    is -1 for a group compared as a whole, else the group is compared node by node."""
+    copies = F.col("n") * F.ceil(F.col("n") / block)
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > block).select("component", copies.alias("whole"))
+    # Each member of a group shares a node, so groups up to a block take the fewest copies as a whole.
+    by_node = shared.withColumnRenamed("b", "node").join(groups.join(large, "component"), "node")
+    by_node = by_node.groupBy("component").agg(F.sum(copies).alias("parts"), F.first("whole").alias("whole"))
+    split = stored(by_node.where("parts < whole").select("component"))
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    kept = groups.join(sizes.select("component", blocks), "component").join(split, "component", "left_anti")
+    kept = kept.select("node", "component", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix"), "blocks")
+    if not split.isEmpty():
+        parted = groups.join(split, "component").join(nodes.withColumnRenamed("class_id", "node"), "node")
+        parted = parted.join(shared.select("tree", "prefix", blocks), ["tree", "prefix"])
+        kept = kept.unionByName(parted.select("node", "component", "tree", "prefix", "blocks"))
+    dealt = kept.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("node", "component", "tree", "prefix", "block", other.alias("other"))
+    return dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other")
+
+
+def one_text(known: DataFrame, signed: DataFrame, sign) -> tuple[DataFrame, DataFrame]:
+    """Texts and signatures with one set of n-grams for every id."""
+    differs = (F.min("same") != F.max("same")) | ((F.count("same") > 0) & (F.count("same") < F.count(F.lit(1))))
+    several = stored(signed.groupBy("doc_id").agg(differs.alias("differs")).where("differs").select("doc_id"))
+    if several.isEmpty():
+        return known, signed
+    least = stored(known.join(several, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    alone = known.join(several, "doc_id", "left_anti")
+    return alone.unionByName(least), stored(signed.join(several, "doc_id", "left_anti").unionByName(sign(least)))
+
+
 def join(
     docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH,
     target: float = TARGET_RECALL, block: int = BLOCK,
@@ -186,25 +225,23 @@ def join(
     texts = id_and_text(docs)
     known = texts.where(F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(_signed(known, size, trees, prefix_depth(threshold, trees, max_depth, target)))
+    depth = prefix_depth(threshold, trees, max_depth, target)
+    sign = lambda part: _signed(part, size, trees, depth)
+    known, signed = one_text(known, stored(sign(known)), sign)
     with_words = signed.where("same is not null")
     ids = with_words.select("same", "doc_id").distinct()
     classes = stored(with_words.groupBy("same").agg(F.min("doc_id").alias("class_id"), F.first("prefixes").alias("prefixes"))
                      .join(ids.groupBy("same").agg(F.count(F.lit(1)).alias("copies")), "same"))
     nodes = classes.select("class_id", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = nodes.groupBy("tree", "prefix").agg(F.min("class_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ties = nodes.join(shared, ["tree", "prefix"]).where("class_id <> b").select(F.col("class_id").alias("a"), "b")
+    shared = stored(nodes.groupBy("tree", "prefix").agg(F.min("class_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    ties = nodes.join(shared.drop("n"), ["tree", "prefix"]).where("class_id <> b").select(F.col("class_id").alias("a"), "b")
     groups = stored(components(ties))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    dealt = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    members = groups.join(dealt, "component").join(classes.select(F.col("class_id").alias("node"), "copies"), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(known.withColumnRenamed("doc_id", "node"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = members.select("component", F.col("node").alias("doc_id"), "text", "copies", "block", other.alias("other"))
-    pairs = pairs.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other")
+    of_class = classes.select(F.col("class_id").alias("node"), "copies", "prefixes")
+    members = deal(nodes, shared, groups, block).join(of_class, "node")
+    members = members.withColumn("prefixes", F.when(F.col("tree") >= 0, F.col("prefixes")))
+    pairs = members.join(known.withColumnRenamed("doc_id", "node"), "node").withColumnRenamed("node", "doc_id")
     checked = stored(
-        pairs.groupBy("component", "left", "right").applyInArrow(_verify(size, threshold), f"doc_id {kind}, links bigint, root {kind}")
+        pairs.groupBy("component", "tree", "prefix", "left", "right").applyInArrow(_verify(size, threshold), f"doc_id {kind}, links bigint, root {kind}")
     )
     links = checked.groupBy(F.col("doc_id").alias("class_id")).agg(F.sum("links").alias("links"))
     united = components(checked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
@@ -225,9 +262,14 @@ def join(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, with all its columns;
-    of repeated rows of an id one. Rows without an id stay."""
+    """Of each group of near copies the document with the smallest id, with all its columns; of
+    rows of one id the one with the smallest text, then the smallest other values. Rows without
+    an id stay."""
     groups = join(docs, **options)
     kept = groups.where("doc_id = component_id").select("doc_id")
     nameless = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    ordered = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DatetimeType)
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, ordered) and f.name not in ("doc_id", "text")]
+    order = F.struct(F.coalesce("text", F.lit("")), *map(quoted, plain))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*map(quoted, docs.columns)), order).alias("_row"))
+    return one.select("_row.*").unionByName(nameless)
