@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..rows import local_table, settled, together
 from . import diff as diff_
+from .causes import in_words
+from .cells import split
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,7 @@ def compute_diff(
     are those of ``before`` if they are known; they hold for ``after`` too if it is ``unchanged``,
     that is, has the same rows in any order.
     """
+    was, now, before, after = before, after, split(before), split(after)
     work = [lambda: settled(diff_.diff_rows(before, after, totals, totals if unchanged else None)), lambda: settled(diff_.column_sums(before, after))]
     if full:
         work += [
@@ -59,7 +62,7 @@ def compute_diff(
     categories, distribution = more if full else (None, None)
     return Diff(
         rows=rows,
-        columns=diff_.diff_columns(before, after),
+        columns=diff_.diff_columns(was, now),
         nulls=settled(diff_.diff_nulls(before, after, sums)),
         drift=settled(diff_.diff_drift(before, after, sums)),
         categories=categories,
@@ -202,10 +205,13 @@ def _evidence(d: Diff | None, spark) -> DataFrame:
     return totals.unionByName(facts.groupBy("column").agg(F.array_sort(F.collect_list("fact")).alias("facts")))
 
 
-def explain_anomalies(anomalies: DataFrame, step_type: str, d: Diff | None = None, config: dict | None = None) -> DataFrame:
+def explain_anomalies(
+    anomalies: DataFrame, step_type: str, d: Diff | None = None, config: dict | None = None, causes: DataFrame | None = None
+) -> DataFrame:
     """Cause, confidence, checks and fix of each anomaly, most severe first.
 
-    The cause names the step and its settings, the checks are the facts that the comparison
+    The cause names the step and its settings and, from ``causes`` (operators/causes.py), which
+    rows the step treated how; the checks are the facts that the comparison
     measured for the column (or for the table), the fix says which limit the result missed by
     how much. All sides have a few rows per column of the table.
     """
@@ -216,6 +222,10 @@ def explain_anomalies(anomalies: DataFrame, step_type: str, d: Diff | None = Non
     fix = F.when(
         F.col("threshold").isNotNull(), F.format_string("change the step until the value of %.2f is back within %.2f", "value", "threshold")
     ).otherwise(F.lit("confirm that the change is wanted"))
+    if causes is not None:
+        facts = F.array_join("causes", "; ")
+        anomalies = anomalies.withColumn("_one", F.lit(1)).join(in_words(causes).withColumn("_one", F.lit(1)), "_one")  # one row
+        cause = F.when(F.size("causes") > 0, F.concat(cause, F.lit("; "), facts)).otherwise(cause)
     known = _evidence(d, anomalies.sparkSession).withColumnRenamed("column", "_column")
     out = anomalies.join(known, F.col("column").eqNullSafe(F.col("_column")), "left").select(
         F.col("type").alias("anomaly_type"), "severity", "column", "value", F.col("message").alias("summary"),

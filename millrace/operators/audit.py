@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rows import RIGHT_ID, ROW_ID, data_columns, quoted, require_row_id
+from .cells import cell_kind, mixed_columns
 
 AUDIT_COLUMNS = (ROW_ID, "column", "action", "from", "to", "confidence", "layer")
 
@@ -34,14 +35,23 @@ def audit_cells(before: DataFrame, after: DataFrame, columns: list[str] | None =
     if RIGHT_ID in before.columns:
         raise ValueError("row ids repeat after a join: number the rows before the next audit")
     names = [c for c in (columns or data_columns(before)) if c in before.columns and c in after.columns]
-    b = before.select(quoted(ROW_ID), *[quoted(c).cast("string").alias(f"b{i}") for i, c in enumerate(names)])
-    a = after.select(quoted(ROW_ID), *[quoted(c).cast("string").alias(f"a{i}") for i, c in enumerate(names)])
-    both = b.join(a, ROW_ID)
+    mixed = [c for c in names if c in mixed_columns(before) and c in mixed_columns(after)]
+    sides = [
+        df.select(
+            quoted(ROW_ID), *[quoted(c).cast("string").alias(f"{s}{i}") for i, c in enumerate(names)],
+            *[cell_kind(quoted(c)).alias(f"{s}k{names.index(c)}") for c in mixed],
+        )
+        for s, df in (("b", before), ("a", after))
+    ]
+    both = sides[0].join(sides[1], ROW_ID)
     entries = []
     for i, c in enumerate(names):
         x, y = F.col(f"b{i}"), F.col(f"a{i}")
         action = F.when(x.isNull(), "fill_null").when(y.isNull(), "set_null").otherwise("value_changed")
         entries.append(audit_entry(c, action, x, y, "high", "step_execution", ~x.eqNullSafe(y)))
+        if c in mixed:  # the text is the same, the type is another one
+            was, now = F.col(f"bk{i}"), F.col(f"ak{i}")
+            entries.append(audit_entry(c, F.lit("type_changed"), was, now, "high", "step_execution", x.eqNullSafe(y) & ~was.eqNullSafe(now)))
     return explode_audit(both, entries).withColumn("step_type", F.lit(step_type))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, fixed, numbers, text
-from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, local_table, quoted, together
-from . import digests, stats
+from ..rows import as_double, data_columns, dtype_of, is_number, is_text, is_time, kind_columns, local_table, quoted, together
+from . import cells, digests, stats
 
 TEXT, WORDS, DATES, NUMBERS, BRACKET = "text", "words", "dates", "numbers", "bracket"
 ALL = frozenset({TEXT, WORDS, DATES, NUMBERS, BRACKET})
@@ -139,7 +139,9 @@ def collect_facts(facts: DataFrame) -> dict[str, dict]:
 
 def duplicate_count(df: DataFrame, columns: list[str] | None = None):
     """One row ``duplicate_rows``: rows beyond the first of each group of copies."""
+    df = cells.split(df)
     columns = data_columns(df) if columns is None else columns
+    columns = columns + kind_columns(df, columns)
     groups = df.groupBy(*digests.row_key(df, columns)).agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
@@ -152,9 +154,10 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def table_totals(df: DataFrame) -> DataFrame:
     """Rows, columns, null cells and duplicate rows of a table, as one row."""
+    df = cells.split(df)
     columns = data_columns(df)
     per_row = sum((quoted(c).isNull().cast("bigint") for c in columns), F.lit(0).cast("bigint"))
-    groups = df.groupBy(*digests.row_key(df, columns)).agg(F.count("*").alias("_n"), F.sum(per_row).alias("_gone"))
+    groups = df.groupBy(*digests.row_key(df, columns + kind_columns(df, columns))).agg(F.count("*").alias("_n"), F.sum(per_row).alias("_gone"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"),
         F.lit(len(columns)).cast("bigint").alias("cols"),

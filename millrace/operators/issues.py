@@ -14,10 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
-from ..sources.scan import variant_to_text
 from ..rows import as_double, data_columns, local_table, quoted, together
 from . import facts as facts_
 from . import infer, stats
+from .cells import split
 from .steps import duplicate_ids, empty_row, null_share
 
 ISSUE_SCHEMA = (
@@ -64,7 +64,7 @@ class Evidence:
 
 def gather(df: DataFrame, unique: bool = True, duplicates: bool = True, exact: bool = True) -> Evidence:
     """Facts, distinct values and copies, counted by jobs that run side by side."""
-    df = variant_to_text(df)
+    df = split(df)
     columns = data_columns(df)
     held, counts, copies = together(
         lambda: facts_.collect_facts(facts_.column_facts(df, columns, facts_.ALL)),
@@ -220,7 +220,7 @@ def layer_issues(
     Cells of a text column that read as numbers or booleans count as such for the
     mixed-type rule, unless ``tag_text`` is off. VARIANT cells are read as their text.
     """
-    df = variant_to_text(df)
+    df = split(df)
     found = found or gather(df)
     schema = schema or infer.semantic_schema(found.held)
     columns = data_columns(df)

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions import dates, fixed, text
 from ..rows import (
-    RIGHT_ID, ROW_ID, as_double, data_columns, dtype_of, is_number, is_text, quoted, require_columns, require_row_id,
+    RIGHT_ID, ROW_ID, as_double, data_columns, dtype_of, is_number, is_text, kind_columns, quoted, require_columns,
+    require_row_id,
 )
+from .cells import cell_text
 from .fill import number_view
 
 
@@ -295,7 +297,8 @@ def sort_order(df: DataFrame, columns: list[str], ascending: bool | list[bool] =
     ups = ascending if isinstance(ascending, list) else [ascending] * len(columns)
     if len(ups) != len(columns):
         raise ValueError("ascending must have one entry per column")
-    order = [quoted(c).asc_nulls_last() if up else quoted(c).desc_nulls_last() for c, up in zip(columns, ups)]
+    value = {c: cell_text(quoted(c)) if isinstance(dtype_of(df, c), T.VariantType) else quoted(c) for c in columns}
+    order = [value[c].asc_nulls_last() if up else value[c].desc_nulls_last() for c, up in zip(columns, ups)]
     return order + ([quoted(ROW_ID).asc()] if ROW_ID in df.columns else [])
 
 
@@ -311,6 +314,7 @@ def remove_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
         raise ValueError("keep must be 'first', 'last' or False")
     keys = columns or data_columns(df)
     require_columns(df, keys)
+    keys = keys + kind_columns(df, keys)
     pick = F.max if keep == "last" else F.min
     rest = [c for c in df.columns if c not in keys]
     if rest != [ROW_ID]:

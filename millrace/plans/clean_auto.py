@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
 from ..operators import facts as facts_
-from ..operators import infer, issues, stats
+from ..operators import cells, infer, issues, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import null_share
 from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted, together
@@ -114,11 +114,13 @@ def auto_clean(
     drop_columns_above_threshold: bool = True,
     match: str = "token",
 ) -> AutoResult:
-    """Clean without user decisions.
+    """Clean without user decisions. Cells of mixed columns keep their types (operators/cells.py).
 
     Jobs: facts of the raw columns, facts of the converted columns, then the
     medians, most frequent values and middle dates that a fill really needs.
     """
+    mixed = cells.mixed_columns(df)
+    df = cells.split(df)
     target = [c for c in (columns or data_columns(df)) if c in df.columns]
     texts = [c for c in target if is_text(dtype_of(df, c))]
     raw, unique_raw = together(
@@ -164,7 +166,7 @@ def auto_clean(
     out = filled.filter(null_share(filled) < fixed.SPARSE_ROW_SHARE)
     as_text = {c: dates.iso_text(quoted(c)) for c, k in types.items() if k == "datetime"}
     out = out.withColumns(as_text) if as_text else out
-    return AutoResult(out, types, notes, fills, dropped, kept, found, clean)
+    return AutoResult(cells.joined(out, mixed) if mixed else out, types, notes, fills, dropped, kept, found, clean)
 
 
 def _notes(f: dict, kind: str) -> list[str]:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
 from ..operators import audit as audit_
+from ..operators import cells
 from ..operators import facts as facts_
 from ..operators import infer, issues, score, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import drop_empty_rows, duplicate_ids, empty_row, remove_duplicates
-from ..sources.scan import variant_to_text
 from ..rows import ROW_ID, data_columns, dtype_of, hold, is_text, local_table, quoted, together
 
 LAYERS = (
@@ -271,13 +271,14 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
     """Run the chosen layers in order.
 
     A layer that fails is noted in ``errors`` and left out; the others still run. With
-    ``strict`` it ends the run. VARIANT columns are cleaned as text.
+    ``strict`` it ends the run. VARIANT columns are cleaned as text; their cells keep their types.
     Schema, issues and repair need the profile. Every layer is a lazy plan on the
     one before; jobs run for the profile, the repair decisions and the score only.
     The normalised and the validated rows are kept, as several jobs read them.
     """
     config = config or {}
-    df = variant_to_text(df)
+    mixed = cells.mixed_columns(df)
+    df = cells.split(df)
     chosen = set(layers or LAYERS)
     out = LayersResult(df)
     audits: list[DataFrame] = []
@@ -370,4 +371,5 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
     run("duplicate_handling", duplicate_handling)
     run("audit_logging", audit_logging)
     run("quality_scoring", quality_scoring)
+    out.df = cells.joined(out.df, mixed) if mixed else out.df
     return out

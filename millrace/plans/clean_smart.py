@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, numbers, text
 from ..operators import facts as facts_
-from ..operators import infer, stats
+from ..operators import cells, infer, stats
 from ..operators.fill import Fill, apply_fills, number_view
 from ..operators.steps import impossible_value, null_share, remove_duplicates
 from ..rows import data_columns, dtype_of, hold, is_text, local_table, quoted, together
@@ -96,6 +96,8 @@ def smart_clean(df: DataFrame, config: dict | None = None, match: str = "token")
     rows left after the row filters. The typed stage is kept for the jobs on it.
     """
     config = config or {}
+    mixed = cells.mixed_columns(df)
+    df = cells.split(df)
     columns = data_columns(df)
     # Roles look at the table as it came, so the placeholder stage comes after.
     raw = facts_.collect_facts(facts_.column_facts(df, columns, frozenset({facts_.TEXT, facts_.DATES})))
@@ -168,7 +170,8 @@ def smart_clean(df: DataFrame, config: dict | None = None, match: str = "token")
     filled = apply_fills(kept, fills).drop(*dropped)
     rows_kept = next(iter(held.values()))["row_count"] if held else 0
     log += [("fill", f.column, f.missing) for f in fills] + [("drop_columns", c, held[c]["null_count"]) for c in dropped]
-    return SmartResult(remove_duplicates(filled), roles, log, fills, dropped, filled, row["n"], rows_kept, flagged)
+    unique = remove_duplicates(filled)
+    return SmartResult(cells.joined(unique, mixed) if mixed else unique, roles, log, fills, dropped, filled, row["n"], rows_kept, flagged)
 
 
 def preview_clean(df: DataFrame, config: dict | None = None, rows: int = 50, match: str = "token") -> dict[str, DataFrame]:

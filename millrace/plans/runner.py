@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators import anomalies as anomalies_
 from ..operators import audit as audit_
+from ..operators import causes, cells
 from ..operators import facts as facts_
 from ..operators import infer, issues, score, steps
 from ..operators.fill import fill_missing
@@ -110,6 +111,10 @@ STEPS: dict[str, Callable[[DataFrame, dict, Lookup | None], DataFrame]] = {
 }
 
 
+# Steps that work on the texts of mixed cells, which keep their types.
+ON_TEXTS = ("drop_missing", "fill_missing", "change_dtype", "filter_rows", "remove_duplicates", "add_computed_column")
+
+
 def _need(config: dict, key: str):
     if not config.get(key):
         raise ValueError(f"the step needs {key!r}")
@@ -151,6 +156,9 @@ def apply_step(df: DataFrame, step: Step, lookup: Lookup | None = None, stages:
         if stages is not None:
             stages.append(cleaned)
         return cleaned.df
+    if step.step_type in ON_TEXTS:
+        retyped = (step.config["column"],) if step.step_type == "change_dtype" and step.config.get("column") else ()
+        return cells.typed(df, lambda d: STEPS[step.step_type](d, step.config, lookup), retyped)
     return STEPS[step.step_type](df, step.config, lookup)
 
 
@@ -340,9 +348,11 @@ def run_steps(
             made.diff = anomalies_.compute_diff(before, current, report != "counts", totals, same and totals is not None)
             totals, mark = anomalies_.totals_after(made.diff), fresh_mark
             made.anomalies = settled(anomalies_.detect_anomalies(made.diff, made.name, limits))
-            made.explanations = (
-                auto.explanations() if auto else anomalies_.explain_anomalies(made.anomalies, step.step_type, made.diff, step.config)
-            )
+            if auto:
+                made.explanations = auto.explanations()
+            else:
+                why = _causes(before, step, lookup) if not made.anomalies.isEmpty() else None
+                made.explanations = anomalies_.explain_anomalies(made.anomalies, step.step_type, made.diff, step.config, why)
             if isinstance(auto, AutoResult):
                 made.table_issues = issues.issue_table(current.sparkSession, auto.table_issues())
             if report == "full":
@@ -361,6 +371,14 @@ def run_steps(
     return run
 
 
+def _causes(before: DataFrame, step: Step, lookup: Lookup | None) -> DataFrame:
+    """Which rows the step treated how, counted while the version before it is still held."""
+    right = step.config.get("right_dataset") or step.config.get("right_dataset_path")
+    if right is not None and not isinstance(right, DataFrame):
+        right = lookup(right) if lookup else None
+    return settled(causes.step_causes(before, step.step_type, step.config, right))
+
+
 def _mark(df: DataFrame) -> tuple | None:
     """Digest of a large version's rows, which spares a pass over copies where nothing changed;
     none for columns that cannot be hashed."""

@@ -23,10 +23,17 @@ ROW_ID = "_row_id"
 # After a join the row ids are those of the left table and may repeat; the right table's ids
 # stand beside them until the rows are numbered anew.
 RIGHT_ID = "_right_row_id"
+# Kinds of the cells of a mixed column, beside the column of their texts (operators/cells.py).
+KIND = "_kind_of_"
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in (ROW_ID, RIGHT_ID)]
+    return [c for c in df.columns if c not in (ROW_ID, RIGHT_ID) and not c.startswith(KIND)]
+
+
+def kind_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """The kinds that tell cells with equal texts in these columns apart."""
+    return [KIND + c for c in names if KIND + c in df.columns]
 
 
 def quoted(name: str) -> Column:
