@@ -16,15 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 from .runner import Lookup, Step, apply_step, renumbered
 
 
+def _written_plan(df: DataFrame):
+    """The optimised plan of a table as it was written, also where parts of it are held in memory."""
+    execution = df._jdf.queryExecution()
+    return execution.sparkSession().sessionState().optimizer().execute(execution.analyzed().clone())
+
+
+def _files(plan) -> list[str]:
+    """Names of the files that a plan reads."""
+    names, leaves = set(), plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and hasattr(leaf.relation(), "inputFiles"):
+            names.update(leaf.relation().inputFiles())
+        elif kind == "DataSourceV2ScanRelation" and hasattr(leaf.relation().table(), "fileIndex"):
+            names.update(leaf.relation().table().fileIndex().inputFiles())
+    return sorted(names)
+
+
 def source_digest(df: DataFrame) -> str:
     """Digest of a table that is read from files: its plan, and name, size and time of each file.
 
-    A table that is not read from files has no such digest; name it with a key of its own."""
-    context = df.sparkSession.sparkContext
-    names = sorted(df.inputFiles())
+    It is the same whether or not the table, or a part of it, is held in memory. A table that is
+    not read from files has no such digest; name it with a key of its own."""
+    context, plan = df.sparkSession.sparkContext, _written_plan(df)
+    names = _files(plan)
     if not names:
         raise ValueError("the table is not read from files: give source_key")
-    conf, parts = context._jsc.hadoopConfiguration(), [df._jdf.queryExecution().optimizedPlan().canonicalized().toString()]
+    conf, parts = context._jsc.hadoopConfiguration(), [plan.canonicalized().toString()]
     for name in names:
         path = context._jvm.org.apache.hadoop.fs.Path(name)
         status = path.getFileSystem(conf).getFileStatus(path)
