@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.numbers import finite, parse_number
+from ..functions.numbers import finite, parse_number, parse_trimmed
 from ..functions.text import trimmed
 from ..rows import ROW_ID, data_columns, quoted, with_row_id
 
@@ -32,6 +32,11 @@ def _boolean(c: Column) -> Column:
     return F.when(c.isin("True", "TRUE", "true"), True).when(c.isin("False", "FALSE", "false"), False)
 
 
+# Whole numbers that fit a BIGINT whatever their digits, and those that fit a DECIMAL(38,0).
+SHORT_INTEGER = r"^[+-]?0*\d{1,18}$"
+WIDE_INTEGER = r"^[+-]?0*\d{1,38}$"
+
+
 def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS) -> DataFrame:
     """Turn text columns into BIGINT, DECIMAL, DOUBLE or BOOLEAN where every value fits.
 
@@ -41,18 +46,22 @@ def narrow_types(df: DataFrame, tokens: tuple[str, ...] = fixed.SCAN_NULL_TOKENS
     if not names:
         return df
     cleared = {n: F.when(~quoted(n).isin(*tokens), quoted(n)) for n in names}
+    # Each text is cleared and trimmed once. Casts that fail are slow, so texts are cast only where their shape says that they fit.
+    texts = df.select(*[x for i, n in enumerate(names) for x in (cleared[n].alias(f"c{i}"), trimmed(cleared[n]).alias(f"t{i}"))])
     counts = []
-    for i, n in enumerate(names):
-        c = cleared[n]
+    for i in range(len(names)):
+        c, t = F.col(f"c{i}"), F.col(f"t{i}")
+        wide = t.rlike(WIDE_INTEGER)
+        long = F.when(t.rlike(SHORT_INTEGER), True).when(wide, t.try_cast("decimal(38,0)").between(-(1 << 63), (1 << 63) - 1))
         counts += [
             F.count(c).alias(f"n{i}"),
-            F.count(F.when(trimmed(c).rlike(fixed.INTEGER_SHAPE), 1)).alias(f"s{i}"),
-            F.count(trimmed(c).try_cast("bigint")).alias(f"i{i}"),
-            F.count(trimmed(c).try_cast("decimal(38,0)")).alias(f"w{i}"),
-            F.count(parse_number(c)).alias(f"d{i}"),
+            F.count_if(t.rlike(fixed.INTEGER_SHAPE)).alias(f"s{i}"),
+            F.count_if(long).alias(f"i{i}"),
+            F.count_if(wide).alias(f"w{i}"),
+            F.count(parse_trimmed(t)).alias(f"d{i}"),
             F.count(_boolean(c)).alias(f"b{i}"),
         ]
-    row = df.agg(*counts).first()
+    row = texts.agg(*counts).first()
     out = []
     for f in df.schema.fields:
         if f.name not in names:
