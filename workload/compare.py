@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import anomalies, audit, diff, infer, issues, score, steps
 from millrace.plans.clean_layers import normalise, validate
 from millrace.plans.runner import Step, build, run_steps
+from millrace.rows import hold, settled
 from millrace.sources.scan import preview
 
 from .base import DIRTY_COLUMNS, dirty, keyed, null_like, num, query, table, with_dirty
@@ -375,9 +376,11 @@ def quality_pair(spark, sf):
     before = dirty(spark, sf)
     found = issues.gather(before)
     schema = infer.semantic_schema(found.held)
-    after = validate(normalise(before, schema), schema)
-    tables = [issues.issue_table(spark, issues.layer_issues(d)) for d in (before, after)]
-    return score.quality_pair(before, after, *tables)
+    after = hold(validate(normalise(before, schema), schema))
+    tables = [issues.issue_table(spark, issues.layer_issues(d, found=f)) for d, f in ((before, found), (after, None))]
+    out = settled(score.quality_pair(before, after, *tables))
+    after.unpersist()
+    return out
 
 
 # --- runs ----------------------------------------------------------------------------------------------
