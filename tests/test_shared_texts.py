@@ -23,7 +23,7 @@ def test_facts_of_shared_texts_are_those_of_single_cells(spark, monkeypatch):
                 again = other[c][name]
                 same = math.isclose(value, again, rel_tol=1e-9) or value != value and again != again if isinstance(value, float) else value == again
                 assert same, (c, name, value, again)
-    assert found[0]["a"]["null_like"] > 0 and found[0]["a"]["row_count"] == 3 * len(TEXTS)
+    assert found[0]["a"]["null_like_wide"] == 3 and found[0]["a"]["row_count"] == 3 * len(TEXTS)
 
 
 def test_costly_measures_see_each_short_text_once(spark):
