@@ -337,7 +337,8 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
 
     def duplicate_handling():
         before = out.df
-        out.df = handle_duplicates(before, keep)
+        out.df = hold(handle_duplicates(before, keep))
+        out.held.append(out.df)
         about_table.append(duplicates_audit(with_empty, before, out.df, out.schema))
 
     def audit_logging():
@@ -346,11 +347,13 @@ def run_layers(df: DataFrame, config: dict | None = None, layers: list[str] | No
 
     def quality_scoring():
         spark = df.sparkSession
-        after = []
+        after, counted = [], (None, None)
         if found is not None:
-            after = issues.layer_issues(out.df)
+            cleaned = issues.gather(out.df)
+            after = issues.layer_issues(out.df, cleaned)
+            counted = tuple((e.rows, e.null_cells) for e in (found, cleaned))
         out.score = score.quality_pair(
-            df, out.df, issues.issue_table(spark, out.issues), issues.issue_table(spark, after)
+            df, out.df, issues.issue_table(spark, out.issues), issues.issue_table(spark, after), counted
         )
 
     run("profiling", profiling)
