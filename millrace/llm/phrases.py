@@ -112,8 +112,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> t
     known = docs.where(F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType
     minimizers = minimizer_rows(known, word_hashes, kmer, window, GROUP_BYTES)
-    touched = stored(known.join(of_documents(minimizers), "doc_id"))
+    lists = stored(of_documents(minimizers))  # by itself: its shuffles are gone before the texts move
     forget(minimizers)
+    touched = stored(known.join(lists, "doc_id"))
+    forget(lists)
     schema = f"h bigint, edges array<bigint>, doc_id {kind.simpleString()}, pos bigint, length bigint"
     sent = stored(touched.mapInArrow(_edges(to_arrow_type(kind), window, kmer), schema))
     edges = sourced(sent)
