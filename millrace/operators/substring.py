@@ -15,9 +15,12 @@ always searched by a scan; an empty catalogue gives an empty index.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,9 @@ RUN = 3
 BLOCK = 1 << 16
 PARTS = 64
 PIECE = 1 << 16
+# Runs of texts that a task holds before it sends their lists. A run is one number: three characters of 21 bits.
+PAIRS = 1 << 21
+_POINT = (1 << 21) - 1
 # Runs looked up for a term: the rarest ones. All of them together are told apart by the bits of a BIGINT.
 RAREST = 4
 # Beyond this share of the entries a scan is cheaper than a look-up.
@@ -101,10 +107,49 @@ def _part(run: Column) -> Column:
     return F.pmod(F.xxhash64(run), F.lit(PARTS)).cast("int")
 
 
+def _listed(bits: int):
+    """Lists of the keys of pieces, without repeats, one row per run and block of ``1 << bits`` keys of a group."""
+
+    def rows(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        held.sort(key=lambda h: h[0])
+        codes = np.concatenate([c for _, c in held])
+        keys = np.repeat(np.array([k for k, _ in held], np.int64), [len(c) for _, c in held])
+        order = np.argsort(codes, kind="stable")  # keys stay in order
+        codes, keys = codes[order], keys[order]
+        new_run = np.append(True, codes[1:] != codes[:-1])
+        fresh = new_run | np.append(True, keys[1:] != keys[:-1])
+        codes, keys, new_run = codes[fresh], keys[fresh], new_run[fresh]
+        block = keys >> bits
+        begin = np.flatnonzero(new_run | np.append(True, block[1:] != block[:-1]))
+        points = np.stack([codes[begin] >> np.uint64(42), codes[begin] >> np.uint64(21), codes[begin]], axis=1) & np.uint64(_POINT)
+        text = points.astype("<u4").tobytes().decode("utf-32-le")
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)), pa.int32()), pa.array(keys))
+        runs = pa.array([text[i : i + RUN] for i in range(0, len(text), RUN)], pa.string())
+        return pa.RecordBatch.from_arrays([runs, pa.array(block[begin]), lists], names=["run", "block", "keys"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for key, piece in zip(batch.column("k").to_pylist(), batch.column("piece")):
+                p = np.frombuffer(piece.as_py().encode("utf-32-le"), "<u4").astype(np.uint64)
+                if len(p) < RUN:
+                    continue
+                codes = np.unique(p[:-2] << np.uint64(42) | p[1:-1] << np.uint64(21) | p[2:])
+                held.append((key, codes))
+                size += len(codes)
+                if size >= PAIRS:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return work
+
+
 def build_index(catalog: DataFrame, key: str, columns: list[str], folder: str) -> SubstringIndex:
     """Write an index of ``columns`` under ``folder``; ``key`` is a whole number that names an entry.
 
-    Runs of one text are made distinct before anything is shuffled. A new build becomes the
+    A task sends one list per run, block and some ``PAIRS`` distinct runs of its texts. A new build becomes the
     one that ``open_index`` finds when its last, one-row table is written.
     """
     spark, build = catalog.sparkSession, uuid.uuid4().hex
@@ -113,13 +158,12 @@ def build_index(catalog: DataFrame, key: str, columns: list[str], folder: str) -
     pieces = F.transform(  # long texts in overlapping pieces, so that no row holds all its runs
         F.sequence(F.lit(0), F.floor(F.char_length("text") / PIECE).cast("int")), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE + RUN - 1))
     )
-    runs = F.array_distinct(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{RUN}}}))"), F.lit(1)))
-    each = texts.select("k", F.explode(pieces).alias("piece")).select("k", F.explode(runs).alias("run"))
-    block = F.shiftright("k", BLOCK.bit_length() - 1)
-    lists = each.groupBy("run", block.alias("block")).agg(F.sort_array(F.collect_set("k")).alias("keys"))
-    lists = lists.select(_part(F.col("run")).alias("part"), "run", F.size("keys").cast("bigint").alias("n"), "keys")
-    # A hash of run and first key spreads the lists of one part over several files of its folder.
-    dealt = lists.repartition("part", F.pmod(F.xxhash64("run", F.element_at("keys", 1)), F.lit(4))).sortWithinPartitions("part", "run")
+    pairs = texts.select("k", F.explode(pieces).alias("piece")).mapInArrow(_listed(BLOCK.bit_length() - 1), "run string, block bigint, keys array<bigint>")
+    # Dealt once, by the part and a hash that spreads its lists over several files of its folder; the lists are joined there.
+    named = pairs.select(_part(F.col("run")).alias("part"), F.pmod(F.xxhash64("run", "block"), F.lit(4)).alias("deal"), "run", "block", "keys")
+    keys = F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys")
+    lists = named.repartition("part", "deal").groupBy("part", "deal", "run", "block").agg(keys)
+    dealt = lists.select("part", "run", F.size("keys").cast("bigint").alias("n"), "keys").sortWithinPartitions("part", "run")
     dealt.write.partitionBy("part").parquet(f"{folder}/{build}/postings")
     about = known.select(F.countDistinct(quoted(key)).alias("entries")).select(
         F.lit(build).alias("build"), F.current_timestamp().alias("made"), F.lit(key).alias("key"), F.array(*map(F.lit, columns)).alias("columns"), "entries"

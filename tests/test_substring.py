@@ -65,3 +65,27 @@ def test_a_new_build_replaces_the_old_one(spark, tmp_path):
     substring.build_index(two, "id", ["a", "b.c"], str(tmp_path))
     again = substring.open_index(spark, str(tmp_path))
     assert again.entries == 2 and [r.id for r in again.search(two, "ft ri").collect()] == [1]
+
+
+def test_lists_hold_exactly_the_runs_of_the_texts(spark, table, index, tmp_path, monkeypatch):
+    want = {}
+    for r in table.where("id is not null").selectExpr("id", "lower(text) as text").collect():
+        for run in substring.runs_of(r.text or ""):
+            want.setdefault(run, set()).add(r.id)
+    lists = lambda i: {(r.run, tuple(r["keys"]), r.n) for r in i.postings.collect()}
+    got = {}
+    for run, keys, n in lists(index):
+        assert list(keys) == sorted(set(keys)) and n == len(keys)
+        got.setdefault(run, []).extend(keys)
+    assert {run: sorted(keys) for run, keys in got.items()} == {run: sorted(ids) for run, ids in want.items()}
+    monkeypatch.setattr(substring, "PAIRS", 7)
+    monkeypatch.setattr(substring, "PIECE", 50)
+    few = substring.build_index(table.where("id < 900"), "id", ["text"], str(tmp_path))
+    small = {run for run, ids in want.items() if any(i < 900 for i in ids)}
+    assert {r for r, _, _ in lists(few)} == small
+
+
+def test_a_task_sends_a_list_and_not_a_row_for_each_entry(spark):
+    texts = spark.range(4000).selectExpr("id as k", "'some words' as piece").coalesce(1)
+    sent = texts.mapInArrow(substring._listed(16), "run string, block bigint, keys array<bigint>")
+    assert sent.selectExpr("count(*)", "sum(size(keys))").first() == (8, 32_000)
